@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftloom.catalog.inputs import (
-    EDGES, EVENTS, FACTS, VECTORS, edges, events, facts, halves, query, r6, scratch, table, vectors,
+    EDGES, EVENTS, FACTS, VECTORS, edges, events, facts, query, r6, scratch, table, vectors,
 )
 from driftloom.functions import columns as C
 from driftloom.functions.names import normalise_names, q
@@ -169,14 +169,14 @@ KINDS = ["click", "error", "purchase", "signup", "view"]
 
 
 @query("wide_series_row_mean", """WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, avg(value) AS v FROM events
-    WHERE NOT (event_type = 'view' AND extract(day FROM ts) % 2 = 0) GROUP BY ALL),
+    WHERE NOT (event_type = 'view' AND ts >= TIMESTAMP '2024-01-20') GROUP BY ALL),
   g AS (SELECT a.day, b.event_type AS series FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events) a,
     (SELECT DISTINCT event_type FROM events) b)
   SELECT g.day, g.series, round(coalesce(d.v, avg(d.v) OVER (PARTITION BY g.day)), 6) AS value
   FROM g LEFT JOIN d ON d.day = g.day AND d.event_type = g.series""")
 def wide_series(spark, sf):
     e = events(spark, sf).withColumn("day", F.to_date("ts"))
-    gap = (F.col("event_type") == "view") & (F.dayofmonth("day") % 2 == 0)
+    gap = (F.col("event_type") == "view") & (F.col("day") >= F.lit("2024-01-20").cast("date"))
     wide = clean.to_wide(e.withColumn("value", F.when(~gap, F.col("value"))), ["day"], KINDS, "event_type")
     full = clean.fill_row_mean(wide, KINDS)
     return clean.to_long(full, ["day"], KINDS).select("day", "series", r6("value"))
@@ -293,11 +293,11 @@ def sensor(spark, sf):
 
 @query("window_labels", f"""WITH e AS ({EVENTS}), l AS (SELECT user_id, date_trunc('second', ts) AS sec, max(label) AS label FROM e GROUP BY ALL)
   SELECT o.o_orderkey AS id, coalesce(l.label, 0) AS label FROM (
-    SELECT event_id AS o_orderkey, user_id, date_trunc('second', CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 1 HOUR ELSE ts END) AS sec FROM e) o
+    SELECT event_id AS o_orderkey, user_id, date_trunc('second', CASE WHEN event_type = 'view' THEN ts + INTERVAL 1 HOUR ELSE ts END) AS sec FROM e) o
   LEFT JOIN l USING (user_id, sec)""")
 def window_labels(spark, sf):
     e = events(spark, sf)
-    shifted = F.when(F.col("event_id") % 3 == 0, F.col("ts") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("ts"))
+    shifted = F.when(F.col("event_type") == "view", F.col("ts") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("ts"))
     wins = e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("CELL"), shifted.alias("END_TIME"))
     # Each label twice, the copy as 0: doubled labels collapse to the largest.
     lab = e.select(F.col("user_id").alias("CELL"), F.col("ts").alias("END_TIME"), "label")
@@ -342,9 +342,10 @@ def appended(spark, sf):
     )
 
 
-@query("unseen_cells", "SELECT DISTINCT user_id FROM events WHERE ts < TIMESTAMP '2024-01-16' EXCEPT SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-16'")
+@query("unseen_cells", "SELECT DISTINCT user_id FROM events WHERE ts < TIMESTAMP '2024-01-30' EXCEPT SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-30'")
 def unseen(spark, sf):
-    early, late = halves(spark, sf)
+    e, last_day = events(spark, sf), F.lit("2024-01-30").cast("timestamp")
+    early, late = e.where(F.col("ts") < last_day), e.where(F.col("ts") >= last_day)
     return joins.without(early.select("user_id").distinct(), late, ["user_id"])
 
 

@@ -33,6 +33,12 @@ OTHER_GAS = "Bilinmeyen Gaz (%d)"
 PSI_BANDS = ((0.1, "slight"), (0.2, "medium"), (math.inf, "strong"))
 
 
+def literal_array(values: Sequence[float], kind: str = "double") -> Column:
+    """Constant array from driver numbers, parsed as one expression and folded to one literal."""
+    mark = {"double": "D", "long": "L"}[kind]
+    return F.expr("array(" + ", ".join(f"{int(v) if kind == 'long' else repr(float(v))}{mark}" for v in values) + ")")
+
+
 def composite_key(*cols: str | Column) -> Column:
     """``SITE_FREQ`` style key; null when a part is null."""
     parts = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]

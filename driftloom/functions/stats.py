@@ -8,6 +8,7 @@ from statistics import NormalDist
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def kolmogorov_p(stat: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
@@ -47,7 +48,7 @@ def z_critical(p: float) -> float:
     return NormalDist().inv_cdf(p / 2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _two_sided(z):
     return 2 * z.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)) if v is not None else np.nan)
 

@@ -22,6 +22,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftloom.functions.columns import literal_array
 from driftloom.functions.names import q
 
 BUCKET = "_bucket"
@@ -192,6 +193,18 @@ def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "
     return df.join(ranks, [*by, value], "left")
 
 
+def _merged(brackets: Sequence[tuple[float, float]]) -> list[float]:
+    """Disjoint closed intervals as split points: lo1, just above hi1, lo2, ..."""
+    out: list[float] = []
+    for lo, hi in sorted(brackets):
+        end = math.nextafter(hi, math.inf)
+        if out and lo <= out[-1]:
+            out[-1] = max(out[-1], end)
+        else:
+            out += [lo, end]
+    return out
+
+
 def exact_quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = 10_000
 ) -> dict[str, list[float | None]]:
@@ -199,51 +212,76 @@ def exact_quantiles(
 
     The built-in exact percentile keeps all distinct values of a column in one task. Here a
     sketch brackets each wanted order statistic first (its rank error is at most
-    n / accuracy), and only the values inside the brackets are counted: about 4 / accuracy
-    of the rows per quantile, spread over the cluster.
+    n / accuracy). Values outside the brackets are only counted per gap; values inside,
+    about 4 / accuracy of the rows per quantile, are counted one by one and put in order.
     """
     cols, probs = list(cols), list(probs)
-    vals = {c: F.when(~F.isnan(q(c).cast("double")), q(c).cast("double")) for c in cols}
-    eps = 2.0 / accuracy
-    sides = [max(0.0, p - eps) for p in probs] + [min(1.0, p + eps) for p in probs]
-    sketch = [F.percentile_approx(vals[c], sides, accuracy).alias(f"b{i}") for i, c in enumerate(cols)]
-    ends = [F.struct(F.min(vals[c]).alias("lo"), F.max(vals[c]).alias("hi"), F.count(vals[c]).alias("n")).alias(f"e{i}")
-            for i, c in enumerate(cols)]
-    head = df.agg(*sketch, *ends).first()
+    raw = [q(c).cast("double") for c in cols]
+    base = df.select(*[F.when(~F.isnan(v), v).alias(f"v{i}") for i, v in enumerate(raw)])
+    eps = 4.0 / accuracy
+    sides = literal_array([max(0.0, p - eps) for p in probs] + [min(1.0, p + eps) for p in probs])
+    head = base.agg(*[
+        f(f"v{i}").alias(f"{name}{i}")
+        for i in range(len(cols))
+        for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max), ("b", lambda c: F.percentile_approx(c, sides, accuracy)))
+    ]).first()
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    wanted = []  # (slot, column index, prob index, low, high, n)
-    for i, c in enumerate(cols):
-        n = head[f"e{i}"]["n"]
+    splits: dict[int, list[float]] = {}
+    places: dict[int, set[int]] = {}
+    for i in range(len(cols)):
+        n = head[f"n{i}"]
         if not n:
             continue
-        b = head[f"b{i}"]
-        for j, p in enumerate(probs):
-            # Positions next to the ends may fall outside the sketch's answer.
-            slack = eps * n + 2
-            low = head[f"e{i}"]["lo"] if p * (n - 1) <= slack else b[j]
-            high = head[f"e{i}"]["hi"] if (1 - p) * (n - 1) <= slack else b[len(probs) + j]
-            wanted.append((len(wanted), i, j, low, high, n))
-    if not wanted:
+        whole = (head[f"lo{i}"], head[f"hi{i}"])
+        if n <= accuracy:  # so few rows that a bracket would be narrower than two positions
+            brackets = [whole]
+        else:
+            near = [(p <= eps, 1 - p <= eps) for p in probs]
+            brackets = [
+                (whole[0] if at_lo else head[f"b{i}"][j], whole[1] if at_hi else head[f"b{i}"][len(probs) + j])
+                for j, (at_lo, at_hi) in enumerate(near)
+            ]
+        splits[i] = [-math.inf, *_merged(brackets), math.inf]
+        floors = [min(int(math.floor(p * (n - 1) + 1e-9)), n - 1) for p in probs]
+        places[i] = {k for f in floors for k in (f, min(f + 1, n - 1))}
+    if not splits:
         return out
-    hits = F.array(*[
-        F.when(vals[cols[i]].between(lo, hi), F.struct(F.lit(s).alias("slot"), vals[cols[i]].alias("v")))
-        for s, i, _, lo, hi, _ in wanted
+    live = sorted(splits)
+    binned = Bucketizer(
+        splitsArray=[splits[i] for i in live], inputCols=[f"v{i}" for i in live], outputCols=[f"b{i}" for i in live],
+        handleInvalid="keep",
+    ).transform(base)
+    # Odd bins are brackets; the value is kept there and dropped elsewhere.
+    cells = F.array(*[
+        F.when(
+            F.col(f"v{i}").isNotNull(),
+            F.struct(
+                F.lit(i).alias("i"), F.col(f"b{i}").cast("long").alias(BUCKET),
+                F.when(F.col(f"b{i}") % 2 == 1, F.col(f"v{i}")).alias("v"),
+            ),
+        )
+        for i in live
     ])
-    near = df.select(F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("h")).select("h.slot", "h.v")
-    below = df.agg(*[F.count(F.when(vals[cols[i]] < lo, 1)).alias(f"s{s}") for s, i, _, lo, _, _ in wanted]).first()
-    cum = running_by_value(near, "v", {"c": F.lit(1)}, ["slot"])
-    picks = []
-    for s, i, j, _, _, n in wanted:
-        pos = probs[j] * (n - 1)
-        k = min(int(math.floor(pos + 1e-12)), n - 1)
-        for side, at in (("lo", k), ("hi", min(k + 1, n - 1))):
-            at_local = at - below[f"s{s}"]
-            inside = (F.col("slot") == s) & (F.col("cum_c") > at_local) & (F.col("cum_c") - F.col("c") <= at_local)
-            picks.append(F.max(F.when(inside, F.col("v"))).alias(f"{side}{s}"))
-    got = cum.agg(*picks).first()
-    for s, i, j, _, _, n in wanted:
-        pos = probs[j] * (n - 1)
-        frac = max(0.0, pos - math.floor(pos + 1e-12))
-        lo, hi = got[f"lo{s}"], got[f"hi{s}"]
-        out[cols[i]][j] = lo + (hi - lo) * frac
+    counts = (
+        binned.select(F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("x")).select("x.*")
+        .groupBy("i", BUCKET, "v").agg(F.count("*").alias("c"))
+    )
+    per_bin = counts.groupBy("i", BUCKET).agg(F.sum("c").alias("_s_cum"))
+    cum = _with_offsets(counts, per_bin, [F.col("v")], {"cum": ("sum", F.col("c"))}, ["i"], False)
+    start = F.col("cum") - F.col("c")
+    wanted = None
+    for i in live:
+        at = literal_array(sorted(places[i]), "long")
+        here = (F.col("i") == i) & F.exists(at, lambda k: (k >= start) & (k < F.col("cum")))
+        wanted = here if wanted is None else wanted | here
+    found = cum.where(F.col("v").isNotNull() & wanted).select("i", "v", start.alias("s"), "cum").collect()
+    for i in live:
+        n = head[f"n{i}"]
+        mine = sorted((r["s"], r["cum"], r["v"]) for r in found if r["i"] == i)
+        value = {k: v for s, e, v in mine for k in places[i] if s <= k < e}
+        for j, p in enumerate(probs):
+            pos = p * (n - 1)
+            k = min(int(math.floor(pos + 1e-9)), n - 1)
+            lo, hi = value[k], value[min(k + 1, n - 1)]
+            out[cols[i]][j] = lo + (hi - lo) * max(0.0, pos - k)
     return out

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftloom.functions.columns import literal_array
 from driftloom.functions.names import q
 from driftloom.functions.stats import rank_sum_z, z_critical
 from driftloom.operators.ranks import ranked, running
@@ -234,7 +235,7 @@ def prequential_auc(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
 
 def placement(value: Column, ref: Sequence[float]) -> Column:
     """Reference values below the value, ties half; ``ref`` is a window of bounded size."""
-    arr = F.array(*[F.lit(float(v)) for v in sorted(ref)])
+    arr = literal_array(sorted(ref))
     return F.aggregate(arr, F.lit(0.0), lambda a, r: a + F.when(r < value, 1.0).when(r == value, 0.5).otherwise(0.0))
 
 
@@ -271,7 +272,7 @@ def rolling_ks(
     mean, std (population).
     """
     ref_sorted = sorted(float(v) for v in ref)
-    arr, m = F.array(*[F.lit(v) for v in ref_sorted]), float(len(ref_sorted))
+    arr, m = literal_array(ref_sorted), float(len(ref_sorted))
     at_most = F.aggregate(arr, F.lit(0), lambda a, r: a + (r <= q(score)).cast("int")) / m
     under = F.aggregate(arr, F.lit(0), lambda a, r: a + (r < q(score)).cast("int")) / m
     r = ranked(df.select(*[q(c) for c in dict.fromkeys([*order, score])]), order, out="_rn")
