@@ -40,6 +40,11 @@ def r6(col: Column | str, name: str | None = None) -> Column:
     return out.alias(name or col) if (name or isinstance(col, str)) else out
 
 
+def r6_off_ties(col: Column | str, name: str | None = None) -> Column:
+    """Like r6, moved off exact ties of the sixth digit, which the two engines round apart."""
+    return r6((F.col(col) if isinstance(col, str) else col) + 1e-9, name or col)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

@@ -1 +1,89 @@
-"""todo"""
+"""Structured Streaming queries over replayed tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from driftloom.catalog.inputs import EVENTS, events, query, r6, scratch, vectors
+from driftloom.catalog.sequences import CUT, WINDOWS, WS, faded_sql
+from driftloom.streaming import drift_loop as loop
+from driftloom.streaming import pipelines as P
+
+SLICES = ("2024-01-11", "2024-01-21", "2100-01-01")
+
+
+def event_stream(spark, sf, slices: tuple[str, ...] = SLICES) -> DataFrame:
+    """The events as a stream of three files groups, written one after the other in time order."""
+    e = events(spark, sf)
+    folder = scratch(spark, "event-stream")
+    start = F.lit("1900-01-01").cast("timestamp")
+    for end in slices:
+        stop = F.lit(end).cast("timestamp")
+        e.where((F.col("ts") >= start) & (F.col("ts") < stop)).coalesce(1).write.mode("append").parquet(folder)
+        start = stop
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in e.schema.fields])
+    return P.parquet_stream(spark, folder, "*.parquet", schema)
+
+
+@query("stream_tumbling_windows", """SELECT time_bucket(INTERVAL '8 hours', ts) AS window_start, event_type, round(avg(value), 6) AS avg_value,
+  round(sum(value), 6) AS sum_value FROM events GROUP BY ALL""")
+def stream_tumbling(spark, sf):
+    specs = [("avg_value", "avg", "value"), ("sum_value", "sum", "value")]
+    agg = P.tumbling(event_stream(spark, sf), specs, ["event_type"], "ts")
+    flat = agg.select(F.col("window.start").alias("window_start"), "event_type", "avg_value", "sum_value")
+    out = P.replay_latest(flat, ["window_start", "event_type"], "tumbling")
+    return out.select("window_start", "event_type", r6("avg_value"), r6("sum_value"))
+
+
+@query("stream_closed_windows", """SELECT time_bucket(INTERVAL '8 hours', ts) AS window_start, event_type, round(sum(value), 6) AS sum_value
+  FROM events GROUP BY ALL HAVING time_bucket(INTERVAL '8 hours', ts) + INTERVAL 8 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+def stream_closed(spark, sf):
+    agg = P.tumbling(event_stream(spark, sf), [("sum_value", "sum", "value")], ["event_type"], "ts")
+    flat = agg.select(F.col("window.start").alias("window_start"), "event_type", "sum_value")
+    return P.replay(flat, "closed").select("window_start", "event_type", r6("sum_value"))
+
+
+@query("stream_sliding_windows", f"""{WINDOWS} SELECT CELL, END_TIME, event_id, vs[1] AS first_value, round(list_sum(vs), 6) AS sum_value,
+  round(list_sum(ks), 6) AS sum_k FROM w WHERE n = {WS}""")
+def stream_sliding(spark, sf):
+    s = event_stream(spark, sf).select(F.col("user_id").cast("string").alias("CELL"), F.col("ts").alias("DATETIME"), "event_id", "value", "k")
+    out = P.replay(P.sliding(s, "CELL", "DATETIME", ["value", "k"], WS, "event_id"), "sliding")
+
+    def part(i):
+        return F.aggregate("win", F.lit(0.0), lambda a, r: a + r[i])
+
+    return out.select("CELL", "END_TIME", "event_id", F.col("win")[0][0].alias("first_value"), r6(part(0), "sum_value"), r6(part(1), "sum_k"))
+
+
+@query("stream_prequential_scores", faded_sql("event_type") + """ SELECT event_type, event_id, round(recall, 6) AS recall,
+  round(specificity, 6) AS specificity, round(sqrt(recall * specificity), 6) AS gmean FROM s""")
+def stream_prequential(spark, sf):
+    s = event_stream(spark, sf).withColumn("pred", (F.col("score") >= CUT).cast("int"))
+    out = P.replay(P.faded_counters(s, "event_type", ["ts", "event_id"]), "faded")
+    return out.select("event_type", "event_id", r6("recall"), r6("specificity"), r6("gmean"))
+
+
+@query("stream_batch_counts", f"""SELECT CAST(CASE WHEN ts < TIMESTAMP '{SLICES[0]}' THEN 0 WHEN ts < TIMESTAMP '{SLICES[1]}' THEN 1 ELSE 2 END AS INTEGER) AS batch,
+  count(*) AS n, sum(label) AS anomalies FROM ({EVENTS}) GROUP BY batch""")
+def stream_batches(spark, sf):
+    path = scratch(spark, "batch-counts")
+
+    def store(rows: DataFrame, number: int) -> None:
+        out = rows.agg(F.count("*").alias("n"), F.sum("label").alias("anomalies")).withColumn("batch", F.lit(number))
+        out.write.mode("overwrite").parquet(f"{path}/part={number}")
+
+    P.for_each_batch(event_stream(spark, sf), store, "counts")
+    return spark.read.option("basePath", path).parquet(path).select("batch", "n", "anomalies")
+
+
+@query("stream_drift_loop")
+def stream_drift_loop(spark, sf):
+    v = vectors(spark, sf)
+    folder = scratch(spark, "batches")
+    for b in range(10):  # one file per batch, in time order, as the stream would bring them
+        v.where(F.col("batch") == b).coalesce(1).write.mode("append").parquet(folder)
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in v.schema.fields])
+    stream = P.parquet_stream(spark, folder, "*.parquet", schema)
+    return loop.drift_loop(stream, ["vec_id"], trees=10)

@@ -17,6 +17,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftloom.functions.names import q
 
@@ -75,17 +76,19 @@ def packed_moments(df: DataFrame, shift: np.ndarray, arr: str = ARR, by: Sequenc
     types = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
     schema = ", ".join([*[f"`{c}` {types[c]}" for c in by], "_part array<double>"])
 
-    def emit(acc: dict) -> pa.RecordBatch:
+    def emit(acc: dict, kinds: list[pa.DataType]) -> pa.RecordBatch:
         keys = list(acc)
-        cols = [pa.array([k[i] for k in keys]) for i in range(len(by))]
+        cols = [pa.array([k[i] for k in keys], kinds[i]) for i in range(len(by))]
         return pa.RecordBatch.from_arrays([*cols, pa.array([acc[k].tolist() for k in keys])], [*by, "_part"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[tuple, np.ndarray] = {}
+        kinds: list[pa.DataType] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = matrix(batch.column("_x")) - shift
+            kinds = [batch.column(c).type for c in by]
             if by:
                 keys = list(zip(*[batch.column(c).to_pylist() for c in by]))
                 codes, uniques = pd.factorize(pd.Series(keys, dtype=object))
@@ -96,10 +99,10 @@ def packed_moments(df: DataFrame, shift: np.ndarray, arr: str = ARR, by: Sequenc
                 vec = np.concatenate([[len(rows)], rows.sum(axis=0), (rows.T @ rows).ravel()])
                 acc[key] = acc[key] + vec if key in acc else vec
             if len(acc) > GROUPS_IN_MEMORY:
-                yield emit(acc)
+                yield emit(acc, kinds)
                 acc = {}
         if acc:
-            yield emit(acc)
+            yield emit(acc, kinds)
 
     parts = kept.mapInArrow(partial, schema).select(
         *[q(c) for c in by], (F.spark_partition_id() % FAN_IN).alias("_fan"), array_to_vector("_part").alias("_part")
@@ -187,9 +190,7 @@ def row_errors(x: np.ndarray, pca: Pca) -> np.ndarray:
 def score_rows(df: DataFrame, models: dict[str, Pca], arr: str = ARR) -> DataFrame:
     """Add one reconstruction-error column per model; Arrow batches, one matrix product each."""
     kinds = df.withColumn(arr, q(arr).cast("array<double>"))
-    schema = kinds.schema
-    for name in models:
-        schema = schema.add(name, "double")
+    schema = T.StructType([*kinds.schema.fields, *[T.StructField(name, T.DoubleType()) for name in models]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

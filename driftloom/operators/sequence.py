@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,11 +172,13 @@ def prequential(
         F.max("_kp").cast("double").alias("kp"), F.max("_kn").cast("double").alias("kn"),
         *[F.max_by(f"_{c}", last).alias(c) for c in ("tp", "fn", "tn", "fp")],
     )
-    start = _carry(blocks, keys, fade, chunk)
-    joined = rows.join(start, [*keys, "_block"])
+    # A group of one block starts from zero; only longer ones need their blocks linked.
+    several = F.max("_block").over(Window.partitionBy(*[q(c) for c in keys])) > 0
+    start = _carry(blocks.withColumn("_several", several).where("_several").drop("_several"), keys, fade, chunk)
+    joined = rows.join(start, [*keys, "_block"], "left")
 
     def total(c: str, k: str) -> Column:
-        return F.col(f"_{c}") + F.pow(F.lit(fade), F.col(k)) * F.col(f"c_{c}")
+        return F.col(f"_{c}") + F.pow(F.lit(fade), F.col(k)) * F.coalesce(F.col(f"c_{c}"), F.lit(0.0))
 
     tp, fn, tn, fp = total("tp", "_kp"), total("fn", "_kp"), total("tn", "_kn"), total("fp", "_kn")
     recall, spec = tp / (tp + fn + 1e-9), tn / (tn + fp + 1e-9)
@@ -233,10 +236,23 @@ def prequential_auc(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
 # ---------------------------------------------------------------- detectors without reset
 
 
-def placement(value: Column, ref: Sequence[float]) -> Column:
-    """Reference values below the value, ties half; ``ref`` is a window of bounded size."""
-    arr = literal_array(sorted(ref))
-    return F.aggregate(arr, F.lit(0.0), lambda a, r: a + F.when(r < value, 1.0).when(r == value, 0.5).otherwise(0.0))
+def against_reference(df: DataFrame, value: str, ref: Sequence[float], le: str = "_le", lt: str = "_lt") -> DataFrame:
+    """How many reference values are <= and < the row's value.
+
+    ``ref`` is a sample of bounded size. Its distinct values are the split points of a
+    bucketizer (a binary search in the JVM), the counts are looked up by bucket.
+    """
+    values, counts = np.unique(np.asarray(ref, dtype=float), return_counts=True)
+    upto = literal_array([0, *np.cumsum(counts).tolist()], "long")
+    at = literal_array([values[0] - 1.0, *values.tolist()])
+    splits = [-math.inf, *values.tolist(), math.inf]
+    cut = Bucketizer(splits=splits, inputCol="_val", outputCol="_pos", handleInvalid="keep").transform(
+        df.withColumn("_val", q(value).cast("double"))
+    )
+    pos = F.col("_pos").cast("int")
+    same = (pos > 0) & (F.get(at, pos) == F.col("_val"))
+    counted = cut.withColumns({le: F.get(upto, pos), lt: F.when(same, F.get(upto, pos - 1)).otherwise(F.get(upto, pos))})
+    return counted.drop("_val", "_pos")
 
 
 def rolling_mann_whitney(
@@ -250,7 +266,8 @@ def rolling_mann_whitney(
     w_len = len(ref)
     if not w_len:
         raise ValueError("the reference window is empty")
-    placed = df.withColumn("_pl", placement(q(score), ref))
+    # A row's placement: reference values below it, ties half.
+    placed = against_reference(df, score, ref).withColumn("_pl", (F.col("_le") + F.col("_lt")) / 2.0).drop("_le", "_lt")
     full = moving(
         placed, order, {"_s": lambda w: F.sum("_pl").over(w), "_n": lambda w: F.count("_pl").over(w)}, by, back=w_len - 1
     )
@@ -271,17 +288,14 @@ def rolling_ks(
     those and each checkpoint is a group of exactly ``window`` rows. Returns checkpoint, ks,
     mean, std (population).
     """
-    ref_sorted = sorted(float(v) for v in ref)
-    arr, m = literal_array(ref_sorted), float(len(ref_sorted))
-    at_most = F.aggregate(arr, F.lit(0), lambda a, r: a + (r <= q(score)).cast("int")) / m
-    under = F.aggregate(arr, F.lit(0), lambda a, r: a + (r < q(score)).cast("int")) / m
+    m = float(len(ref))
     r = ranked(df.select(*[q(c) for c in dict.fromkeys([*order, score])]), order, out="_rn")
     i = F.col("_rn") - 1
     # Checkpoints t (multiples of every) with t - window < i <= t, inside the data, window full.
     first = F.ceil(F.greatest(i, F.lit(window - 1)) / every)
     last = F.floor(F.least(i + window - 1, F.col("_rn_total") - 1) / every)
-    fed = r.where(first <= last).select(
-        q(score).alias("_v"), at_most.alias("_le"), under.alias("_lt"),
+    fed = against_reference(r.where(first <= last), score, ref).select(
+        q(score).alias("_v"), (F.col("_le") / m).alias("_le"), (F.col("_lt") / m).alias("_lt"),
         F.explode(F.sequence(first, last)).alias("checkpoint"),
     )
     w = Window.partitionBy("checkpoint").orderBy("_v")

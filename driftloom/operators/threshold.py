@@ -15,6 +15,7 @@ from driftloom.operators.metrics import binary_counts, macro_scores, threshold_s
 from driftloom.operators.ranks import exact_quantiles, half_split
 from driftloom.operators.sampling import with_hash
 from driftloom.operators.sequence import forward_threshold, rolling_ks
+from driftloom.session import settle
 
 # Candidate quantiles of the F1 search, and points of the sweep curve.
 CANDIDATE_SPAN = (0.50, 0.999, 400)
@@ -106,7 +107,7 @@ def tune(
     Each set is measured on both halves: choose by ``f1_calibration``, report
     ``f1_evaluation``; ``best`` marks the set with the largest calibration F1.
     """
-    parts = half_split(stream, order)
+    parts, ref = settle(half_split(stream, order)), settle(ref)  # read again by every trial
     rows = []
     for i, g in enumerate(grid):
         mix = g["w1"] * q(e1) + (1 - g["w1"]) * q(e2)
