@@ -53,6 +53,7 @@ def edges_csv_table(spark, sf):
     return back.select(F.col("CELL").cast("string").alias("CELL"), F.col("N_CELL").cast("string").alias("N_CELL"), r6(q(OVERLAP), "overlap"))
 
 
+FOLDER = r"batch=(\d+)/"  # Spark names the files itself, so the folder carries the number
 SPARSE = f"""SELECT batch + 1 AS batch, label, count(*) AS n, round(sum(list_sum(features)), 4) AS total, 128 AS width FROM ({VECTORS}) GROUP BY ALL"""
 
 
@@ -74,19 +75,14 @@ def sparse_summary(df):
 def libsvm_batches(spark, sf):
     path = scratch(spark, "libsvm")
     sparse_lines(spark, sf).write.partitionBy("batch").text(path)
-    raw = readers.read_libsvm_batches(spark, f"{path}/batch=*")
-    # The folder carries the number here; plain files carry it in their name.
-    return sparse_summary(raw.withColumn("batch", F.regexp_extract("path", r"batch=(\d+)", 1).cast("int")) if "path" in raw.columns else raw)
+    return sparse_summary(readers.read_libsvm_batches(spark, f"{path}/batch=*", 128, FOLDER))
 
 
 @query("libsvm_text_batches", SPARSE)
 def libsvm_text_batches(spark, sf):
     path = scratch(spark, "libsvm-text")
     sparse_lines(spark, sf).write.partitionBy("batch").text(path)
-    lines = spark.read.text(f"{path}/batch=*").withColumn(
-        "batch", F.regexp_extract(F.col("_metadata.file_path"), r"batch=(\d+)", 1).cast("int")
-    )
-    return sparse_summary(readers.parse_libsvm_text(lines, 128))
+    return sparse_summary(readers.read_libsvm_text(spark, f"{path}/batch=*", 128, FOLDER))
 
 
 @query("natural_batch_order", "SELECT DISTINCT CAST(p_size AS INTEGER) AS batch FROM part UNION SELECT 1000000000")

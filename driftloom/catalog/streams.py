@@ -37,8 +37,8 @@ def stream_tumbling(spark, sf):
     return out.select("window_start", "event_type", r6("avg_value"), r6("sum_value"))
 
 
-@query("stream_closed_windows", """SELECT time_bucket(INTERVAL '8 hours', ts) AS window_start, event_type, round(sum(value), 6) AS sum_value
-  FROM events GROUP BY ALL HAVING time_bucket(INTERVAL '8 hours', ts) + INTERVAL 8 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+@query("stream_closed_windows", """SELECT * FROM (SELECT time_bucket(INTERVAL '8 hours', ts) AS window_start, event_type, round(sum(value), 6) AS sum_value
+  FROM events GROUP BY 1, 2) WHERE window_start + INTERVAL 8 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
 def stream_closed(spark, sf):
     agg = P.tumbling(event_stream(spark, sf), [("sum_value", "sum", "value")], ["event_type"], "ts")
     flat = agg.select(F.col("window.start").alias("window_start"), "event_type", "sum_value")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from driftloom.functions.columns import literal_array
 from driftloom.functions.names import q
 from driftloom.functions.stats import rank_sum_z, z_critical
-from driftloom.operators.ranks import ranked, running
+from driftloom.operators.ranks import default_buckets, ranked, running
 
 BLOCK = 4096
 
@@ -278,6 +278,11 @@ def rolling_mann_whitney(
     return out.withColumn("verdict", verdict).drop("_pl", "_s", "_n")
 
 
+def positions(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``_rn`` and ``_rn_total``; a frame that has them already is taken as it is."""
+    return df if "_rn" in df.columns else ranked(df, order, out="_rn")
+
+
 def rolling_ks(
     df: DataFrame, order: Sequence[str], ref: Sequence[float], window: int = 400, every: int = 120, score: str = "score"
 ) -> DataFrame:
@@ -289,7 +294,7 @@ def rolling_ks(
     mean, std (population).
     """
     m = float(len(ref))
-    r = ranked(df.select(*[q(c) for c in dict.fromkeys([*order, score])]), order, out="_rn")
+    r = positions(df, order).select("_rn", "_rn_total", q(score))
     i = F.col("_rn") - 1
     # Checkpoints t (multiples of every) with t - window < i <= t, inside the data, window full.
     first = F.ceil(F.greatest(i, F.lit(window - 1)) / every)
@@ -522,20 +527,23 @@ def detector_ensemble(
     )
 
 
-def forward_threshold(df: DataFrame, order: Sequence[str], changes: DataFrame, start: float, every: int, score: str = "score") -> DataFrame:
+def forward_threshold(df: DataFrame, order: Sequence[str], changes: DataFrame, start: float, every: int) -> DataFrame:
     """Apply, to every row, the threshold of the last change before it.
 
     ``changes`` has (checkpoint, threshold). The last changed checkpoint up to a row is a
     running maximum along the order; the threshold itself is then one equi-join. The row a
     change happens at still sees the old threshold.
     """
-    r = ranked(df, order, out="_rn").drop("_rn_total")
+    r = positions(df, order)
     # The row after a checkpoint is the first to see its change.
     after = F.col("_rn") - 2
     at = r.withColumn("_cp", F.when((after >= 0) & (after % every == 0), (after / every).cast("long")))
     marks = changes.select(F.col("checkpoint").cast("long").alias("_cp"), F.col("checkpoint").cast("long").alias("_hit"))
     marked = at.join(marks, "_cp", "left").drop("_cp")
-    last = running(marked, order, {"_seen": ("max", F.col("_hit"))})
+    # Positions are known, so equal slices of them are the buckets; no sketch is needed.
+    slices = F.floor((F.col("_rn") - 1) * default_buckets(df) / F.col("_rn_total"))
+    last = running(marked, ["_rn"], {"_seen": ("max", F.col("_hit"))}, bucket=slices)
     thr = changes.select(F.col("checkpoint").cast("long").alias("_seen"), F.col("threshold").alias("_t"))
     out = last.join(thr, "_seen", "left")
-    return out.withColumn("threshold", F.coalesce(F.col("_t"), F.lit(float(start)))).drop("_seen", "_t", "_hit", "_rn")
+    extra = [c for c in ("_seen", "_t", "_hit", "_rn", "_rn_total") if c not in df.columns]
+    return out.withColumn("threshold", F.coalesce(F.col("_t"), F.lit(float(start)))).drop(*extra)

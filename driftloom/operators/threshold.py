@@ -14,7 +14,7 @@ from driftloom.functions.stats import kolmogorov_p
 from driftloom.operators.metrics import binary_counts, macro_scores, threshold_sweep
 from driftloom.operators.ranks import exact_quantiles, half_split
 from driftloom.operators.sampling import with_hash
-from driftloom.operators.sequence import forward_threshold, rolling_ks
+from driftloom.operators.sequence import forward_threshold, positions, rolling_ks
 from driftloom.session import settle
 
 # Candidate quantiles of the F1 search, and points of the sweep curve.
@@ -89,12 +89,16 @@ def adapt_on_drift(
     base = ref.agg(F.avg(q(score)).alias("m"), F.stddev_pop(q(score)).alias("s")).first()
     start = base["m"] + k * base["s"]
     sample = reference_sample(ref, score, ids)
-    checks = rolling_ks(stream, order, sample, window, every, score)
+    placed = positions(stream, order)
+    checks = rolling_ks(placed, order, sample, window, every, score)
     checks = checks.withColumn("p_value", kolmogorov_p(F.col("ks"), F.lit(len(sample)), F.lit(window)))
-    checks = checks.withColumn("alarm", (F.col("p_value") < p).cast("int"))
+    # One row per checkpoint, read by the caller and by the steps below.
+    checks = settle(checks.withColumn("alarm", (F.col("p_value") < p).cast("int")))
     new = F.col("mean") + k * F.col("std") if mode == "recent" else F.lit(start)
     changes = checks.where(F.col("alarm") == 1).select("checkpoint", new.alias("threshold"))
-    out = forward_threshold(stream, order, changes, start, every, score)
+    out = forward_threshold(placed, order, changes, start, every)
+    if "_rn" not in stream.columns:
+        out = out.drop("_rn", "_rn_total")
     return out.withColumn("pred", at_least(q(score), F.col("threshold"))), checks
 
 
@@ -107,7 +111,8 @@ def tune(
     Each set is measured on both halves: choose by ``f1_calibration``, report
     ``f1_evaluation``; ``best`` marks the set with the largest calibration F1.
     """
-    parts, ref = settle(half_split(stream, order)), settle(ref)  # read again by every trial
+    # Read again by every trial, so ranked and stored once.
+    parts, ref = settle(positions(half_split(stream, order), order)), settle(ref)
     rows = []
     for i, g in enumerate(grid):
         mix = g["w1"] * q(e1) + (1 - g["w1"]) * q(e2)

@@ -48,17 +48,17 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
         raise FileNotFoundError(f"no readable Parquet table at {path}") from err
 
 
-def batch_number(path: Column) -> Column:
+def batch_number(path: Column, pattern: str = BATCH_FILE) -> Column:
     """Number in the file name, so batch10 sorts after batch9; other files sort last."""
-    digits = F.regexp_extract(path, BATCH_FILE, 1)
+    digits = F.regexp_extract(path, pattern, 1)
     return F.coalesce(F.when(digits != "", digits.cast("int")), F.lit(NO_BATCH))
 
 
-def read_libsvm_batches(spark: SparkSession, path: str, width: int = 128) -> DataFrame:
+def read_libsvm_batches(spark: SparkSession, path: str, width: int = 128, pattern: str = BATCH_FILE) -> DataFrame:
     """``(batch, label, features)`` from sparse files, features as a dense array."""
     raw = spark.read.format("libsvm").option("numFeatures", width).load(path)
     return raw.select(
-        batch_number(F.col("_metadata.file_path")).alias("batch"),
+        batch_number(F.col("_metadata.file_path"), pattern).alias("batch"),
         F.col("label").cast("int").alias("label"),
         vector_to_array("features").alias("features"),
     )
@@ -82,8 +82,8 @@ def parse_libsvm_text(lines: DataFrame, width: int = 128, text: str = "value") -
     return kept.withColumns({"label": F.element_at(pieces, 1).try_cast("double").cast("int"), "features": dense}).drop(text)
 
 
-def read_libsvm_text(spark: SparkSession, path: str, width: int = 128) -> DataFrame:
-    lines = spark.read.text(path).withColumn("batch", batch_number(F.col("_metadata.file_path")))
+def read_libsvm_text(spark: SparkSession, path: str, width: int = 128, pattern: str = BATCH_FILE) -> DataFrame:
+    lines = spark.read.text(path).withColumn("batch", batch_number(F.col("_metadata.file_path"), pattern))
     return parse_libsvm_text(lines, width)
 
 
