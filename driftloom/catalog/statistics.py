@@ -9,6 +9,7 @@ from driftloom.catalog.inputs import (
 )
 from driftloom.operators import metrics, profile, ranks, threshold
 from driftloom.operators.moments import covariance_frame
+from driftloom.session import settle
 
 CUT = 40.0
 # Events with a prediction, and the day as the batch.
@@ -295,7 +296,7 @@ BEST = f"""WITH h AS ({HALVES}), """ + sweep_sql(
 
 @query("best_f1_threshold", BEST + " SELECT round(t, 6) AS threshold, round(f1, 6) AS f1_macro FROM b")
 def best_f1(spark, sf):
-    parts = ranks.half_split(events(spark, sf), ORDER)
+    parts = settle(ranks.half_split(events(spark, sf).select("event_id", "ts", "score", "label"), ORDER))
     got = threshold.best_f1_threshold(parts.where(F.col("part") == "calibration"))
     return spark.createDataFrame([got], "threshold double, f1_macro double").select(r6("threshold"), r6("f1_macro"))
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions.columns import literal_array
 from driftloom.functions.names import q
+from driftloom.session import settle
 
 BUCKET = "_bucket"
 _FOLDS = {"sum": F.sum, "max": F.max}
@@ -253,19 +254,15 @@ def exact_quantiles(
     ).transform(base)
     # Odd bins are brackets; the value is kept there and dropped elsewhere.
     cells = F.array(*[
-        F.when(
-            F.col(f"v{i}").isNotNull(),
-            F.struct(
-                F.lit(i).alias("i"), F.col(f"b{i}").cast("long").alias(BUCKET),
-                F.when(F.col(f"b{i}") % 2 == 1, F.col(f"v{i}")).alias("v"),
-            ),
+        F.struct(
+            F.lit(i).alias("i"),
+            F.when(F.col(f"v{i}").isNotNull(), F.col(f"b{i}").cast("long")).alias(BUCKET),
+            F.when(F.col(f"b{i}") % 2 == 1, F.col(f"v{i}")).alias("v"),
         )
         for i in live
     ])
-    counts = (
-        binned.select(F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("x")).select("x.*")
-        .groupBy("i", BUCKET, "v").agg(F.count("*").alias("c"))
-    )
+    counts = binned.select(F.inline(cells)).where(F.col(BUCKET).isNotNull()).groupBy("i", BUCKET, "v")
+    counts = settle(counts.agg(F.count("*").alias("c")))  # far smaller than the table, read twice
     per_bin = counts.groupBy("i", BUCKET).agg(F.sum("c").alias("_s_cum"))
     cum = _with_offsets(counts, per_bin, [F.col("v")], {"cum": ("sum", F.col("c"))}, ["i"], False)
     start = F.col("cum") - F.col("c")

@@ -47,13 +47,52 @@ def stratified_folds(df: DataFrame, ids: Sequence[str], label: str = "label", fo
     return dealt.withColumn(out, ((F.col("_rn") - 1) % folds).cast("int")).drop("_rn", "_rn_total")
 
 
+FINE_ENOUGH = 100_000
+DIGIT = 12  # hash bits looked at per pass
+
+
+def hash_cut(df: DataFrame, ids: Sequence[str], k: int, seed: int = 42) -> int:
+    """The k-th smallest row hash: rows with a hash up to it are a random sample of k rows.
+
+    Found digit by digit. Each pass counts the rows per value of the next bits (at most 4096
+    numbers come back) and goes on inside the value that holds the k-th row; the last few
+    rows are read in order. Taking the sample is then a plain filter, without a shuffle.
+    """
+    if k <= 0:
+        return -1
+    h = F.col(HASH)
+    rest, shift, left = with_hash(df, ids, seed).select(HASH), 63, k
+    while True:
+        if shift <= DIGIT:
+            break
+        shift -= DIGIT
+        digit = F.shiftrightunsigned(h, shift).alias("d")
+        counts = sorted((r["d"], r["n"]) for r in rest.groupBy(digit).agg(F.count("*").alias("n")).collect())
+        for d, n in counts:
+            if left <= n:
+                break
+            left -= n
+        else:
+            return (1 << 63) - 1  # fewer than k rows: all of them
+        rest = rest.where(F.shiftrightunsigned(h, shift) == d)
+        if n <= FINE_ENOUGH:
+            break
+    return rest.orderBy(HASH).limit(left).agg(F.max(HASH)).first()[0]
+
+
+def hash_sample(df: DataFrame, ids: Sequence[str], k: int, seed: int = 42) -> DataFrame:
+    """k random rows, the same ones whatever the partitioning."""
+    cut = hash_cut(df, ids, k, seed)
+    return with_hash(df, ids, seed).where(F.col(HASH) <= cut).drop(HASH)
+
+
 def rebalance(df: DataFrame, ids: Sequence[str], rate: float, label: str = "label", seed: int = 42, at_least_one: bool = True) -> DataFrame:
     """All normal rows and as many anomalies as make up ``rate`` of the result."""
     c = df.agg(F.count(F.when(q(label) == 0, 1)).alias("n0"), F.count(F.when(q(label) == 1, 1)).alias("n1")).first()
     wanted = int(c["n0"] * rate / (1 - rate))
     wanted = min(max(1, wanted) if at_least_one else wanted, c["n1"])
-    dealt = hash_ranked(df.where(q(label).isin(0, 1)), ids, [label], seed, "_rn")
-    return dealt.where((q(label) == 0) | (F.col("_rn") <= wanted)).drop("_rn", "_rn_total")
+    cut = hash_cut(df.where(q(label) == 1), ids, wanted, seed)
+    return with_hash(df, ids, seed).where((q(label) == 0) | ((q(label) == 1) & (F.col(HASH) <= cut))).drop(HASH)
 
 
 def init_sample(df: DataFrame, ids: Sequence[str], size: int = 2000, label: str = "label", seed: int = 42) -> DataFrame:
@@ -75,15 +114,18 @@ def permute_cells(df: DataFrame, ids: Sequence[str], cols: Sequence[str], share:
     takes the value of the cell at place i of the second. Long output (ids, column, value,
     permuted, chosen).
     """
+    ids = list(ids)
     cells = df.unpivot([q(c) for c in ids], [q(c) for c in cols], "column", "value")
     keys = [*ids, "column"]
-    first = hash_ranked(cells, keys, seed=seed, out="_a")
-    marked = first.withColumn("chosen", F.col("_a") <= F.floor(F.col("_a_total") * share)).drop("_a_total")
-    picked = marked.where("chosen")
-    givers = hash_ranked(picked.select(*keys, "value"), keys, seed=seed + 1, out="_b")
-    givers = givers.select(F.col("_b").alias("_a"), F.col("value").alias("_given"), F.lit(True).alias("chosen"))
-    joined = marked.join(givers, ["_a", "chosen"], "left")
-    return joined.select(*keys, "value", F.when(F.col("chosen"), F.col("_given")).otherwise(F.col("value")).alias("permuted"), "chosen")
+    cut = hash_cut(cells, keys, int(df.count() * len(cols) * share), seed)
+    marked = with_hash(cells, keys, seed).withColumn("chosen", F.col(HASH) <= cut).drop(HASH)
+    picked = marked.where("chosen").drop("chosen")
+    # Only the chosen cells are shuffled.
+    takers = hash_ranked(picked, keys, seed=seed + 1, out="_at").drop("_at_total")
+    givers = hash_ranked(picked, keys, seed=seed + 2, out="_at").select("_at", F.col("value").alias("permuted"))
+    moved = takers.join(givers, "_at").select(*keys, "value", "permuted", F.lit(True).alias("chosen"))
+    stay = marked.where(~F.col("chosen")).select(*keys, "value", F.col("value").alias("permuted"), "chosen")
+    return stay.unionByName(moved)
 
 
 def affected_columns(cols: Sequence[str], intensity: float, seed: int = 42) -> list[str]:
@@ -95,8 +137,7 @@ def inject_drift(df: DataFrame, cols: Sequence[str], ids: Sequence[str], kind: s
     """Drift on some columns: 'scale' (signed cube root), 'shift' (+2 std), 'noise'
     (+ N(0, std)), or 'missing' (drop that share of the rows)."""
     if kind == "missing":
-        dealt = hash_ranked(df, ids, seed=seed, out="_rn")
-        return dealt.where(F.col("_rn") <= F.floor(F.col("_rn_total") * (1.0 - intensity))).drop("_rn", "_rn_total")
+        return hash_sample(df, ids, int(df.count() * (1.0 - intensity)), seed)
     hit = affected_columns(cols, intensity, seed)
     if kind == "scale":
         return df.withColumns({c: signed_cbrt(q(c)) for c in hit})

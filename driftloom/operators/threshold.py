@@ -64,7 +64,8 @@ def compare_thresholds(df: DataFrame, thresholds: Mapping[str, float], score: st
 
 def leak_free(df: DataFrame, order: Sequence[str], factory: float, score: str = "score", label: str = "label") -> DataFrame:
     """Choose the threshold on the earlier half, report both thresholds on the later half only."""
-    parts = half_split(df, order)
+    slim = df.select(*[q(c) for c in dict.fromkeys([*order, score, label])])
+    parts = settle(half_split(slim, order))
     cal, ev = parts.where(F.col("part") == "calibration"), parts.where(F.col("part") == "evaluation")
     chosen, _ = best_f1_threshold(cal, score, label)
     return compare_thresholds(ev, {"before": factory, "after": chosen}, score, label)
