@@ -39,6 +39,11 @@ def literal_array(values: Sequence[float], kind: str = "double") -> Column:
     return F.expr("array(" + ", ".join(f"{int(v) if kind == 'long' else repr(float(v))}{mark}" for v in values) + ")")
 
 
+def plain_zero(x: Column) -> Column:
+    """-0.0 as 0.0: a bucketizer puts them into different buckets, comparisons call them equal."""
+    return F.when(x == 0, F.lit(0.0)).otherwise(x)
+
+
 def composite_key(*cols: str | Column) -> Column:
     """``SITE_FREQ`` style key; null when a part is null."""
     parts = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]

@@ -12,7 +12,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.functions.columns import ADVICE_BANDS, DRIFT_BANDS, PSI_BANDS, band, clip
+from driftloom.functions.columns import ADVICE_BANDS, DRIFT_BANDS, PSI_BANDS, band, clip, plain_zero
 from driftloom.functions.names import q
 from driftloom.functions.stats import kolmogorov_p, rank_sum_z, two_sided_p
 from driftloom.operators.moments import ARR, Moments, Pca, any_row, fit_pca, moments, packed_moments, residual_mse, unpack
@@ -208,7 +208,7 @@ def scenario_matrix(df: DataFrame, ids: Sequence[str], cols: Sequence[str], mode
 
 def _two_samples(ref: DataFrame, cur: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
     def side(df: DataFrame, is_ref: int) -> DataFrame:
-        return df.select(*[q(c) for c in by], q(col).cast("double").alias("v"), F.lit(is_ref).alias("r"))
+        return df.select(*[q(c) for c in by], plain_zero(q(col).cast("double")).alias("v"), F.lit(is_ref).alias("r"))
 
     return side(ref, 1).unionByName(side(cur, 0))
 
@@ -242,7 +242,7 @@ def psi_bins(ref: DataFrame, cur: DataFrame, col: str, bins: int = 10, floor: fl
     edges = exact_quantiles(ref, [col], [i / bins for i in range(bins + 1)])[col]
     if edges[0] is None:
         raise ValueError("the reference has no values")
-    inner = sorted(set(edges[1:-1]))
+    inner = sorted({e + 0.0 for e in edges[1:-1]})
     rows = _two_samples(ref, cur, col, []).where(F.col("v").isNotNull())
     splits = [-math.inf, *inner, math.inf]
     cut = Bucketizer(splits=splits, inputCol="v", outputCol="bin", handleInvalid="keep").transform(rows)

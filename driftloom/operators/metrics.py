@@ -8,6 +8,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftloom.functions.columns import plain_zero
 from driftloom.functions.names import q
 from driftloom.operators.ranks import running_by_value
 
@@ -129,10 +130,10 @@ def threshold_counts(df: DataFrame, thresholds: Sequence[float], by: Sequence[st
     intervals are then summed from the top. No row meets more than one threshold.
     """
     by = list(by)
-    grid = sorted(set(float(t) for t in thresholds))
+    grid = sorted({float(t) + 0.0 for t in thresholds})
     spark = df.sparkSession
     splits = [float("-inf"), *grid, float("inf")]
-    rows = df.select(*by, q(score).cast("double").alias("_score"), (q(label) == 1).alias("_y"))
+    rows = df.select(*by, plain_zero(q(score).cast("double")).alias("_score"), (q(label) == 1).alias("_y"))
     cut = Bucketizer(splits=splits, inputCol="_score", outputCol="_bin", handleInvalid="keep").transform(rows)
     counts = cut.groupBy(*by, F.col("_bin").cast("int").alias("bin")).agg(
         F.count(F.when(F.col("_y"), 1)).alias("pos"), F.count(F.when(~F.col("_y"), 1)).alias("neg")

@@ -22,7 +22,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftloom.functions.columns import literal_array
+from driftloom.functions.columns import literal_array, plain_zero
 from driftloom.functions.names import q
 from driftloom.session import settle
 
@@ -46,7 +46,7 @@ def split_points(df: DataFrame, col: str, n: int) -> list[float]:
 
 
 def _bucketize(df: DataFrame, col: str, points: Sequence[float], out: str) -> DataFrame:
-    inner = sorted({float(p) for p in points if math.isfinite(p)})
+    inner = sorted({float(p) + 0.0 for p in points if math.isfinite(p)})
     if not inner:
         return df.withColumn(out, F.lit(0.0))
     splits = [-math.inf, *inner, math.inf]
@@ -56,13 +56,13 @@ def _bucketize(df: DataFrame, col: str, points: Sequence[float], out: str) -> Da
 def order_buckets(df: DataFrame, order: Sequence[str], n: int | None = None, out: str = BUCKET) -> DataFrame:
     """Add a bucket number that never decreases along ``order`` (numbers or times)."""
     n = n or default_buckets(df)
-    keyed = df.withColumn("_k0", q(order[0]).cast("double"))
+    keyed = df.withColumn("_k0", plain_zero(q(order[0]).cast("double")))
     points = split_points(keyed, "_k0", n)
     hot = sorted({a for a, b in zip(points, points[1:]) if a == b})
     keyed = _bucketize(keyed, "_k0", [*points, *[math.nextafter(h, math.inf) for h in hot]], "_b0")
     if hot and len(order) > 1:
         is_hot = F.col("_k0").isin(hot)
-        keyed = keyed.withColumn("_k1", q(order[1]).cast("double"))
+        keyed = keyed.withColumn("_k1", plain_zero(q(order[1]).cast("double")))
         sub = split_points(keyed.where(is_hot), "_k1", n)
         keyed = _bucketize(keyed, "_k1", sub, "_b1")
         bucket = F.col("_b0") * (n + 1) + F.when(is_hot, F.col("_b1")).otherwise(0.0)
@@ -217,7 +217,7 @@ def exact_quantiles(
     about 4 / accuracy of the rows per quantile, are counted one by one and put in order.
     """
     cols, probs = list(cols), list(probs)
-    raw = [q(c).cast("double") for c in cols]
+    raw = [plain_zero(q(c).cast("double")) for c in cols]
     base = df.select(*[F.when(~F.isnan(v), v).alias(f"v{i}") for i, v in enumerate(raw)])
     eps = 4.0 / accuracy
     sides = literal_array([max(0.0, p - eps) for p in probs] + [min(1.0, p + eps) for p in probs])

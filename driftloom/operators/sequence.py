@@ -23,7 +23,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftloom.functions.columns import literal_array
+from driftloom.functions.columns import literal_array, plain_zero
 from driftloom.functions.names import q
 from driftloom.functions.stats import rank_sum_z, z_critical
 from driftloom.operators.ranks import default_buckets, ranked, running
@@ -242,12 +242,12 @@ def against_reference(df: DataFrame, value: str, ref: Sequence[float], le: str =
     ``ref`` is a sample of bounded size. Its distinct values are the split points of a
     bucketizer (a binary search in the JVM), the counts are looked up by bucket.
     """
-    values, counts = np.unique(np.asarray(ref, dtype=float), return_counts=True)
+    values, counts = np.unique(np.asarray(ref, dtype=float) + 0.0, return_counts=True)
     upto = literal_array([0, *np.cumsum(counts).tolist()], "long")
     at = literal_array([values[0] - 1.0, *values.tolist()])
     splits = [-math.inf, *values.tolist(), math.inf]
     cut = Bucketizer(splits=splits, inputCol="_val", outputCol="_pos", handleInvalid="keep").transform(
-        df.withColumn("_val", q(value).cast("double"))
+        df.withColumn("_val", plain_zero(q(value).cast("double")))
     )
     pos = F.col("_pos").cast("int")
     same = (pos > 0) & (F.get(at, pos) == F.col("_val"))
