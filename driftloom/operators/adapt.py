@@ -19,7 +19,7 @@ from driftloom.functions.names import numeric_columns, q
 from driftloom.operators.metrics import accuracy
 from driftloom.operators.moments import ARR, Pca, Moments, fit_pca, row_errors
 from driftloom.operators.sampling import stratified_folds
-from driftloom.operators.sequence import adwin
+from driftloom.operators.sequence import adwin_resume
 
 
 def linear_fit(df: DataFrame, cols: Sequence[str] | None = None) -> tuple[object, dict[str, float]]:
@@ -65,10 +65,10 @@ def importance_change(spark, old: RandomForestClassificationModel, new: RandomFo
     return table.orderBy(F.desc("new"), "feature").limit(n)
 
 
-def batch_drift(pred: DataFrame, order: Sequence[str], label: str = "label") -> bool:
-    """ADWIN on the 0/1 errors of one batch, walked as block sums."""
-    errors = pred.withColumns({"_err": (q(label) != F.col("pred")).cast("int"), "_s": F.lit(0)})
-    return adwin(errors, order, "_err", ["_s"]).agg(F.max("drift")).first()[0] == 1
+def batch_drift(pred: DataFrame, order: Sequence[str], window: Sequence[tuple] = (), label: str = "label") -> tuple[bool, list[tuple]]:
+    """ADWIN on the 0/1 errors of one batch, going on from the window of the batches before."""
+    errors = pred.withColumn("_err", (q(label) != F.col("pred")).cast("int"))
+    return adwin_resume(errors, order, "_err", window)
 
 
 def strategies(df: DataFrame, order: Sequence[str], trees: int = 50, batch: str = "batch", arr: str = ARR, label: str = "label") -> DataFrame:
@@ -81,7 +81,7 @@ def strategies(df: DataFrame, order: Sequence[str], trees: int = 50, batch: str
     numbers = [r[0] for r in df.select(q(batch)).distinct().orderBy(batch).collect()]
     first = fit_forest(df.where(q(batch) == numbers[0]), trees, arr=arr, label=label)
     models = {name: first for name in ("static", "cumulative", "window", "drift")}
-    rows = []
+    rows, window = [], []
     for b in numbers:
         cur = df.where(q(batch) == b)
         drifted = False
@@ -92,7 +92,7 @@ def strategies(df: DataFrame, order: Sequence[str], trees: int = 50, batch: str
                 scored[id(model)] = (float(accuracy(p, label=label).first()["accuracy"]), p)
             acc, p = scored[id(model)]
             if name == "drift" and b != numbers[0]:
-                drifted = batch_drift(p, order, label)
+                drifted, window = batch_drift(p, order, window, label)
             rows.append((int(b), name, acc, int(name == "drift" and drifted), b == numbers[0]))
         if b == numbers[-1]:
             break

@@ -424,6 +424,38 @@ def adwin(df: DataFrame, order: Sequence[str], value: str, by: Sequence[str], cl
     )
 
 
+def adwin_resume(df: DataFrame, order: Sequence[str], value: str, buckets: Sequence[tuple] = (), clock: int = 32, delta: float = 0.002) -> tuple[bool, list[tuple]]:
+    """Walk one batch of a stream from the window the last batch left behind.
+
+    Stops at the first drift. Returns whether there was one, and the window to go on with
+    (empty after a drift). The window is a few dozen buckets, whatever the stream's length.
+    """
+    held = [tuple(b) for b in buckets]
+
+    def start() -> dict:
+        w = Adwin(delta)
+        w.buckets = list(held)
+        return {"w": w, "hit": False}
+
+    def step(box: dict, rows: pd.DataFrame) -> pd.DataFrame:
+        for n, s, ss in zip(rows["n"], rows["s"], rows["ss"]):
+            box["hit"] = box["hit"] or box["w"].update(n, s, ss)
+        parts = [list(c) for c in zip(*box["w"].buckets)]
+        return pd.DataFrame({"block": [rows["block"].max()], "hit": [int(box["hit"])], "level": [parts[0]], "n": [parts[1]], "s": [parts[2]], "ss": [parts[3]]})
+
+    sums = block_sums(df, order, value, clock=clock).withColumn("_stream", F.lit(0))
+    walked = keyed_fold(
+        sums, ["_stream"], ["block"], start, step,
+        "block long, hit int, level array<int>, n array<double>, s array<double>, ss array<double>",
+    )
+    end = walked.agg(F.max_by(F.struct("hit", "level", "n", "s", "ss"), "block").alias("e")).first()["e"]
+    if end is None:
+        return False, held
+    if end["hit"]:
+        return True, []
+    return False, list(zip(end["level"], end["n"], end["s"], end["ss"]))
+
+
 class DetectorEnsemble:
     """Several rank-sum detectors and thresholds that vote, warn, and reset together."""
 

@@ -64,10 +64,10 @@ def logged_run(spark: SparkSession, path: str, experiment: str, name: str = ""):
         run.flush()
 
 
-def append_gauges(spark: SparkSession, path: str, batch: int | None, values: Mapping[str, float]) -> None:
+def append_gauges(spark: SparkSession, path: str, batch: int | None, values: Mapping[str, float], mode: str = "append") -> None:
     """One row per gauge; ``batch`` is None for gauges without a batch label."""
     rows = [(k, batch, float(v)) for k, v in values.items()]
-    spark.createDataFrame(rows, METRIC_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame(rows, METRIC_SCHEMA).coalesce(1).write.mode(mode).parquet(path)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:

@@ -22,9 +22,9 @@ def drift_loop(stream: DataFrame, order: Sequence[str], trees: int = 50, batch:
     """
     spark = stream.sparkSession
     path = work_path(spark, "gauges")
-    held: dict = {}
+    held: dict = {"window": []}
 
-    def handle(rows: DataFrame, _: int) -> None:
+    def handle(rows: DataFrame, number: int) -> None:
         cur = settle(rows)  # several jobs read the same micro-batch
         head = cur.agg(F.min(batch).alias("b"), F.count("*").alias("n")).first()
         if not head["n"]:
@@ -36,7 +36,7 @@ def drift_loop(stream: DataFrame, order: Sequence[str], trees: int = 50, batch:
             pred = settle(predict(held["model"], cur, arr, label))
             acc = accuracy(pred, label=label).first()
             macro = macro_scores(pred, label=label).first()
-            drifted = batch_drift(pred, order, label)
+            drifted, held["window"] = batch_drift(pred, order, held["window"], label)
             gauges |= {
                 "model_accuracy": acc["accuracy"], "model_error_rate": acc["error_rate"],
                 "model_f1_macro": macro["f1_macro"], "model_precision_macro": macro["precision_macro"],
@@ -45,7 +45,9 @@ def drift_loop(stream: DataFrame, order: Sequence[str], trees: int = 50, batch:
             }
             if drifted:
                 held["model"] = fit_forest(cur, trees, arr=arr, label=label)
-        append_gauges(spark, path, int(head["b"]), gauges)
+        # The micro-batch owns its folder, so a repeated one overwrites its own gauges only.
+        append_gauges(spark, f"{path}/part={number}", int(head["b"]), gauges, "overwrite")
 
     for_each_batch(stream, handle, "drift-loop")
-    return spark.read.schema(METRIC_SCHEMA).parquet(path)
+    stored = spark.read.option("basePath", path).schema(METRIC_SCHEMA).parquet(path)
+    return stored.select("name", "batch", "value")
