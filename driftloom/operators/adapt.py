@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions.names import numeric_columns, q
 from driftloom.operators.metrics import accuracy
-from driftloom.operators.moments import ARR, Pca, Moments, fit_pca, row_errors
+from driftloom.operators.moments import ARR, Moments, Pca, fit_pca, packed_moments, residual_mse, unpack
 from driftloom.operators.sampling import stratified_folds
 from driftloom.operators.sequence import adwin_resume
 
@@ -105,26 +105,40 @@ def strategies(df: DataFrame, order: Sequence[str], trees: int = 50, batch: str
     return df.sparkSession.createDataFrame(rows, "batch int, strategy string, accuracy double, drift int, in_sample boolean")
 
 
+DIRECT_ROWS = 10_000
+
+
 def adaptation_losses(df: DataFrame, base: Moments, target: float | int = 0.90, weight: float = 0.5, batch: str = "batch", arr: str = ARR) -> DataFrame:
     """Reconstruction loss of every micro-batch before and after adapting to it.
 
     Every batch starts from the base model again: its components are refitted on the base
-    covariance blended with the batch's own (``weight`` is the batch's part). Micro-batches
-    are small and independent groups.
+    covariance blended with the batch's own (``weight`` is the batch's part). Both losses
+    follow from the batch's moments. Micro-batches are gathered as they are; when a batch is
+    large, its moments are summed across tasks instead.
     """
     pca: Pca = fit_pca(base, target)
     kind = dict(df.dtypes)[batch]
+    schema = f"`{batch}` {kind}, n long, loss_before double, loss_after double"
+    largest = df.groupBy(batch).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.vstack(pdf["_x"].to_numpy()).astype(float)
-        mean = (1 - weight) * base.mean + weight * x.mean(axis=0)
-        spread = lambda m, cov: cov + np.outer(m - mean, m - mean)
-        cov = (1 - weight) * spread(base.mean, base.cov) + weight * spread(x.mean(axis=0), np.cov(x.T, bias=True).reshape(base.cov.shape))
+    def losses(m: Moments) -> tuple[int, float, float]:
+        mean = (1 - weight) * base.mean + weight * m.mean
+        between = [np.outer(x - mean, x - mean) for x in (base.mean, m.mean)]
+        cov = (1 - weight) * (base.cov + between[0]) + weight * (m.cov + between[1])
         adapted = fit_pca(Moments(base.n, mean, cov), pca.k, scale=base)
-        return pd.DataFrame({
-            batch: [pdf[batch].iloc[0]], "n": [len(x)],
-            "loss_before": [row_errors(x, pca).mean()], "loss_after": [row_errors(x, adapted).mean()],
-        })
+        return int(m.n), residual_mse(m, pca), residual_mse(m, adapted)
 
-    rows = df.select(q(batch), q(arr).cast("array<double>").alias("_x"))
-    return rows.groupBy(batch).applyInPandas(run, f"`{batch}` {kind}, n long, loss_before double, loss_after double")
+    def gathered(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.vstack(pdf["_x"].to_numpy()).astype(float)
+        m = Moments(float(len(x)), x.mean(axis=0), np.cov(x.T, bias=True).reshape(base.cov.shape))
+        return pd.DataFrame([(pdf[batch].iloc[0], *losses(m))], columns=[batch, "n", "loss_before", "loss_after"])
+
+    def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [(k, *losses(unpack(np.asarray(v, dtype=float), base.mean))) for k, v in zip(pdf[batch], pdf["packed"])]
+            yield pd.DataFrame(rows, columns=[batch, "n", "loss_before", "loss_after"])
+
+    if largest <= DIRECT_ROWS:
+        rows = df.select(q(batch), q(arr).cast("array<double>").alias("_x"))
+        return rows.groupBy(batch).applyInPandas(gathered, schema)
+    return packed_moments(df, base.mean, arr, [batch]).mapInPandas(summed, schema)

@@ -53,59 +53,114 @@ def _bucketize(df: DataFrame, col: str, points: Sequence[float], out: str) -> Da
     return Bucketizer(splits=splits, inputCol=col, outputCol=out, handleInvalid="keep").transform(df)
 
 
-def order_buckets(df: DataFrame, order: Sequence[str], n: int | None = None, out: str = BUCKET) -> DataFrame:
-    """Add a bucket number that never decreases along ``order`` (numbers or times)."""
+def order_buckets(df: DataFrame, order: Sequence[str], n: int | None = None, out: str = BUCKET, sketch: DataFrame | None = None) -> DataFrame:
+    """Add a bucket number that never decreases along ``order`` (numbers or times).
+
+    ``sketch`` holds the rows whose quantiles are the split points (by default all of them).
+    """
     n = n or default_buckets(df)
-    keyed = df.withColumn("_k0", plain_zero(q(order[0]).cast("double")))
-    points = split_points(keyed, "_k0", n)
+
+    def key(frame: DataFrame, name: str, col: str) -> DataFrame:
+        return frame.withColumn(name, plain_zero(q(col).cast("double")))
+
+    keyed, seen = key(df, "_k0", order[0]), key(df if sketch is None else sketch, "_k0", order[0])
+    points = split_points(seen, "_k0", n)
     hot = sorted({a for a, b in zip(points, points[1:]) if a == b})
     keyed = _bucketize(keyed, "_k0", [*points, *[math.nextafter(h, math.inf) for h in hot]], "_b0")
+    bucket = F.col("_b0")
     if hot and len(order) > 1:
         is_hot = F.col("_k0").isin(hot)
-        keyed = keyed.withColumn("_k1", plain_zero(q(order[1]).cast("double")))
-        sub = split_points(keyed.where(is_hot), "_k1", n)
-        keyed = _bucketize(keyed, "_k1", sub, "_b1")
+        sub = split_points(key(seen.where(is_hot), "_k1", order[1]), "_k1", n)
+        keyed = _bucketize(key(keyed, "_k1", order[1]), "_k1", sub, "_b1")
         bucket = F.col("_b0") * (n + 1) + F.when(is_hot, F.col("_b1")).otherwise(0.0)
-    else:
-        bucket = F.col("_b0")
     return keyed.withColumn(out, F.coalesce(bucket, F.lit(-1.0)).cast("long")).drop("_k0", "_k1", "_b0", "_b1")
 
 
+HOT_ROWS = 1_000_000
+
+
+def hot_groups(df: DataFrame, by: Sequence[str]) -> DataFrame | None:
+    """Groups too large for one task, or None when there are none.
+
+    Large means more rows than a fair share of a task, so there are fewer such groups than
+    tasks and their list may be broadcast. All other groups are left to plain windows.
+    """
+    n = df.count()
+    limit = max(HOT_ROWS, n // default_buckets(df))
+    if n <= limit:
+        return None
+    keys = df.groupBy(*[q(c) for c in by]).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).drop("_n")
+    rows = keys.collect()
+    return df.sparkSession.createDataFrame(rows, keys.schema) if rows else None
+
+
+def same_group(by: Sequence[str], prefix: str) -> Column:
+    """Null-safe equality of group columns with their prefixed copies."""
+    cond = F.lit(True)
+    for c in by:
+        cond = cond & q(c).eqNullSafe(q(f"{prefix}{c}"))
+    return cond
+
+
+def prefixed(df: DataFrame, by: Sequence[str], prefix: str) -> DataFrame:
+    return df.withColumnsRenamed({c: f"{prefix}{c}" for c in by})
+
+
+def _assign(df: DataFrame, order: Sequence[str], by: Sequence[str], n: int | None, bucket: Column | None) -> tuple[DataFrame, bool]:
+    """Rows with their bucket, and whether any group has more than one.
+
+    Without groups all rows are bucketed; with groups only those of hot groups are, and the
+    others stay in bucket -2 as a whole.
+    """
+    if not by:
+        return (order_buckets(df, order, n) if bucket is None else df.withColumn(BUCKET, bucket)), True
+    hot = hot_groups(df, by)
+    if hot is None:
+        return df.withColumn(BUCKET, F.lit(-2).cast("long")), False
+    side = F.broadcast(prefixed(hot, by, "_h_").withColumn("_hot", F.lit(True)))
+    marked = df.join(side, same_group(by, "_h_"), "left").drop(*[f"_h_{c}" for c in by])
+    cut = order_buckets(marked, order, n, sketch=marked.where("_hot")) if bucket is None else marked.withColumn(BUCKET, bucket)
+    return cut.withColumn(BUCKET, F.when(F.col("_hot"), F.col(BUCKET)).otherwise(F.lit(-2))).drop("_hot"), True
+
+
 def _with_offsets(
     cut: DataFrame,
-    per_bucket: DataFrame,
+    per_bucket: DataFrame | None,
     order: Sequence[Column],
     folds: Mapping[str, tuple[str, Column]],
     by: Sequence[str],
     totals: bool,
 ) -> DataFrame:
     """Running values inside each (group, bucket) plus the totals of the buckets before it."""
-    before = Window.partitionBy(*[q(c) for c in by]).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*[q(c) for c in by])
-    offsets = per_bucket.select(
-        *[q(c).alias(f"_g_{c}") for c in by],
-        F.col(BUCKET).alias("_g_bucket"),
-        *[_FOLDS[k](f"_s_{o}").over(before).alias(f"_o_{o}") for o, (k, _) in folds.items()],
-        *([_FOLDS[k](f"_s_{o}").over(whole).alias(f"{o}_total") for o, (k, _) in folds.items()] if totals else []),
-    )
-    if not by:
-        # One row per bucket: MAX_BUCKETS plus the cuts of hot values bound its size.
-        offsets = F.broadcast(offsets)
-    cond = F.col(BUCKET) == F.col("_g_bucket")
-    for c in by:
-        cond = cond & q(c).eqNullSafe(q(f"_g_{c}"))
-    inside = (
-        Window.partitionBy(*[q(c) for c in by], BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
+    part = Window.partitionBy(*[q(c) for c in by], BUCKET)
+    inside = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = cut
+    if per_bucket is not None:
+        before = Window.partitionBy(*[q(c) for c in by]).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.partitionBy(*[q(c) for c in by])
+        offsets = per_bucket.select(
+            *[q(c).alias(f"_g_{c}") for c in by],
+            F.col(BUCKET).alias("_g_bucket"),
+            *[_FOLDS[k](f"_s_{o}").over(before).alias(f"_o_{o}") for o, (k, _) in folds.items()],
+            *[_FOLDS[k](f"_s_{o}").over(whole).alias(f"_t_{o}") for o, (k, _) in folds.items() if totals],
+        )
+        # One row per bucket, of all rows or of the few hot groups: its size is bounded by
+        # MAX_BUCKETS, the cuts of hot values, and the number of hot groups.
+        joined = cut.join(F.broadcast(offsets), (F.col(BUCKET) == F.col("_g_bucket")) & same_group(by, "_g_"), "left")
     outs = {}
     for o, (k, e) in folds.items():
-        local = _FOLDS[k](e).over(inside)
-        if k == "sum":
-            outs[o] = F.coalesce(local, F.lit(0)) + F.coalesce(F.col(f"_o_{o}"), F.lit(0))
+        local, all_here = _FOLDS[k](e).over(inside), _FOLDS[k](e).over(part)
+        if per_bucket is None:
+            outs[o] = F.coalesce(local, F.lit(0)) if k == "sum" else local
+            total = all_here
         else:
-            outs[o] = F.greatest(local, F.col(f"_o_{o}"))
-    drop = [BUCKET, "_g_bucket", *[f"_g_{c}" for c in by], *[f"_o_{o}" for o in folds]]
-    return cut.join(offsets, cond).withColumns(outs).drop(*drop)
+            off = F.col(f"_o_{o}")
+            outs[o] = F.coalesce(local, F.lit(0)) + F.coalesce(off, F.lit(0)) if k == "sum" else F.greatest(local, off)
+            total = F.coalesce(F.col(f"_t_{o}"), all_here) if by and totals else F.col(f"_t_{o}")
+        if totals:
+            outs[f"{o}_total"] = total
+    drop = [BUCKET, "_g_bucket", *[f"_g_{c}" for c in by], *[f"{x}{o}" for x in ("_o_", "_t_") for o in folds]]
+    return joined.withColumns(outs).drop(*drop)
 
 
 def running(
@@ -122,12 +177,16 @@ def running(
     ``folds`` maps an output name to ``("sum" | "max", expression)``. Rows equal in all of
     ``order`` get their running values in any order, so end it with a unique column. With
     ``totals`` each output also gets ``<name>_total``. ``bucket`` replaces the sketch when
-    a monotone bucket of the first order column is known beforehand (e.g. top hash bits).
+    a monotone bucket of the first order column is known beforehand (e.g. top hash bits);
+    it must take a bounded number of values.
     """
-    cut = df.withColumn(BUCKET, bucket) if bucket is not None else order_buckets(df, order, buckets)
-    sums = [_FOLDS[k](e).alias(f"_s_{o}") for o, (k, e) in folds.items()]
-    per_bucket = cut.groupBy(*[q(c) for c in by], BUCKET).agg(*sums)
-    return _with_offsets(cut, per_bucket, [q(c) for c in order], folds, list(by), totals)
+    by = list(by)
+    cut, split = _assign(df, order, by, buckets, bucket)
+    per_bucket = None
+    if split:
+        rows = cut.where(F.col(BUCKET) != -2) if by else cut
+        per_bucket = rows.groupBy(*[q(c) for c in by], BUCKET).agg(*[_FOLDS[k](e).alias(f"_s_{o}") for o, (k, e) in folds.items()])
+    return _with_offsets(cut, per_bucket, [q(c) for c in order], folds, by, totals)
 
 
 def running_by_value(
@@ -143,10 +202,12 @@ def running_by_value(
     only the last pass shuffles, after equal values were combined on the map side.
     """
     by = list(by)
-    cut = order_buckets(df.where(q(value).isNotNull()), [value])
-    aggs = [F.sum(e).alias(o) for o, e in sums.items()]
-    per_bucket = cut.groupBy(*[q(c) for c in by], BUCKET).agg(*[F.sum(e).alias(f"_s_cum_{o}") for o, e in sums.items()])
-    per_value = cut.groupBy(*[q(c) for c in by], BUCKET, q(value)).agg(*aggs)
+    cut, split = _assign(df.where(q(value).isNotNull()), [value], by, None, None)
+    per_bucket = None
+    if split:
+        rows = cut.where(F.col(BUCKET) != -2) if by else cut
+        per_bucket = rows.groupBy(*[q(c) for c in by], BUCKET).agg(*[F.sum(e).alias(f"_s_cum_{o}") for o, e in sums.items()])
+    per_value = cut.groupBy(*[q(c) for c in by], BUCKET, q(value)).agg(*[F.sum(e).alias(o) for o, e in sums.items()])
     folds = {f"cum_{o}": ("sum", F.col(o)) for o in sums}
     return _with_offsets(per_value, per_bucket, [q(value)], folds, by, totals)
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from driftloom.functions.columns import literal_array, plain_zero
 from driftloom.functions.names import q
 from driftloom.functions.stats import rank_sum_z, z_critical
-from driftloom.operators.ranks import default_buckets, ranked, running
+from driftloom.operators.ranks import default_buckets, hot_groups, prefixed, ranked, running, same_group
 
 BLOCK = 4096
 
@@ -57,9 +57,24 @@ def moving(
 
     ``exprs`` maps an output to a function of the window, e.g. ``lambda w: F.avg("x").over(w)``.
     """
-    blocks = halo_blocks(df, order, by, back, ahead, size)
-    w = Window.partitionBy(*[q(c) for c in by], "_block").orderBy("_rn").rowsBetween(-back, ahead)
-    return blocks.withColumns({o: f(w) for o, f in exprs.items()}).where("_own").drop("_rn", "_block", "_own")
+    def plain(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*[q(c) for c in by]).orderBy(*[q(c) for c in order]).rowsBetween(-back, ahead)
+        return rows.withColumns({o: f(w) for o, f in exprs.items()})
+
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        blocks = halo_blocks(rows, order, by, back, ahead, size)
+        w = Window.partitionBy(*[q(c) for c in by], "_block").orderBy("_rn").rowsBetween(-back, ahead)
+        return blocks.withColumns({o: f(w) for o, f in exprs.items()}).where("_own").drop("_rn", "_block", "_own")
+
+    if not by:
+        return in_blocks(df)
+    hot = hot_groups(df, by)
+    if hot is None:
+        return plain(df)
+    # Hot groups go through blocks, all others through one window per group.
+    side = F.broadcast(prefixed(hot, by, "_h_"))
+    cold = df.join(side, same_group(by, "_h_"), "left_anti")
+    return plain(cold).unionByName(in_blocks(df.join(side, same_group(by, "_h_"), "left_semi")))
 
 
 def sliding_windows(df: DataFrame, cols: Sequence[str], size: int, cell: str = "CELL", time: str = "DATETIME", tie: Sequence[str] = ()) -> DataFrame:
@@ -128,7 +143,8 @@ def _carry(blocks: DataFrame, by: list[str], fade: float, chunk: int) -> DataFra
     inside = runs.groupBy(*by, "_run").applyInPandas(compose, lead)
     ends = inside.where(F.col("_block") == -1)
     starts = ends.groupBy(*by).applyInPandas(replay, f"{keys}, _run long, " + ", ".join(f"r_{c} double" for c in state))
-    joined = inside.where(F.col("_block") >= 0).join(starts, [*by, "_run"])
+    side = prefixed(starts, [*by, "_run"], "_h_")
+    joined = inside.where(F.col("_block") >= 0).join(side, same_group([*by, "_run"], "_h_")).drop(*[f"_h_{c}" for c in [*by, "_run"]])
 
     def start(c: str, k: str) -> Column:
         return F.col(f"s_{c}") + F.pow(F.lit(fade), F.col(k)) * F.col(f"r_{c}")
@@ -172,10 +188,13 @@ def prequential(
         F.max("_kp").cast("double").alias("kp"), F.max("_kn").cast("double").alias("kn"),
         *[F.max_by(f"_{c}", last).alias(c) for c in ("tp", "fn", "tn", "fp")],
     )
-    # A group of one block starts from zero; only longer ones need their blocks linked.
-    several = F.max("_block").over(Window.partitionBy(*[q(c) for c in keys])) > 0
-    start = _carry(blocks.withColumn("_several", several).where("_several").drop("_several"), keys, fade, chunk)
-    joined = rows.join(start, [*keys, "_block"], "left")
+    if by:
+        # A group of one block starts from zero; only longer ones need their blocks linked.
+        longer = blocks.where(F.col("_block") == 1).select(*[q(c).alias(f"_h_{c}") for c in keys])
+        blocks = blocks.join(longer, same_group(keys, "_h_"), "left_semi")
+    start = _carry(blocks, keys, fade, chunk)
+    side = prefixed(start, [*keys, "_block"], "_h_")
+    joined = rows.join(side, same_group([*keys, "_block"], "_h_"), "left").drop(*[f"_h_{c}" for c in [*keys, "_block"]])
 
     def total(c: str, k: str) -> Column:
         return F.col(f"_{c}") + F.pow(F.lit(fade), F.col(k)) * F.coalesce(F.col(f"c_{c}"), F.lit(0.0))

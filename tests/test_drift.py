@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.operators import drift, sampling, scaling
+from driftloom.operators import adapt, drift, sampling, scaling
 from driftloom.operators.adapt import adaptation_losses
 from driftloom.operators.moments import (
     as_features, ensemble_vote, fit_members, fit_pca, label_scores, moments, packed_moments, residual_mse, row_errors, score_rows, unpack, weighted_score,
@@ -203,12 +203,17 @@ def test_scorer_contract_and_vote(spark):
     assert len(members) == 3 and votes.agg(F.min("pred")).first()[0] == 1
 
 
-def test_micro_batch_losses(spark):
+def test_micro_batch_losses(spark, monkeypatch):
     base = moments(as_features(frame(spark, matrix()), COLS))
     live = as_features(frame(spark, matrix(60, seed=9) * [1, -1, 1, 1]), COLS).withColumn("batch", F.floor(F.col("id") / 10))
     out = adaptation_losses(live, base, 2).collect()
     assert len(out) == 6 and all(r["n"] == 10 for r in out)
     assert np.mean([r["loss_after"] for r in out]) < np.mean([r["loss_before"] for r in out])
+    monkeypatch.setattr(adapt, "DIRECT_ROWS", 5)
+    again = {r["batch"]: r for r in adaptation_losses(live, base, 2).collect()}
+    for r in out:
+        for c in ("n", "loss_before", "loss_after"):
+            assert again[r["batch"]][c] == pytest.approx(r[c], rel=1e-7)
 
 
 @pytest.mark.parametrize("parts", [1, 6])

@@ -89,3 +89,35 @@ def test_order_never_uses_one_partition_for_rows(spark):
     plan = ranks.ranked(df, ["t", "id"])._jdf.queryExecution().optimizedPlan().toString()
     # The only window without a partition key runs over one row per bucket.
     assert plan.count("windowspecdefinition(_bucket") + plan.count("Window [") >= 1
+
+
+@pytest.fixture
+def tiny_groups(monkeypatch):
+    """Groups above 20 rows count as hot."""
+    monkeypatch.setattr(ranks, "HOT_ROWS", 20)
+
+
+def test_hot_groups_are_split_and_agree(spark, tiny_groups):
+    rng = np.random.default_rng(1)
+    rows = [(None if k == 0 else f"g{k}", i, float(v)) for i, (k, v) in enumerate(zip(rng.choice(6, 600, p=[.4, .4, .05, .05, .05, .05]), rng.integers(0, 9, 600)))]
+    df = spark.createDataFrame(rows, "g string, id long, v double").repartition(5)
+    hot = ranks.hot_groups(df, ["g"]).collect()
+    assert {r["g"] for r in hot} == {None, "g1"}
+    got = {r["id"]: (r["rn"], r["rn_total"]) for r in ranks.ranked(df, ["v", "id"], ["g"]).collect()}
+    for g in {r[0] for r in rows}:
+        mine = sorted((v, i) for k, i, v in rows if k == g)
+        assert all(got[i] == (p + 1, len(mine)) for p, (_, i) in enumerate(mine))
+    cum = ranks.running_by_value(df, "v", {"n": F.lit(1)}, ["g"], totals=True).collect()
+    for r in cum:
+        mine = [v for k, _, v in rows if k == r["g"]]
+        assert r["n"] == mine.count(r["v"]) and r["cum_n"] == sum(v <= r["v"] for v in mine) and r["cum_n_total"] == len(mine)
+
+
+def test_moving_windows_over_hot_groups(spark, tiny_groups):
+    from driftloom.operators.sequence import moving
+
+    rows = [("hot", i, float(i)) for i in range(300)] + [("cold", i, float(i)) for i in range(15)]
+    df = spark.createDataFrame(rows, "g string, id long, v double").repartition(5)
+    out = moving(df, ["id"], {"s": lambda w: F.sum("v").over(w)}, ["g"], back=4, size=16).collect()
+    assert len(out) == 315
+    assert all(r["s"] == sum(range(max(0, r["id"] - 4), r["id"] + 1)) for r in out)
