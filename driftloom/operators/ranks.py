@@ -79,6 +79,11 @@ def order_buckets(df: DataFrame, order: Sequence[str], n: int | None = None, out
 HOT_ROWS = 1_000_000
 
 
+def task_share(df: DataFrame, n: int) -> int:
+    """Rows one task may be given out of n."""
+    return max(HOT_ROWS, n // default_buckets(df))
+
+
 def hot_groups(df: DataFrame, by: Sequence[str]) -> DataFrame | None:
     """Groups too large for one task, or None when there are none.
 
@@ -86,7 +91,7 @@ def hot_groups(df: DataFrame, by: Sequence[str]) -> DataFrame | None:
     tasks and their list may be broadcast. All other groups are left to plain windows.
     """
     n = df.count()
-    limit = max(HOT_ROWS, n // default_buckets(df))
+    limit = task_share(df, n)
     if n <= limit:
         return None
     keys = df.groupBy(*[q(c) for c in by]).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).drop("_n")

@@ -7,15 +7,18 @@ Two shapes of work:
   that holds a third of all rows is spread like the rest;
 * detectors that reset themselves on an alarm: sequential per key by nature. They run as a
   fold over key-sorted Arrow batches, holding only the detector's state, never the key's
-  rows.
+  rows. A key too long for one task is cut into segments that are walked in parallel from
+  assumed states and corrected until the states meet.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from bisect import bisect_left, bisect_right, insort
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
+from typing import TypeVar
 
 import numpy as np
 import pandas as pd
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 from driftloom.functions.columns import literal_array, plain_zero
 from driftloom.functions.names import q
 from driftloom.functions.stats import rank_sum_z, z_critical
-from driftloom.operators.ranks import default_buckets, hot_groups, prefixed, ranked, running, same_group
+from driftloom.operators.ranks import default_buckets, hot_groups, prefixed, ranked, running, same_group, task_share
+from driftloom.session import settle
 
 BLOCK = 4096
 
@@ -333,24 +337,112 @@ def rolling_ks(
 # ---------------------------------------------------------------- detectors with reset
 
 
-def keyed_fold(df: DataFrame, key: Sequence[str], order: Sequence[str], start: Callable[[], object], step: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+State = TypeVar("State")
+
+
+def _walk(
+    frames: Iterator[pd.DataFrame], group: list[str], begin: Callable[[pd.DataFrame], State]
+) -> Iterator[tuple[State, pd.DataFrame]]:
+    """The state and the next rows, for every piece of every group of a sorted partition."""
+    current, state = None, None
+    for pdf in frames:
+        for k, rows in pdf.groupby(group, sort=False, dropna=False):
+            # A null key comes as NaN, which is not equal to itself.
+            if current is None or not all(a == b or (a != a and b != b) for a, b in zip(k, current)):
+                current, state = k, begin(rows)
+            yield state, rows
+
+
+def keyed_fold(
+    df: DataFrame, key: Sequence[str], order: Sequence[str], start: Callable[[int], State], step: Callable[[State, pd.DataFrame], pd.DataFrame], schema: str
+) -> DataFrame:
     """Walk every key's rows in order, carrying a state object between Arrow batches.
 
-    Rows of a key are never gathered: a task streams its sorted partition and holds one state
-    at a time. ``step(state, rows)`` returns output rows and changes the state.
+    ``start(i)`` is the state in front of a key's row number i (from 0) if nothing is known of
+    the rows before it; ``step(state, rows)`` returns output rows and changes the state. Rows
+    of a key are never gathered: a task streams its sorted partition and holds one state at a
+    time. Keys with more rows than a task's share go through ``_segmented``.
     """
     key = list(key)
-    sorted_rows = df.repartition(*[q(c) for c in key]).sortWithinPartitions(*[q(c) for c in key], *[q(c) for c in order])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-        for pdf in frames:
-            for k, rows in pdf.groupby(key, sort=False, dropna=False):
-                if k != current:
-                    current, state = k, start()
-                yield step(state, rows)
+    def whole(rows: DataFrame) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for state, part in _walk(frames, key, lambda _: start(0)):
+                yield step(state, part)
+
+        lined = rows.repartition(*[q(c) for c in key]).sortWithinPartitions(*[q(c) for c in key], *[q(c) for c in order])
+        return lined.mapInPandas(run, schema)
 
-    return sorted_rows.mapInPandas(run, schema)
+    rows = settle(df)  # counted and walked
+    hot = hot_groups(rows, key)
+    if hot is None:
+        return whole(rows)
+    side = F.broadcast(prefixed(hot, key, "_h_"))
+    cold, big = (rows.join(side, same_group(key, "_h_"), how) for how in ("left_anti", "left_semi"))
+    return whole(cold).unionByName(_segmented(big, key, order, start, step, schema, task_share(rows, rows.count())))
+
+
+def _segmented(
+    df: DataFrame, key: list[str], order: Sequence[str], start: Callable[[int], State], step: Callable[[State, pd.DataFrame], pd.DataFrame], schema: str, size: int
+) -> DataFrame:
+    """The fold over long keys, cut into segments of ``size`` rows; exact.
+
+    All segments are walked at once, each from ``start``. Then every segment is compared with
+    the state its predecessor ended in, and walked again from there if it began differently,
+    until nothing differs. Segment i is settled after i rounds at the latest, so this ends;
+    detectors that forget (they reset, or look back a bounded number of rows) agree after a
+    few rounds. What never forgets is walked segment after segment: no faster than one task,
+    but no task ever sees more than a segment, and a lost one costs a segment.
+    """
+    group = [*key, "_seg"]
+    seg, before = F.col("_seg"), F.col("_before")
+    cut = ranked(df, order, key, "_rn").drop("_rn_total").withColumn("_seg", F.floor((F.col("_rn") - 1) / size))
+    cut = settle(cut, ["_seg"])  # a folder per segment number: a round reads only what it walks again
+    opens = F.col("_rn") == seg * size + 1
+    kinds = dict(cut.dtypes)
+    ends_schema = ", ".join(f"`{c}` {kinds[c]}" for c in group) + ", _before binary, _after binary"
+
+    def begin(rows: pd.DataFrame) -> State:
+        held = rows["_before"].iloc[0]
+        return start(int(rows["_rn"].iloc[0]) - 1) if held is None else pickle.loads(held)
+
+    def outputs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for state, rows in _walk(frames, group, begin):
+            yield step(state, rows)
+
+    def ends(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head, held = None, None
+        for state, rows in _walk(frames, group, begin):
+            if state is not held:
+                if held is not None:
+                    yield head.assign(_after=[pickle.dumps(held)])
+                head, held = rows[[*group, "_before"]].iloc[:1], state
+            step(state, rows)
+        if held is not None:
+            yield head.assign(_after=[pickle.dumps(held)])
+
+    def fed(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+        """Rows of the listed segments; the first row of each brings the state to start from."""
+        firsts = rows.where(opens).join(prefixed(seeds.select(*[q(c) for c in group], "_before"), group, "_h_"), same_group(group, "_h_"))
+        # One short row per segment; there are about as many segments as tasks.
+        listed = F.broadcast(prefixed(seeds.select(*[q(c) for c in group]), group, "_h_"))
+        others = rows.where(~opens).join(listed, same_group(group, "_h_"), "left_semi").withColumn("_before", F.lit(None).cast("binary"))
+        both = firsts.drop(*[f"_h_{c}" for c in group]).unionByName(others)
+        return both.repartition(*[q(c) for c in group]).sortWithinPartitions(*[q(c) for c in group], "_rn")
+
+    seeds = cut.where(opens).select(*[q(c) for c in group], F.lit(None).cast("binary").alias("_before"))
+    table = settle(fed(cut, seeds).mapInPandas(ends, ends_schema))
+    while True:
+        given = table.select(*[q(c) for c in key], (seg + 1).alias("_seg"), F.col("_after").alias("_given"))
+        linked = table.join(prefixed(given, group, "_h_"), same_group(group, "_h_"))
+        stale = linked.where(~before.eqNullSafe(F.col("_given"))).select(*[q(c) for c in group], F.col("_given").alias("_before"))
+        stale = settle(stale)
+        numbers = [r[0] for r in stale.select("_seg").distinct().collect()]
+        if not numbers:
+            return fed(cut, table).mapInPandas(outputs, schema)
+        redone = fed(cut.where(seg.isin(numbers)), stale).mapInPandas(ends, ends_schema)
+        listed = F.broadcast(prefixed(stale.select(*[q(c) for c in group]), group, "_h_"))
+        table = settle(table.join(listed, same_group(group, "_h_"), "left_anti").unionByName(redone))
 
 
 class Adwin:
@@ -427,18 +519,17 @@ def adwin(df: DataFrame, order: Sequence[str], value: str, by: Sequence[str], cl
 
     def step(box: dict, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for n, s, ss in zip(rows["n"], rows["s"], rows["ss"]):
+        for block, n, s, ss in zip(rows["block"], rows["n"], rows["s"], rows["ss"]):
             hit = box["w"].update(n, s, ss)
             if hit and restart:
                 box["w"] = Adwin(delta)
-            box["rows"] += n
-            out.append((int(box["rows"]), float(sum(b[1] for b in box["w"].buckets)), int(hit)))
+            out.append((int(block * clock + n), float(sum(b[1] for b in box["w"].buckets)), int(hit)))
         res = rows[[*by, "block"]].reset_index(drop=True)
         res[["end_row", "width", "drift"]] = pd.DataFrame(out)
         return res
 
     return keyed_fold(
-        sums, by, ["block"], lambda: {"w": Adwin(delta), "rows": 0}, step,
+        sums, by, ["block"], lambda _: {"w": Adwin(delta)}, step,
         f"{keys}, block long, end_row long, width double, drift int",
     )
 
@@ -451,7 +542,7 @@ def adwin_resume(df: DataFrame, order: Sequence[str], value: str, buckets: Seque
     """
     held = [tuple(b) for b in buckets]
 
-    def start() -> dict:
+    def start(_: int) -> dict:
         w = Adwin(delta)
         w.buckets = list(held)
         return {"w": w, "hit": False}
@@ -480,14 +571,14 @@ class DetectorEnsemble:
 
     def __init__(self, refs: Sequence[Sequence[float]], sizes: Sequence[int], votes_anomaly: int = 1, votes_drift: int = 10,
                  p_warn: float = 0.01, p_alarm: float = 0.001, expiry: int = 100, refit_min: int = 64,
-                 train_sizes: Sequence[int] = (), train_max: int = 3000):
+                 train_sizes: Sequence[int] = (), train_max: int = 3000, position: int = 0):
         self.sizes, self.members = list(sizes), len(sizes)
         self.votes_anomaly, self.votes_drift = votes_anomaly, votes_drift
         self.z_warn, self.z_alarm = z_critical(p_warn), z_critical(p_alarm)
         self.expiry, self.refit_min = expiry, refit_min
         self.train_sizes = list(train_sizes) or [0] * self.members
         self.train = [deque(maxlen=train_max) for _ in range(self.members)]
-        self.t, self.warned_at = 0, 0
+        self.t, self.warned_at = position, 0
         self.held: deque = deque(maxlen=max(self.sizes))
         self.refs: list[list[float]] = [[] for _ in self.sizes]
         self.moving: list[deque] = [deque() for _ in self.sizes]
@@ -574,7 +665,7 @@ def detector_ensemble(
         return out
 
     return keyed_fold(
-        df.select(*[q(c) for c in keep], q(scores)), [key], order, lambda: DetectorEnsemble(refs, sizes, **settings), step, schema
+        df.select(*[q(c) for c in keep], q(scores)), [key], order, lambda i: DetectorEnsemble(refs, sizes, position=i, **settings), step, schema
     )
 
 

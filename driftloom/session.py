@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,12 +64,13 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, folders: Sequence[str] = ()) -> DataFrame:
     """Write a frame that several later jobs read to the shared folder and read it back.
 
     The lineage ends at the files: a lost executor costs a re-read and not a re-computation,
-    every reader sees the very same rows, and reads only the columns it needs.
+    every reader sees the very same rows, and reads only the columns it needs. ``folders``
+    are columns with few values by which the files are laid out.
     """
     path = work_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

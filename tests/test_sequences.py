@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.operators import sequence, threshold
+from driftloom.operators import ranks, sequence, threshold
 from driftloom.operators.sequence import Adwin, DetectorEnsemble
 
 T0 = dt.datetime(2024, 1, 1)
@@ -228,6 +228,44 @@ def test_detector_ensemble(spark):
         assert got == [(a, pytest.approx(b), c, d) for a, b, c, d in want]
 
 
+@pytest.fixture
+def short_tasks(monkeypatch):
+    """Keys above 20 rows, or a fair share of all, are too long for one task."""
+    monkeypatch.setattr(ranks, "HOT_ROWS", 20)
+
+
+def test_long_keys_are_walked_in_segments(spark, short_tasks):
+    rng = np.random.default_rng(8)
+    sizes = [10, 12, 14]
+    refs = [np.round(rng.normal(0, 1, 60), 1).tolist() for _ in sizes]
+    x = np.concatenate([rng.normal(0, 1, 80), rng.normal(2.5, 1, 120), rng.normal(0, 1, 100)])
+    scores = [[float(np.round(v + rng.normal(0, 0.2), 1)) for _ in sizes] for v in x]
+    settings = dict(votes_drift=3, expiry=20, refit_min=8, train_sizes=[25, 30, 35], train_max=50)
+    walker = DetectorEnsemble(refs, sizes, **settings)
+    want = [walker.step(s) for s in scores]
+    assert sum(w[3] for w in want) >= 1
+    rows = [(k, i, s) for k, n in ((None, 300), ("short", 15)) for i, s in enumerate(scores[:n])]
+    df = spark.createDataFrame(rows, "k string, i long, scores array<double>").repartition(6)
+    out = sequence.detector_ensemble(df, "k", ["i"], "scores", refs, sizes, **settings).collect()
+    assert len(out) == 315
+    for k, n in ((None, 300), ("short", 15)):
+        got = [(r["pred"], r["score"], r["warn"], r["alarm"]) for r in sorted((r for r in out if r["k"] == k), key=lambda r: r["i"])]
+        assert got == [(a, pytest.approx(b), c, d) for a, b, c, d in want[:n]]
+
+
+def test_adwin_in_segments_equals_one_walk(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.random(900) < 0.1, rng.random(900) < 0.7, rng.random(500) < 0.2]).astype(int)
+    df = spark.createDataFrame([("a", i, int(v)) for i, v in enumerate(values)], "k string, i long, e int").repartition(3)
+    def run():
+        out = sequence.adwin(df, ["i"], "e", ["k"], restart=True)
+        return [tuple(r) for r in out.orderBy("block").collect()]
+
+    whole = run()
+    monkeypatch.setattr(ranks, "HOT_ROWS", 10)
+    assert run() == whole and sum(r[-1] for r in whole) >= 1 and whole[-1][2] == 2300
+
+
 def test_tuning_reports_both_halves(spark):
     rng = np.random.default_rng(1)
     rows = [(i, float(rng.normal() + (i % 5 == 0)), float(rng.normal()), int(i % 5 == 0)) for i in range(300)]
