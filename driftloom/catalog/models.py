@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from driftloom.catalog.inputs import (
-    EARLY, EV_CUT, EVENTS, LATE, MEASURES, early_late, events, halves, measures, query, r6, vectors,
+    EARLY, EV_CUT, EVENTS, LATE, MEASURES, early_late, events, halves, measures, query, r6, scratch, vectors,
 )
 from driftloom.catalog.shape import SPECS, windowed
 from driftloom.functions.names import q
@@ -15,6 +15,7 @@ from driftloom.operators.moments import (
     ARR, as_features, ensemble_vote, fit_members, fit_pca, label_scores, moments, residual_mse, score_rows, weighted_score,
 )
 from driftloom.plans import jobs
+from driftloom.sinks import runs
 
 KEY = ("l_orderkey", "l_linenumber")
 
@@ -257,6 +258,17 @@ def pca_drift_over_time(spark, sf):
     return rep.select("month", "n", "metric", r6("value"), "band", "advice")
 
 
+@query("drift_history")
+def drift_history(spark, sf):
+    ref, cur = early_late(spark, sf)
+    months = cur.withColumn("month", F.date_format("l_shipdate", "yyyyMM").cast("long"))
+    rep = jobs.drift_report(ref, months, MEASURES, KEY, by="month", repetitions=3)
+    path = scratch(spark, "history")
+    runs.append_metrics(rep, path, "monthly", "drift", step="month")
+    back = runs.read_runs(spark, path)
+    return back.select("experiment", "run_id", "key", "step", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
 @query("drift_scenarios")
 def drift_scenarios(spark, sf):
     v = vectors(spark, sf)
@@ -276,15 +288,27 @@ def reconstruction_alarm(spark, sf):
     return spark.createDataFrame([tuple(got.values())], schema).select(r6("ref_mse"), r6("cur_mse"), "alarm", r6("adapted_mse"))
 
 
-@query("micro_batch_adaptation")
-def micro_batch_adaptation(spark, sf):
+def micro_batches(spark, sf):
+    """Moments of the first batch, and the rows of all others in micro-batches of ten."""
     v = vectors(spark, sf)
     base = moments(v.where(F.col("batch") == 0))
-    live = v.where(F.col("batch") > 0).withColumn("micro", F.floor(F.col("vec_id") / 10))
+    return base, v.where(F.col("batch") > 0).withColumn("micro", F.floor(F.col("vec_id") / 10))
+
+
+@query("micro_batch_adaptation")
+def micro_batch_adaptation(spark, sf):
+    base, live = micro_batches(spark, sf)
     out = adapt.adaptation_losses(live, base, 8, batch="micro")
     return out.select("micro", "n", r6("loss_before"), r6("loss_after"))
 
 
+@query("carried_adaptation")
+def carried_adaptation(spark, sf):
+    base, live = micro_batches(spark, sf)
+    out = adapt.adaptation_losses(live, base, 8, batch="micro", carry=True)
+    return out.select("micro", "n", r6("loss_before"), r6("loss_after"))
+
+
 @query("adaptation_strategies")
 def adaptation_strategies(spark, sf):
     return adapt.strategies(vectors(spark, sf), ["vec_id"], trees=10)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ from driftloom.functions.names import numeric_columns, q
 from driftloom.operators.metrics import accuracy
 from driftloom.operators.moments import ARR, Moments, Pca, fit_pca, packed_moments, residual_mse, unpack
 from driftloom.operators.sampling import stratified_folds
-from driftloom.operators.sequence import adwin_resume
+from driftloom.operators.sequence import adwin_resume, keyed_fold
 
 
 def linear_fit(df: DataFrame, cols: Sequence[str] | None = None) -> tuple[object, dict[str, float]]:
@@ -108,37 +108,68 @@ def strategies(df: DataFrame, order: Sequence[str], trees: int = 50, batch: str
 DIRECT_ROWS = 10_000
 
 
-def adaptation_losses(df: DataFrame, base: Moments, target: float | int = 0.90, weight: float = 0.5, batch: str = "batch", arr: str = ARR) -> DataFrame:
+def blended(base: Moments, own: Moments, weight: float) -> Moments:
+    """Moments of a mixture that takes ``weight`` of its rows from ``own``."""
+    mean = (1 - weight) * base.mean + weight * own.mean
+    between = [np.outer(m.mean - mean, m.mean - mean) for m in (base, own)]
+    return Moments(base.n, mean, (1 - weight) * (base.cov + between[0]) + weight * (own.cov + between[1]))
+
+
+def _batch_moments(df: DataFrame, base: Moments, batch: str, arr: str) -> tuple[DataFrame, Callable[[object], Moments]]:
+    """One row (batch, _cells) per batch, and the function that makes moments of its cells.
+
+    Micro-batches keep their rows, which are fewer numbers than their moments; when a batch is
+    large its moments are summed across tasks instead.
+    """
+    largest = df.groupBy(batch).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > DIRECT_ROWS:
+        packed = packed_moments(df, base.mean, arr, [batch]).withColumnRenamed("packed", "_cells")
+        return packed, lambda cells: unpack(np.asarray(cells, dtype=float), base.mean)
+    rows = df.where(q(arr).isNotNull()).groupBy(batch).agg(F.collect_list(q(arr).cast("array<double>")).alias("_cells"))
+
+    def direct(cells: object) -> Moments:
+        x = np.vstack(cells).astype(float)
+        return Moments(float(len(x)), x.mean(axis=0), np.cov(x.T, bias=True).reshape(base.cov.shape))
+
+    return rows, direct
+
+
+def adaptation_losses(
+    df: DataFrame, base: Moments, target: float | int = 0.90, weight: float = 0.5, batch: str = "batch", arr: str = ARR, carry: bool = False
+) -> DataFrame:
     """Reconstruction loss of every micro-batch before and after adapting to it.
 
-    Every batch starts from the base model again: its components are refitted on the base
-    covariance blended with the batch's own (``weight`` is the batch's part). Both losses
-    follow from the batch's moments. Micro-batches are gathered as they are; when a batch is
-    large, its moments are summed across tasks instead.
+    The components are refitted on the model's covariance blended with the batch's own
+    (``weight`` is the batch's part); both losses follow from the batch's moments. Every batch
+    starts from the base model again, or, with ``carry``, from what the batch before left: a
+    walk along the batches, one row each.
     """
     pca: Pca = fit_pca(base, target)
     kind = dict(df.dtypes)[batch]
     schema = f"`{batch}` {kind}, n long, loss_before double, loss_after double"
-    largest = df.groupBy(batch).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-
-    def losses(m: Moments) -> tuple[int, float, float]:
-        mean = (1 - weight) * base.mean + weight * m.mean
-        between = [np.outer(x - mean, x - mean) for x in (base.mean, m.mean)]
-        cov = (1 - weight) * (base.cov + between[0]) + weight * (m.cov + between[1])
-        adapted = fit_pca(Moments(base.n, mean, cov), pca.k, scale=base)
-        return int(m.n), residual_mse(m, pca), residual_mse(m, adapted)
+    names = [batch, "n", "loss_before", "loss_after"]
+    per_batch, moments_of = _batch_moments(df, base, batch, arr)
 
-    def gathered(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.vstack(pdf["_x"].to_numpy()).astype(float)
-        m = Moments(float(len(x)), x.mean(axis=0), np.cov(x.T, bias=True).reshape(base.cov.shape))
-        return pd.DataFrame([(pdf[batch].iloc[0], *losses(m))], columns=[batch, "n", "loss_before", "loss_after"])
+    def adapt(model: tuple[Moments, Pca], own: Moments) -> tuple[Moments, Pca]:
+        mixed = blended(model[0], own, weight)
+        return mixed, fit_pca(mixed, pca.k, scale=base)
 
-    def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def alone(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(k, *losses(unpack(np.asarray(v, dtype=float), base.mean))) for k, v in zip(pdf[batch], pdf["packed"])]
-            yield pd.DataFrame(rows, columns=[batch, "n", "loss_before", "loss_after"])
-
-    if largest <= DIRECT_ROWS:
-        rows = df.select(q(batch), q(arr).cast("array<double>").alias("_x"))
-        return rows.groupBy(batch).applyInPandas(gathered, schema)
-    return packed_moments(df, base.mean, arr, [batch]).mapInPandas(summed, schema)
+            rows = []
+            for k, cells in zip(pdf[batch], pdf["_cells"]):
+                m = moments_of(cells)
+                rows.append((k, int(m.n), residual_mse(m, pca), residual_mse(m, adapt((base, pca), m)[1])))
+            yield pd.DataFrame(rows, columns=names)
+
+    def along(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for k, cells in zip(pdf[batch], pdf["_cells"]):
+            m = moments_of(cells)
+            old, state["model"] = state["model"], adapt(state["model"], m)
+            rows.append((k, int(m.n), residual_mse(m, old[1]), residual_mse(m, state["model"][1])))
+        return pd.DataFrame(rows, columns=names)
+
+    if not carry:
+        return per_batch.mapInPandas(alone, schema)
+    return keyed_fold(per_batch.withColumn("_stream", F.lit(0)), ["_stream"], [batch], lambda _: {"model": (base, pca)}, along, schema)

@@ -70,6 +70,16 @@ def append_gauges(spark: SparkSession, path: str, batch: int | None, values: Map
     spark.createDataFrame(rows, METRIC_SCHEMA).coalesce(1).write.mode(mode).parquet(path)
 
 
+def append_metrics(report: DataFrame, path: str, run_id: str, experiment: str, key: str = "metric", value: str = "value", step: str | None = None) -> None:
+    """Append a report's (metric, value) rows to the run table; ``step`` is its batch column."""
+    rows = report.select(
+        F.lit(run_id).alias("run_id"), F.lit(experiment).alias("experiment"), F.lit("metric").alias("kind"),
+        F.col(key).alias("key"), F.col(value).cast("string").alias("value"),
+        (F.col(step) if step else F.lit(None)).cast("long").alias("step"), F.current_timestamp().alias("ts"),
+    )
+    rows.write.mode("append").parquet(path)
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RUN_SCHEMA).parquet(path)
 

@@ -84,6 +84,7 @@ def tumbling(stream: DataFrame, specs: Sequence[Spec], keys: Sequence[str], time
 
 
 def _sorted_rows(frames: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
+    """A key's rows of one micro-batch, whose size ``files_per_batch`` bounds."""
     return pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable")
 
 
@@ -106,7 +107,8 @@ def sliding(stream: DataFrame, cell: str, time: str, cols: Sequence[str], size:
                 ties.append(tb)
                 wins.append([list(r) for r in tail])
         state.update((tail[-(size - 1):] if size > 1 else [],))
-        yield pd.DataFrame({cell: [key[0]] * len(ends), "END_TIME": pd.Series(ends, dtype="datetime64[ns]").dt.floor("s"), tie: ties, "win": wins})
+        if ends:
+            yield pd.DataFrame({cell: [key[0]] * len(ends), "END_TIME": pd.Series(ends, dtype="datetime64[ns]").dt.floor("s"), tie: ties, "win": wins})
 
     return stream.groupBy(cell).applyInPandasWithState(run, out, state_schema, "append", GroupStateTimeout.NoTimeout)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from driftloom.operators import adapt, drift, sampling, scaling
 from driftloom.operators.adapt import adaptation_losses
 from driftloom.operators.moments import (
-    as_features, ensemble_vote, fit_members, fit_pca, label_scores, moments, packed_moments, residual_mse, row_errors, score_rows, unpack, weighted_score,
+    Moments, as_features, ensemble_vote, fit_members, fit_pca, label_scores, moments, packed_moments, residual_mse, row_errors, score_rows, unpack, weighted_score,
 )
 
 COLS = ["a", "b", "c", "d"]
@@ -216,6 +216,29 @@ def test_micro_batch_losses(spark, monkeypatch):
             assert again[r["batch"]][c] == pytest.approx(r[c], rel=1e-7)
 
 
+@pytest.mark.parametrize("short", [False, True])
+def test_carried_adaptation_blends_batch_after_batch(spark, monkeypatch, short):
+    from driftloom.operators import ranks
+
+    x = matrix(300)
+    base = moments(as_features(frame(spark, x[:60]), COLS))
+    live = as_features(frame(spark, x[60:] + np.linspace(0, 3, 240)[:, None]), COLS).withColumn("batch", F.floor(F.col("id") / 6))
+    if short:  # forty batches no longer fit one task
+        monkeypatch.setattr(ranks, "HOT_ROWS", 3)
+    out = {r["batch"]: r for r in adaptation_losses(live, base, 2, weight=0.25, carry=True).collect()}
+    assert sorted(out) == list(range(40))
+    mean, second = base.mean, base.cov + np.outer(base.mean, base.mean)
+    pca = fit_pca(base, 2)
+    rows = x[60:] + np.linspace(0, 3, 240)[:, None]
+    for b in range(40):
+        part = rows[6 * b : 6 * b + 6]
+        assert out[b]["loss_before"] == pytest.approx(row_errors(part, pca).mean(), rel=1e-4, abs=1e-6)
+        mean = 0.75 * mean + 0.25 * part.mean(axis=0)
+        second = 0.75 * second + 0.25 * part.T @ part / 6
+        pca = fit_pca(Moments(60, mean, second - np.outer(mean, mean)), 2, scale=base)
+        assert out[b]["loss_after"] == pytest.approx(row_errors(part, pca).mean(), rel=1e-4, abs=1e-6)
+
+
 @pytest.mark.parametrize("parts", [1, 6])
 def test_hash_samples_are_exact_and_stable(spark, parts, monkeypatch):
     monkeypatch.setattr(sampling, "FINE_ENOUGH", 3)
