@@ -23,7 +23,9 @@ def kolmogorov_p(stat: Column, n1: Column, n2: Column, terms: int = 100) -> Colu
         lambda acc, k: acc + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * lam * lam),
     )
     # Below this point the alternating series has not converged and the value is 1 to 12 digits.
-    return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2.0 * series)))
+    # Without a statistic there is no p: least and greatest would pass over the null.
+    within = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2.0 * series))
+    return F.when(lam < 0.2, F.lit(1.0)).when(lam.isNotNull(), within)
 
 
 def kolmogorov_critical(p: float) -> float:

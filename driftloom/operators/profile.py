@@ -54,9 +54,18 @@ def label_kinds(df: DataFrame, batch: str = "batch", label: str = "label") -> Da
 
 
 def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns, long form, from one aggregate pass."""
-    pairs = list(combinations_with_replacement(range(len(cols)), 2))
-    row = df.agg(*[F.corr(q(cols[i]).cast("double"), q(cols[j]).cast("double")).alias(f"r{i}_{j}") for i, j in pairs])
+    """Pearson correlation of every pair of columns, long form, from one aggregate pass.
+
+    Rows count where both columns have a value; null for a constant column, on which the
+    built-in correlation would fail.
+    """
+    x = [q(c).cast("double") for c in cols]
+    aggs = []
+    for i, j in combinations_with_replacement(range(len(cols)), 2):
+        a, b = F.when(x[j].isNotNull(), x[i]), F.when(x[i].isNotNull(), x[j])
+        spread = F.stddev_pop(a) * F.stddev_pop(b)
+        aggs.append(F.when(spread > 0, F.covar_pop(a, b) / spread).alias(f"r{i}_{j}"))
+    row = df.agg(*aggs)
     cells = [
         F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.col(f"r{min(i, j)}_{max(i, j)}").alias("r"))
         for i in range(len(cols))

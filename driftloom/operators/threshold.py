@@ -40,7 +40,10 @@ def candidates(df: DataFrame, score: str = "score", span: tuple[float, float, in
 
 def best_f1_threshold(df: DataFrame, score: str = "score", label: str = "label", grid: Iterable[float] | None = None) -> tuple[float, float]:
     """Candidate with the largest macro F1 and that F1; among equals the lowest candidate."""
-    sweep = threshold_sweep(df, list(grid) if grid is not None else candidates(df, score), score=score, label=label)
+    tried = list(grid) if grid is not None else candidates(df, score)
+    if not tried:
+        raise ValueError("no scores to choose a threshold from")
+    sweep = threshold_sweep(df, tried, score=score, label=label)
     best = sweep.orderBy(F.desc("f1_macro"), F.asc("threshold")).first()
     return float(best["threshold"]), float(best["f1_macro"])
 
@@ -48,6 +51,8 @@ def best_f1_threshold(df: DataFrame, score: str = "score", label: str = "label",
 def sweep_points(df: DataFrame, score: str = "score", n: int = SWEEP_POINTS) -> list[float]:
     """n equal steps from the smallest score to the 99.9 % quantile."""
     low = df.agg(F.min(q(score))).first()[0]
+    if low is None:
+        raise ValueError("no scores to sweep over")
     return np.linspace(float(low), exact_quantiles(df, [score], [0.999])[score][0], n).tolist()
 
 
@@ -88,6 +93,8 @@ def adapt_on_drift(
     and the checkpoint table with ``alarm``.
     """
     base = ref.agg(F.avg(q(score)).alias("m"), F.stddev_pop(q(score)).alias("s")).first()
+    if base["m"] is None:
+        raise ValueError("the reference has no scores")
     start = base["m"] + k * base["s"]
     sample = reference_sample(ref, score, ids)
     placed = positions(stream, order)

@@ -72,5 +72,6 @@ def settle(df: DataFrame, folders: Sequence[str] = ()) -> DataFrame:
     are columns with few values by which the files are laid out.
     """
     path = work_path(df.sparkSession, "table")
-    df.write.partitionBy(*folders).parquet(path)
+    out = df.hint("rebalance", *folders) if folders else df
+    out.write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

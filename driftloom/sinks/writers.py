@@ -15,8 +15,12 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
 
 
 def write_windowed(df: DataFrame, path: str) -> None:
-    """Windowed features, one folder per day, so that readers of a period skip the rest."""
-    write_parquet(df.withColumn("day", F.to_date("window.start")), path, ["day"])
+    """Windowed features, one folder per day, so that readers of a period skip the rest.
+
+    Rows of a day come together first (large days stay split), so a day is not one small file
+    per task.
+    """
+    write_parquet(df.withColumn("day", F.to_date("window.start")).hint("rebalance", "day"), path, ["day"])
 
 
 def write_result_csv(df: DataFrame, path: str, one_file: bool = True) -> None:
