@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from driftloom.llm import mixing
+from driftloom.llm.mixing import mix_sources
+from driftloom.llm.packing import pack
+from driftloom.llm.pii import personal_data, span_digest
 from driftloom.llm.quality import quality_verdicts
 from driftloom.llm.text import documents
 from driftloom.session import checkpoint_root, pin_utc
@@ -32,3 +37,21 @@ def query(fn: Query) -> Query:
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(documents(spark, sf_dir))
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(personal_data(documents(spark, sf_dir)))
+
+
+@query
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+SQL["op9_source_mix"] = mixing.SQL
