@@ -9,6 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from driftloom.llm import mixing
+from driftloom.llm.fingerprint import edit_likeness
+from driftloom.llm.langid import identify_held_out
 from driftloom.llm.mixing import mix_sources
 from driftloom.llm.packing import pack
 from driftloom.llm.pii import personal_data, span_digest
@@ -55,3 +57,13 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op9_source_mix"] = mixing.SQL
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_held_out(documents(spark, sf_dir))
+
+
+@query
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_likeness(documents(spark, sf_dir))
