@@ -12,6 +12,7 @@ from driftloom.llm import mixing
 from driftloom.llm.fingerprint import edit_likeness
 from driftloom.llm.langid import identify_held_out
 from driftloom.llm.mixing import mix_sources
+from driftloom.llm.neardup import near_duplicates
 from driftloom.llm.packing import pack
 from driftloom.llm.pii import personal_data, span_digest
 from driftloom.llm.quality import quality_verdicts
@@ -67,3 +68,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(documents(spark, sf_dir))
+
+
+@query
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), words=2)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 #: A word is a run of anything but these six ASCII characters; ``bytes.split()`` cuts at exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -57,11 +57,6 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hash(word: bytes) -> int:
-    """A 64-bit hash of a word that is the same in every process."""
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-
-
 class WordHashes(dict):
     """Word to 64-bit hash; keeps the words it has seen, up to a bound, so that frequent ones are hashed once."""
 
@@ -70,7 +65,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:
             self.clear()
-        value = self[word] = word_hash(word)
+        value = self[word] = xxh3_64_intdigest(word)
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
