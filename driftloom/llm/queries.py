@@ -16,6 +16,7 @@ from driftloom.llm.neardup import near_duplicates
 from driftloom.llm.packing import pack
 from driftloom.llm.pii import personal_data, span_digest
 from driftloom.llm.quality import quality_verdicts
+from driftloom.llm.rlindex import remove_long_repeats
 from driftloom.llm.superkmer import remove_repeats
 from driftloom.llm.text import documents
 from driftloom.session import checkpoint_root, pin_utc
@@ -79,3 +80,8 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).drop("kept_text")
+
+
+@query
+def op1_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_long_repeats(documents(spark, sf_dir)).drop("kept")

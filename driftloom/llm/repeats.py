@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from xxhash import xxh3_64_intdigest
 
+from driftloom.llm.text import two_columns
 from driftloom.session import settle
 
 #: Different pieces of one key that an exact method handles in one task.
 BUCKET = 1000
-#: A document without an id counts as the last one.
-NO_ID = (1 << 63) - 1
+#: Documents without an id count as the last ones, told apart by a hash of their text.
+NO_ID = (1 << 63) - (1 << 40)
 PIECE = "key long, digest long, doc long, start int, windows int, at int"
 FIELDS = [f.split()[0] for f in PIECE.split(", ")]
 STRING = "key long, doc long, start int, windows int, at int, string binary"
@@ -40,6 +41,22 @@ FILTER_BITS = 1 << 27
 Bucket = Callable[[list[tuple[int, int, int, bytes]]], Iterator[tuple[int, int, int]]]
 
 
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, text) with a number for every document."""
+    docs = two_columns(df, id_col, text_col)
+    unnamed = F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit((1 << 40) - 1))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("doc"), "text")
+
+
+def covered(n: int, spans: list[dict], window: int) -> np.ndarray:
+    """Which of ``n`` units are in one of the windows, as booleans."""
+    turn = np.zeros(n + 1, np.int32)
+    for s in spans:
+        turn[min(s["start"], n)] += 1
+        turn[min(s["start"] + s["windows"] + window - 1, n)] -= 1
+    return np.cumsum(turn)[:n] > 0
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 

@@ -12,10 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from driftloom.llm.repeats import NO_ID, PIECE, piece_batch, repeated_spans, with_spans
-from driftloom.llm.text import WordHashes, map_batches, mix, two_columns, utf8
+from driftloom.llm.repeats import NO_ID, PIECE, covered, keyed, piece_batch, repeated_spans, with_spans
+from driftloom.llm.text import WordHashes, map_batches, mix, utf8
 
 WINDOW = 20
 K = 4
@@ -78,10 +77,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``doc_id, n_words, n_removed, kept_sha256, kept_text``, one row for each input row.
 
     A word goes if a window of 20 words that covers it also starts earlier: in a document with a smaller id, or before
-    it in the same one. Texts are judged as given, not by what is left. Null and short texts lose nothing; a null id
-    counts as the largest one; rows with equal ids count as one document. An empty table gives an empty result.
+    it in the same one. Texts are judged as given, not by what is left. Null and short texts lose nothing; null ids
+    come last; rows with equal ids (or with null ids and equal texts) count as one document, so that what goes in one of
+    them goes in all. An empty table gives an empty result.
     """
-    docs = two_columns(df, id_col, text_col).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
+    docs = keyed(df, id_col, text_col)
     spans = repeated_spans(
         word_pieces(docs), docs, packed, sorted_windows, WINDOW, CUT, first_stays=True, units=lambda s: s.split(b" "), glue=lambda u: b" ".join(u)
     )
@@ -90,13 +90,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = []
         for doc, text, spans in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist()):
             words = text.split()
-            cover = np.zeros(len(words) + 1, np.int32)
-            for s in spans:
-                cover[s["start"]] += 1
-                cover[s["start"] + s["windows"] + WINDOW - 1] -= 1
-            gone = np.cumsum(cover)[:-1] > 0
+            gone = covered(len(words), spans, WINDOW)
             kept = b" ".join(w for w, out in zip(words, gone) if not out) if spans else b" ".join(words)
-            rows.append((None if doc == NO_ID else doc, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
+            rows.append((None if doc >= NO_ID else doc, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
