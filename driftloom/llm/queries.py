@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from driftloom.llm import mixing
+from driftloom.llm.classlm import score_documents
 from driftloom.llm.fingerprint import edit_likeness
 from driftloom.llm.langid import identify_held_out
 from driftloom.llm.mixing import mix_sources
@@ -85,3 +86,8 @@ def op6_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_long_repeats(documents(spark, sf_dir)).drop("kept")
+
+
+@query
+def op5_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
