@@ -58,39 +58,38 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     )
 
 
-def mix_sources(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 1, odds_col: str | None = None,
-) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies`` and ``taken`` (words), one row for each input row.
-
-    ``odds_col`` (optional, positive; null counts as 1) makes some documents of a source likelier to be chosen for the
-    extra copy than others; without it a source's documents are equally likely. A null text has no words; null is a source of its own; documents
-    without words are never worth a copy and get none. Rows with equal ids and sizes may differ only in which of them
-    gets the last copy. An empty table gives an empty result.
-    """
+def measured(df: DataFrame, id_col: str, text_col: str, source_col: str, odds_col: str | None, *more: Column) -> DataFrame:
     words = F.coalesce(F.regexp_count(column(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     favour = F.coalesce(column(odds_col).cast("double"), F.lit(1.0)) if odds_col else F.lit(1.0)
-    rows = settle(df.select(column(id_col).alias("doc_id"), column(source_col).cast("string").alias("source"), words.alias("size"), favour.alias("favour")))
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # one row per source: certain copies, inclusion probability of one more, words left for it
-    plan = (
-        source_targets(sources, weights, most)
-        .withColumn("certain", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-        .withColumn("p", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") - F.col("certain")).otherwise(0.0))
-        .withColumn("wanted", F.col("target") - F.col("certain") * F.col("source_size"))
-    )
-    plan = settle(plan)
+    return df.select(column(id_col).alias("doc_id"), column(source_col).cast("string").alias("source"), words.alias("size"), favour.alias("favour"), *more)
+
+
+def ranked(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """Rows with their source's plan, their rank and its bucket; without a rank a document can't get an extra copy."""
     p = F.least(F.col("p"), F.lit(1 - 1e-12))
-    odds = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed)
-    odds = odds / (1 - odds) / (p / (1 - p) * F.col("favour"))
-    ranked = (
+    u = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed)
+    odds = u / (1 - u) / (p / (1 - p) * F.col("favour"))
+    return (
         rows.join(plan, rows["source"].eqNullSafe(plan["source"]))
         .drop(plan["source"])
         .withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), odds))
         .withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS).cast("int"))
     )
-    sums = ranked.filter("rank is not null").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"))
+
+
+def planned(rows: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
+    """One row per source: target, certain copies, inclusion probability of one more, words left for it, and the bucket
+    of ranks in which these are reached (null: the whole source fits) with the words of the buckets before it."""
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    plan = (
+        source_targets(sources, weights, most)
+        .withColumn("certain", F.floor(share).cast("long"))
+        .withColumn("p", share - F.col("certain"))
+        .withColumn("wanted", F.col("target") - F.col("certain") * F.col("source_size"))
+    )
+    plan = settle(plan)
+    sums = ranked(rows, plan, seed).filter("rank is not null").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"))
     before = F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")  # at most BUCKETS rows a source
     edges = (
         sums.withColumn("before", before)
@@ -98,21 +97,47 @@ def mix_sources(
         .groupBy(F.col("source").alias("of"))
         .agg(F.min("bucket").alias("edge"), F.min("before").alias("before"))
     )
-    placed = ranked.join(edges, ranked["source"].eqNullSafe(edges["of"]), "left").drop("of")
-    at_edge = placed.filter(F.col("bucket") == F.col("edge"))
+    return settle(plan.join(edges, plan["source"].eqNullSafe(edges["of"]), "left").drop("of"))
+
+
+def with_copies(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    placed = ranked(rows, plan, seed)
     order = Window.partitionBy("source").orderBy("rank", "doc_id", "size")
     running = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    near = at_edge.withColumn("extra", (F.col("before") + running + F.col("size") / 2 <= F.col("wanted")).cast("long"))
-    # without an edge the whole source fits
+    near = placed.filter(F.col("bucket") == F.col("edge")).withColumn("extra", (F.col("before") + running + F.col("size") / 2 <= F.col("wanted")).cast("long"))
     rest = placed.filter(~F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False))).withColumn(
         "extra", F.when(F.col("rank").isNull(), 0).when(F.col("edge").isNull(), 1).otherwise((F.col("bucket") < F.col("edge")).cast("long")).cast("long")
     )
     copies = F.when(F.col("size") > 0, F.col("certain") + F.col("extra")).otherwise(0).cast("long")
-    return (
-        rest.unionByName(near)
-        .withColumn("copies", copies)
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-    )
+    return rest.unionByName(near).withColumn("copies", copies)
+
+
+def mix_sources(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 1, odds_col: str | None = None,
+) -> DataFrame:
+    """``doc_id, source, size, source_size, target, copies`` and ``taken`` (words), one row for each input row.
+
+    ``odds_col`` (optional, positive; null counts as 1) makes some documents of a source likelier to be chosen for the
+    extra copy than others; without it a source's documents are equally likely. A null text has no words; null is a
+    source of its own; documents without words get no copy. Rows with equal ids and sizes may differ only in which of
+    them gets the last copy. An empty table gives an empty result.
+    """
+    rows = settle(measured(df, id_col, text_col, source_col, odds_col))
+    found = with_copies(rows, planned(rows, weights, most, seed), seed)
+    return found.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 1, odds_col: str | None = None,
+) -> DataFrame:
+    """The rows of ``df``, each as often as ``mix_sources`` takes it. Texts stay where they are but for those at the edge."""
+    columns = (id_col, text_col, source_col, odds_col)
+    plan = planned(settle(measured(df, *columns)), weights, most, seed)
+    whole = measured(df, *columns, F.struct(*[column(c) for c in df.columns]).alias("row"))
+    taken = with_copies(whole, plan, seed).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return taken.select("row.*")
 
 
 SQL = f"""

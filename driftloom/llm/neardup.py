@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from driftloom.llm.components import connect
-from driftloom.llm.text import WordHashes, lower_ascii, map_batches, mix, two_columns, utf8
+from driftloom.llm.repeats import probably_in
+from driftloom.llm.text import WordHashes, column, lower_ascii, map_batches, mix, two_columns, utf8
 from driftloom.session import settle
 
 #: Registers of a sketch; base, rate and largest value of a register.
@@ -207,3 +208,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .withColumn("component_id", F.coalesce("component", "doc_id"))
         .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     )
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``df`` with one document of each group of near duplicates left, the one with the smallest id.
+
+    Of rows with equal ids one stays, of rows with null ids one for each text. Only texts that may go travel.
+    """
+    docs = two_columns(df, id_col, text_col)
+    verdicts = settle(near_duplicates(df, id_col, text_col, words, percent))
+    gone = verdicts.filter("doc_id is not null and not kept").select("doc_id").distinct()
+    twice = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().filter("count > 1").select("doc_id")
+    known = settle(gone.withColumn("gone", F.lit(True)).unionByName(twice.filter("doc_id is not null").withColumn("gone", F.lit(False))))
+    doubtful = probably_in(known.select("doc_id"))
+    key = column(id_col).cast("long")
+    named, unnamed = df.filter(key.isNotNull()), df.filter(key.isNull())
+    out = known.filter("gone").select(F.col("doc_id").alias("gone_id"))
+    checked = named.filter(doubtful(key)).join(out, key == F.col("gone_id"), "left_anti").dropDuplicates([id_col])
+    return named.filter(~doubtful(key)).unionByName(checked).unionByName(unnamed.dropDuplicates([text_col]))

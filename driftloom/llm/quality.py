@@ -11,11 +11,13 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from driftloom.llm.text import map_batches, two_columns, utf8
+from driftloom.llm.text import column, map_batches, two_columns, utf8
 from driftloom.session import settle
 
 SYMBOLS = np.frombuffer(b"#*$%&|<>", dtype=np.uint8)
@@ -142,6 +144,29 @@ def estimate(patterns: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return posterior, table[0], table[1], float(share)
 
 
+def pattern_posteriors(rows: DataFrame) -> dict[str, float]:
+    """Posterior probability of "good" per vote pattern of measured rows."""
+    table = sorted((r[0], r[1]) for r in rows.groupBy("votes").count().collect())  # at most 3^10 rows
+    patterns = [p for p, _ in table]
+    return dict(zip(patterns, map(float, estimate(patterns, np.array([n for _, n in table], dtype=float))[0])))
+
+
+def keep_good(df: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``df`` that pass the base rules and are probably good; only a verdict per text leaves Python."""
+    texts = df.select(F.lit(0).alias("doc_id"), column(text_col).alias("text"))
+    posteriors = pattern_posteriors(settle(measure_documents(texts).select("votes")))
+
+    @pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            n, *_, repeats, votes = measure((text or "").encode())
+            out.append(n >= 50 and 100 * repeats <= 50 * n and posteriors[votes] >= threshold)
+        return pd.Series(out, dtype=bool)
+
+    return df.filter(good(column(text_col)))
+
+
 def quality_verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """Measures, votes, posterior probability of good quality, and the verdict.
 
@@ -149,11 +174,8 @@ def quality_verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     null. An empty table gives an empty result.
     """
     rows = settle(measure_documents(df, id_col, text_col))
-    table = sorted((r[0], r[1]) for r in rows.groupBy("votes").count().collect())  # at most 3^10 rows
-    patterns = [p for p, _ in table]
-    posterior = estimate(patterns, np.array([n for _, n in table], dtype=float))[0]
     # at most 3^10 rows, so the broadcast is bounded
-    known = df.sparkSession.createDataFrame([(p, float(x)) for p, x in zip(patterns, posterior)], "votes string, p_good double")
+    known = df.sparkSession.createDataFrame(list(pattern_posteriors(rows).items()), "votes string, p_good double")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
         rows.join(F.broadcast(known), "votes")
