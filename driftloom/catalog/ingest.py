@@ -182,6 +182,6 @@ def saved_model(spark, sf):
 
     v = vectors(spark, sf)
     path = scratch(spark, "forest")
-    writers.save_model(adapt.fit_forest(v, 10), path)
+    writers.save_model(adapt.fit_forest(v), path)
     scored = adapt.predict(RandomForestClassificationModel.load(path), v)
     return scored.groupBy("pred").agg(F.count("*").alias("n"))

@@ -243,10 +243,34 @@ def rank_sum_test(spark, sf):
     return drift.mann_whitney(early, late, "value", ["event_type"]).select("event_type", "n_ref", "n_cur", "u", r6("z"), "verdict")
 
 
+PAIR = ("l_quantity", "l_extendedprice")
+PAIR_MOMENTS = f"""WITH m AS (SELECT avg(l_quantity) AS ma, avg(l_extendedprice) AS mb, stddev_pop(l_quantity) AS sa, stddev_pop(l_extendedprice) AS sb,
+  corr(l_quantity, l_extendedprice) AS r FROM ({EARLY}))"""
+
+
+@query("permutation_errors", PAIR_MOMENTS + """ SELECT CAST(1 + 10 * i AS INTEGER) AS percent,
+  round((1 - abs(r)) / 2 + (1 + 10 * i) / 100.0 + power((1 + 10 * i) / 100.0, 2) * abs(r) / 2, 6) AS mse FROM m, range(10) AS t(i)""")
+def permutation_errors(spark, sf):
+    ref, _ = early_late(spark, sf)
+    m = moments(as_features(ref, PAIR))
+    rows = drift.permutation_errors(m, fit_pca(m, 1))
+    return spark.createDataFrame([(round(p), e) for p, e in rows], "percent int, mse double").select("percent", r6("mse"))
+
+
+@query("pair_drift", PAIR_MOMENTS + f""", z AS (SELECT (l_quantity - ma) / sa AS a, (l_extendedprice - mb) / sb AS b, sign(r) AS s FROM ({LATE}), m),
+  t AS (SELECT atan2(2 * covar_pop(a, b), var_pop(a) - var_pop(b)) / 2 AS angle, any_value(s) AS s, avg(power(a - s * b, 2)) / 4 AS mse FROM z)
+  SELECT round(100 * (1 - abs(cos(angle - s * pi() / 4))), 6) AS dp, round(mse, 6) AS mse FROM t""")
+def pair_drift(spark, sf):
+    """Drift of two columns, for which the components have a closed form."""
+    ref, cur = early_late(spark, sf)
+    got = drift.DriftModel.fit(as_features(ref, PAIR), target=1, calibrate=False).score(as_features(cur, PAIR))
+    return spark.createDataFrame([(got["dP"], got["mse"])], "dp double, mse double").select(r6("dp"), r6("mse"))
+
+
 @query("pca_drift")
 def pca_drift(spark, sf):
     ref, cur = early_late(spark, sf)
-    rep = jobs.drift_report(ref, cur, MEASURES, KEY, repetitions=3)
+    rep = jobs.drift_report(ref, cur, MEASURES)
     return rep.select("metric", r6("value"), "band", "advice")
 
 
@@ -254,7 +278,7 @@ def pca_drift(spark, sf):
 def pca_drift_over_time(spark, sf):
     ref, cur = early_late(spark, sf)
     months = cur.withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
-    rep = jobs.drift_report(ref, months, MEASURES, KEY, by="month", repetitions=3)
+    rep = jobs.drift_report(ref, months, MEASURES, by="month")
     return rep.select("month", "n", "metric", r6("value"), "band", "advice")
 
 
@@ -262,7 +286,7 @@ def pca_drift_over_time(spark, sf):
 def drift_history(spark, sf):
     ref, cur = early_late(spark, sf)
     months = cur.withColumn("month", F.date_format("l_shipdate", "yyyyMM").cast("long"))
-    rep = jobs.drift_report(ref, months, MEASURES, KEY, by="month", repetitions=3)
+    rep = jobs.drift_report(ref, months, MEASURES, by="month")
     path = scratch(spark, "history")
     runs.append_metrics(rep, path, "monthly", "drift", step="month")
     back = runs.read_runs(spark, path)
@@ -272,9 +296,9 @@ def drift_history(spark, sf):
 @query("drift_scenarios")
 def drift_scenarios(spark, sf):
     v = vectors(spark, sf)
-    cols = [f"f{i}" for i in range(8)]
+    cols = [f"f{i}" for i in range(64)]
     wide = v.select("vec_id", *[q(ARR)[i].alias(c) for i, c in enumerate(cols)])
-    model = drift.DriftModel.fit(as_features(wide, cols), ["vec_id"], target=0.6, repetitions=3)
+    model = drift.DriftModel.fit(as_features(wide, cols))
     s = drift.scenario_matrix(wide, ["vec_id"], cols, model)
     return s.select("scenario", *[r6(c) for c in ("dP", "dE_PCA", "mse")])
 
@@ -311,18 +335,18 @@ def carried_adaptation(spark, sf):
 
 @query("adaptation_strategies")
 def adaptation_strategies(spark, sf):
-    return adapt.strategies(vectors(spark, sf), ["vec_id"], trees=10)
+    return adapt.strategies(vectors(spark, sf), ["vec_id"])
 
 
 @query("cross_validation")
 def cross_validation(spark, sf):
-    acc = adapt.cross_validate(vectors(spark, sf), ["vec_id"], trees=10)
+    acc = adapt.cross_validate(vectors(spark, sf), ["vec_id"])
     return spark.createDataFrame([(acc,)], "accuracy double")
 
 
 @query("importance_change")
 def importance_change(spark, sf):
     v = vectors(spark, sf)
-    old = adapt.fit_forest(v.where(F.col("batch") < 5), 10)
-    new = adapt.fit_forest(v.where(F.col("batch") >= 5), 10)
+    old = adapt.fit_forest(v.where(F.col("batch") < 5))
+    new = adapt.fit_forest(v.where(F.col("batch") >= 5))
     return adapt.importance_change(spark, old, new)

@@ -86,4 +86,4 @@ def stream_drift_loop(spark, sf):
         v.where(F.col("batch") == b).coalesce(1).write.mode("append").parquet(folder)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in v.schema.fields])
     stream = P.parquet_stream(spark, folder, "*.parquet", schema)
-    return loop.drift_loop(stream, ["vec_id"], trees=10)
+    return loop.drift_loop(stream, ["vec_id"])

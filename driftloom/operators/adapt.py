@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from driftloom.functions.names import numeric_columns, q
 from driftloom.operators.metrics import accuracy
 from driftloom.operators.moments import ARR, Moments, Pca, fit_pca, packed_moments, residual_mse, unpack
+from driftloom.operators.ranks import ranked
 from driftloom.operators.sampling import stratified_folds
 from driftloom.operators.sequence import adwin_resume, keyed_fold
+from driftloom.session import settle
 
 
 def linear_fit(df: DataFrame, cols: Sequence[str] | None = None) -> tuple[object, dict[str, float]]:
@@ -105,9 +107,6 @@ def strategies(df: DataFrame, order: Sequence[str], trees: int = 50, batch: str
     return df.sparkSession.createDataFrame(rows, "batch int, strategy string, accuracy double, drift int, in_sample boolean")
 
 
-DIRECT_ROWS = 10_000
-
-
 def blended(base: Moments, own: Moments, weight: float) -> Moments:
     """Moments of a mixture that takes ``weight`` of its rows from ``own``."""
     mean = (1 - weight) * base.mean + weight * own.mean
@@ -115,23 +114,19 @@ def blended(base: Moments, own: Moments, weight: float) -> Moments:
     return Moments(base.n, mean, (1 - weight) * (base.cov + between[0]) + weight * (own.cov + between[1]))
 
 
-def _batch_moments(df: DataFrame, base: Moments, batch: str, arr: str) -> tuple[DataFrame, Callable[[object], Moments]]:
-    """One row (batch, _cells) per batch, and the function that makes moments of its cells.
+#: Micro-batches that one task walks when the model is carried on.
+CARRY_BLOCK = 256
 
-    Micro-batches keep their rows, which are fewer numbers than their moments; when a batch is
-    large its moments are summed across tasks instead.
-    """
-    largest = df.groupBy(batch).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest > DIRECT_ROWS:
-        packed = packed_moments(df, base.mean, arr, [batch]).withColumnRenamed("packed", "_cells")
-        return packed, lambda cells: unpack(np.asarray(cells, dtype=float), base.mean)
-    rows = df.where(q(arr).isNotNull()).groupBy(batch).agg(F.collect_list(q(arr).cast("array<double>")).alias("_cells"))
 
-    def direct(cells: object) -> Moments:
-        x = np.vstack(cells).astype(float)
-        return Moments(float(len(x)), x.mean(axis=0), np.cov(x.T, bias=True).reshape(base.cov.shape))
+def _as_vector(m: Moments, origin: np.ndarray) -> np.ndarray:
+    """Mean and second moments around an origin: blending is linear in these."""
+    mean = m.mean - origin
+    return np.concatenate([mean, (m.cov + np.outer(mean, mean)).ravel()])
 
-    return rows, direct
+
+def _from_vector(v: np.ndarray, origin: np.ndarray) -> Moments:
+    d = len(origin)
+    return Moments(1.0, v[:d] + origin, v[d:].reshape(d, d) - np.outer(v[:d], v[:d]))
 
 
 def adaptation_losses(
@@ -140,36 +135,60 @@ def adaptation_losses(
     """Reconstruction loss of every micro-batch before and after adapting to it.
 
     The components are refitted on the model's covariance blended with the batch's own
-    (``weight`` is the batch's part); both losses follow from the batch's moments. Every batch
-    starts from the base model again, or, with ``carry``, from what the batch before left: a
-    walk along the batches, one row each.
+    (``weight`` is the batch's part); both losses follow from the batch's moments, which are
+    summed on the executors for batches of any size. Every batch starts from the base model
+    again, or, with ``carry``, from what the batch before left: blocks of batches are composed
+    first, one row per block is walked, and then all blocks are walked at once.
     """
     pca: Pca = fit_pca(base, target)
+    d = len(base.mean)
     kind = dict(df.dtypes)[batch]
     schema = f"`{batch}` {kind}, n long, loss_before double, loss_after double"
     names = [batch, "n", "loss_before", "loss_after"]
-    per_batch, moments_of = _batch_moments(df, base, batch, arr)
+    per_batch = packed_moments(df, base.mean, arr, [batch])
+
+    def own(packed: object) -> Moments:
+        return unpack(np.asarray(packed, dtype=float), base.mean)
 
-    def adapt(model: tuple[Moments, Pca], own: Moments) -> tuple[Moments, Pca]:
-        mixed = blended(model[0], own, weight)
-        return mixed, fit_pca(mixed, pca.k, scale=base)
+    def adapted(mixed: Moments) -> Pca:
+        return fit_pca(mixed, pca.k, scale=base)
 
     def alone(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
-            for k, cells in zip(pdf[batch], pdf["_cells"]):
-                m = moments_of(cells)
-                rows.append((k, int(m.n), residual_mse(m, pca), residual_mse(m, adapt((base, pca), m)[1])))
+            for k, m in zip(pdf[batch], map(own, pdf["packed"])):
+                rows.append((k, int(m.n), residual_mse(m, pca), residual_mse(m, adapted(blended(base, m, weight)))))
             yield pd.DataFrame(rows, columns=names)
 
-    def along(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
+    if not carry:
+        return per_batch.mapInPandas(alone, schema)
+
+    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(d + d * d)
+        for m in map(own, pdf.sort_values("_rn")["packed"]):
+            total = (1 - weight) * total + weight * _as_vector(m, base.mean)
+        return pd.DataFrame([(int(pdf["_block"].iloc[0]), (1 - weight) ** len(pdf), total.tolist())], columns=["_block", "fade", "gain"])
+
+    def starts(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for k, cells in zip(pdf[batch], pdf["_cells"]):
-            m = moments_of(cells)
-            old, state["model"] = state["model"], adapt(state["model"], m)
-            rows.append((k, int(m.n), residual_mse(m, old[1]), residual_mse(m, state["model"][1])))
+        for block, fade, gain in zip(pdf["_block"], pdf["fade"], pdf["gain"]):
+            rows.append((block, state["model"].tolist()))
+            state["model"] = fade * state["model"] + np.asarray(gain, dtype=float)
+        return pd.DataFrame(rows, columns=["_block", "model"])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        model, rows = np.asarray(pdf["model"].iloc[0], dtype=float), []
+        # the base model itself keeps its own components
+        old = pca if int(pdf["_block"].iloc[0]) == 0 else adapted(_from_vector(model, base.mean))
+        pdf = pdf.sort_values("_rn")
+        for k, m in zip(pdf[batch], map(own, pdf["packed"])):
+            model = (1 - weight) * model + weight * _as_vector(m, base.mean)
+            new = adapted(_from_vector(model, base.mean))
+            rows.append((k, int(m.n), residual_mse(m, old), residual_mse(m, new)))
+            old = new
         return pd.DataFrame(rows, columns=names)
 
-    if not carry:
-        return per_batch.mapInPandas(alone, schema)
-    return keyed_fold(per_batch.withColumn("_stream", F.lit(0)), ["_stream"], [batch], lambda _: {"model": (base, pca)}, along, schema)
+    placed = settle(ranked(per_batch, [batch], out="_rn").withColumn("_block", F.floor((F.col("_rn") - 1) / CARRY_BLOCK).cast("long")))
+    blocks = placed.groupBy("_block").applyInPandas(composed, "_block long, fade double, gain array<double>").withColumn("_stream", F.lit(0))
+    begun = keyed_fold(blocks, ["_stream"], ["_block"], lambda _: {"model": _as_vector(base, base.mean)}, starts, "_block long, model array<double>")
+    return placed.join(begun, "_block").groupBy("_block").applyInPandas(walk, schema)

@@ -19,9 +19,8 @@ from driftloom.operators.moments import ARR, Moments, Pca, any_row, fit_pca, mom
 from driftloom.operators.ranks import exact_quantiles, running_by_value
 from driftloom.operators.sampling import inject_drift
 
-# Shares of permuted cells (1 %, 11 %, ... 91 %) and repetitions of the calibration.
+# Shares of permuted cells (1 %, 11 %, ... 91 %).
 PERMUTED_SHARES = (0.01, 0.11, 0.21, 0.31, 0.41, 0.51, 0.61, 0.71, 0.81, 0.91)
-REPETITIONS = 10
 
 
 def loading_drift(ref: Pca, cur: Pca) -> float:
@@ -77,58 +76,24 @@ def error_percent(mse: float, curves: Sequence[Curve]) -> float:
     return float(np.mean([min(100.0, max(0.0, c(mse))) for c in curves])) if curves else 0.0
 
 
-def permutation_errors(
-    df: DataFrame,
-    ids: Sequence[str],
-    pca: Pca,
-    arr: str = ARR,
-    shares: Sequence[float] = PERMUTED_SHARES,
-    repetitions: int = REPETITIONS,
-    chunk_rows: int = 50_000,
-    seed: int = 42,
-) -> DataFrame:
-    """Reconstruction error of the reference after permuting a share of its cells.
-
-    Rows go to equally large random chunks by a hash of their id; every chunk permutes its
-    own cells for all (repetition, share) pairs and reports sums, which are then added. Data
-    below ``chunk_rows`` is one chunk, i.e. one permutation of the whole matrix. The error
-    compares the unpermuted rows with the reconstruction of the permuted ones.
+def permutation_errors(ref: Moments, pca: Pca, shares: Sequence[float] = PERMUTED_SHARES) -> list[tuple[float, float]]:
+    """(percent, expected reconstruction error) of the reference after permuting a share of its cells.
+
+    The expectation is over all choices and permutations of the cells, so nothing is drawn and the answer is the same
+    for any size or partitioning. A chosen cell takes the value of any cell of the scaled matrix; the error compares the
+    unpermuted rows with the reconstruction of the permuted ones. What the permutation adds to a row is independent of
+    the row's residual, so the error is the residual plus the part of the added matrix inside the components: two
+    different cells of a row are both chosen with the square of the share, one with the share.
     """
-    n = df.count()
-    chunks = max(1, math.ceil(n / chunk_rows))
-    ids = list(ids)
-    keyed = df.select(
-        *[q(c) for c in ids], q(arr).cast("array<double>").alias("_x"),
-        F.pmod(F.xxhash64(F.lit(seed), *[q(c) for c in ids]), F.lit(chunks)).alias("_chunk"),
-    )
-    shares = tuple(shares)
-
-    def simulate(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ids)
-        z = (np.vstack(pdf["_x"].to_numpy()) - pca.mean) / pca.std
-        chunk = int(pdf["_chunk"].iloc[0])
-        flat = z.ravel()
-        out = []
-        for rep in range(repetitions):
-            for level, share in enumerate(shares):
-                rng = np.random.default_rng([seed, chunk, rep, level])
-                picked = rng.choice(flat.size, int(flat.size * share), replace=False)
-                mixed = flat.copy()
-                mixed[picked] = flat[rng.permutation(picked)]
-                mixed = mixed.reshape(z.shape)
-                rest = z - (mixed @ pca.components.T) @ pca.components
-                out.append((rep, share * 100.0, float((rest * rest).sum()), flat.size))
-        return pd.DataFrame(out, columns=["rep", "percent", "sse", "cells"])
-
-    parts = keyed.groupBy("_chunk").applyInPandas(simulate, "rep int, percent double, sse double, cells long")
-    return parts.groupBy("rep", "percent").agg((F.sum("sse") / F.sum("cells")).alias("mse"))
-
-
-def calibration_curves(errors: DataFrame) -> list[Curve]:
-    """One curve per repetition from the (repetition x level) table."""
-    rows = errors.orderBy("rep", "percent").collect()  # repetitions x levels numbers
-    reps = sorted({r["rep"] for r in rows})
-    return [Curve.through([r["mse"] for r in rows if r["rep"] == k], [r["percent"] for r in rows if r["rep"] == k]) for k in reps]
+    spread = ref.cov / np.outer(pca.std, pca.std)
+    own = np.diag(spread)
+    inside = pca.components.T @ pca.components
+    rest, d = residual_mse(ref, pca), len(own)
+    out = []
+    for share in shares:
+        added = share**2 * (spread - np.diag(own)) + share * np.diag(own.mean() + own)
+        out.append((share * 100.0, rest + float((inside * added).sum()) / d))
+    return out
 
 
 @dataclass(frozen=True)
@@ -141,11 +106,13 @@ class DriftModel:
     target: float | int
 
     @staticmethod
-    def fit(ref: DataFrame, ids: Sequence[str], arr: str = ARR, target: float | int = 0.90, calibrate: bool = True, **kw) -> DriftModel:
+    def fit(ref: DataFrame, arr: str = ARR, target: float | int = 0.90, calibrate: bool = True) -> DriftModel:
         m = moments(ref, arr)
         pca = fit_pca(m, target)
-        curves = calibration_curves(permutation_errors(ref, ids, pca, arr, **kw)) if calibrate else []
-        return DriftModel(m, pca, tuple(curves), target)
+        if not calibrate:
+            return DriftModel(m, pca, (), target)
+        percents, errors = zip(*permutation_errors(m, pca))
+        return DriftModel(m, pca, (Curve.through(errors, percents),), target)
 
     def measure(self, cur: Moments) -> dict[str, float]:
         """Current moments to dP, dE and the raw reconstruction error."""

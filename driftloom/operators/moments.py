@@ -52,6 +52,8 @@ def matrix(column: pa.Array) -> np.ndarray:
     """Arrow list column of equal lengths as an n x d matrix."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False)
+    if len(column) and len(flat) != len(column) * len(column[0]):
+        raise ValueError("feature arrays of different lengths")
     return np.asarray(flat, dtype=float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
@@ -69,10 +71,13 @@ def any_row(df: DataFrame, arr: str = ARR) -> np.ndarray | None:
 
 
 def packed_moments(df: DataFrame, shift: np.ndarray, arr: str = ARR, by: Sequence[str] = ()) -> DataFrame:
-    """Packed sums per group as an array column ``packed``."""
+    """Packed sums per group as an array column ``packed``.
+
+    Only complete rows count: one with a missing value in its array is left out, as ``n`` shows.
+    """
     by = list(by)
     d = len(shift)
-    kept = df.where(q(arr).isNotNull()).select(*[q(c) for c in by], q(arr).cast("array<double>").alias("_x"))
+    kept = df.where(q(arr).isNotNull() & F.forall(q(arr), lambda v: v.isNotNull() & ~F.isnan(v.cast("double")))).select(*[q(c) for c in by], q(arr).cast("array<double>").alias("_x"))
     types = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
     schema = ", ".join([*[f"`{c}` {types[c]}" for c in by], "_part array<double>"])
 

@@ -30,13 +30,18 @@ BUCKET = "_bucket"
 _FOLDS = {"sum": F.sum, "max": F.max}
 
 
-MAX_BUCKETS = 10_000
+#: Rows that one task may be given, whatever the size of the table.
+HOT_ROWS = 1_000_000
 
 
 def default_buckets(df: DataFrame) -> int:
     """As many buckets as shuffle partitions: one sort task each."""
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return min(MAX_BUCKETS, max(2, wanted))
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Buckets of a table's order: one per shuffle partition, more where these would hold too many rows."""
+    return max(default_buckets(df), math.ceil(df.count() / HOT_ROWS))
 
 
 def split_points(df: DataFrame, col: str, n: int) -> list[float]:
@@ -58,7 +63,7 @@ def order_buckets(df: DataFrame, order: Sequence[str], n: int | None = None, out
 
     ``sketch`` holds the rows whose quantiles are the split points (by default all of them).
     """
-    n = n or default_buckets(df)
+    n = n or bucket_count(df if sketch is None else sketch)
 
     def key(frame: DataFrame, name: str, col: str) -> DataFrame:
         return frame.withColumn(name, plain_zero(q(col).cast("double")))
@@ -76,25 +81,15 @@ def order_buckets(df: DataFrame, order: Sequence[str], n: int | None = None, out
     return keyed.withColumn(out, F.coalesce(bucket, F.lit(-1.0)).cast("long")).drop("_k0", "_k1", "_b0", "_b1")
 
 
-HOT_ROWS = 1_000_000
-
-
-def task_share(df: DataFrame, n: int) -> int:
-    """Rows one task may be given out of n."""
-    return max(HOT_ROWS, n // default_buckets(df))
-
-
 def hot_groups(df: DataFrame, by: Sequence[str]) -> DataFrame | None:
     """Groups too large for one task, or None when there are none.
 
-    Large means more rows than a fair share of a task, so there are fewer such groups than
-    tasks and their list may be broadcast. All other groups are left to plain windows.
+    Large means more than HOT_ROWS rows, so there is one such group per that many rows at
+    most. All other groups are left to plain windows.
     """
-    n = df.count()
-    limit = task_share(df, n)
-    if n <= limit:
+    if df.count() <= HOT_ROWS:
         return None
-    keys = df.groupBy(*[q(c) for c in by]).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).drop("_n")
+    keys = df.groupBy(*[q(c) for c in by]).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS).drop("_n")
     rows = keys.collect()
     return df.sparkSession.createDataFrame(rows, keys.schema) if rows else None
 
@@ -122,7 +117,7 @@ def _assign(df: DataFrame, order: Sequence[str], by: Sequence[str], n: int | Non
     hot = hot_groups(df, by)
     if hot is None:
         return df.withColumn(BUCKET, F.lit(-2).cast("long")), False
-    side = F.broadcast(prefixed(hot, by, "_h_").withColumn("_hot", F.lit(True)))
+    side = prefixed(hot, by, "_h_").withColumn("_hot", F.lit(True))
     marked = df.join(side, same_group(by, "_h_"), "left").drop(*[f"_h_{c}" for c in by])
     cut = order_buckets(marked, order, n, sketch=marked.where("_hot")) if bucket is None else marked.withColumn(BUCKET, bucket)
     return cut.withColumn(BUCKET, F.when(F.col("_hot"), F.col(BUCKET)).otherwise(F.lit(-2))).drop("_hot"), True
@@ -149,9 +144,9 @@ def _with_offsets(
             *[_FOLDS[k](f"_s_{o}").over(before).alias(f"_o_{o}") for o, (k, _) in folds.items()],
             *[_FOLDS[k](f"_s_{o}").over(whole).alias(f"_t_{o}") for o, (k, _) in folds.items() if totals],
         )
-        # One row per bucket, of all rows or of the few hot groups: its size is bounded by
-        # MAX_BUCKETS, the cuts of hot values, and the number of hot groups.
-        joined = cut.join(F.broadcast(offsets), (F.col(BUCKET) == F.col("_g_bucket")) & same_group(by, "_g_"), "left")
+        # One row per bucket, of all rows or of the hot groups; whether that is little enough to broadcast is left to
+        # Spark's own size check.
+        joined = cut.join(offsets, (F.col(BUCKET) == F.col("_g_bucket")) & same_group(by, "_g_"), "left")
     outs = {}
     for o, (k, e) in folds.items():
         local, all_here = _FOLDS[k](e).over(inside), _FOLDS[k](e).over(part)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from driftloom.functions.columns import hash_normal, signed_cbrt
 from driftloom.functions.names import q
 from driftloom.operators.joins import without
-from driftloom.operators.ranks import default_buckets, ranked, running
+from driftloom.operators.ranks import bucket_count, ranked, running
+from driftloom.session import settle
 
 HASH = "_hash"
 
@@ -32,7 +33,7 @@ def hash_ranked(df: DataFrame, ids: Sequence[str], by: Sequence[str] = (), seed:
     and a class that holds most rows is spread like any other.
     """
     hashed = with_hash(df, ids, seed)
-    bits = default_buckets(df).bit_length()
+    bits = bucket_count(df).bit_length()
     top = F.shiftrightunsigned(F.col(HASH), 63 - bits)
     return running(hashed, [HASH, *ids], {out: ("sum", F.lit(1))}, by, bucket=top, totals=True).drop(HASH)
 
@@ -52,7 +53,8 @@ DIGIT = 12  # hash bits looked at per pass
 
 
 def hash_cut(df: DataFrame, ids: Sequence[str], k: int, seed: int = 42) -> int:
-    """The k-th smallest row hash: rows with a hash up to it are a random sample of k rows.
+    """The k-th smallest row hash: rows with a hash up to it are a random sample of k rows (of
+    more, if rows with equal ids lie at the cut; ``up_to`` takes just enough of these).
 
     Found digit by digit. Each pass counts the rows per value of the next bits (at most 4096
     numbers come back) and goes on inside the value that holds the k-th row; the last few
@@ -80,10 +82,20 @@ def hash_cut(df: DataFrame, ids: Sequence[str], k: int, seed: int = 42) -> int:
     return rest.orderBy(HASH).limit(left).agg(F.max(HASH)).first()[0]
 
 
-def hash_sample(df: DataFrame, ids: Sequence[str], k: int, seed: int = 42) -> DataFrame:
-    """k random rows, the same ones whatever the partitioning."""
+def up_to(df: DataFrame, ids: Sequence[str], k: int, seed: int = 42) -> DataFrame:
+    """The k rows with the smallest hashes (all, if there are fewer), with their hash."""
     cut = hash_cut(df, ids, k, seed)
-    return with_hash(df, ids, seed).where(F.col(HASH) <= cut).drop(HASH)
+    hashed = with_hash(df, ids, seed)
+    taken = hashed.where(F.col(HASH) <= cut)
+    c = taken.agg(F.count("*").alias("n"), F.count(F.when(F.col(HASH) == cut, 1)).alias("ties")).first()
+    if c["n"] <= max(k, 0):
+        return taken
+    return hashed.where(F.col(HASH) < cut).unionByName(hashed.where(F.col(HASH) == cut).limit(k - (c["n"] - c["ties"])))
+
+
+def hash_sample(df: DataFrame, ids: Sequence[str], k: int, seed: int = 42) -> DataFrame:
+    """k random rows, the same ones whatever the partitioning; of rows with equal ids any may be taken."""
+    return up_to(df, ids, k, seed).drop(HASH)
 
 
 def rebalance(df: DataFrame, ids: Sequence[str], rate: float, label: str = "label", seed: int = 42, at_least_one: bool = True) -> DataFrame:
@@ -91,8 +103,7 @@ def rebalance(df: DataFrame, ids: Sequence[str], rate: float, label: str = "labe
     c = df.agg(F.count(F.when(q(label) == 0, 1)).alias("n0"), F.count(F.when(q(label) == 1, 1)).alias("n1")).first()
     wanted = int(c["n0"] * rate / (1 - rate))
     wanted = min(max(1, wanted) if at_least_one else wanted, c["n1"])
-    cut = hash_cut(df.where(q(label) == 1), ids, wanted, seed)
-    return with_hash(df, ids, seed).where((q(label) == 0) | ((q(label) == 1) & (F.col(HASH) <= cut))).drop(HASH)
+    return df.where(q(label) == 0).unionByName(hash_sample(df.where(q(label) == 1), ids, wanted, seed))
 
 
 def init_sample(df: DataFrame, ids: Sequence[str], size: int = 2000, label: str = "label", seed: int = 42) -> DataFrame:
@@ -118,7 +129,7 @@ def permute_cells(df: DataFrame, ids: Sequence[str], cols: Sequence[str], share:
     cells = df.unpivot([q(c) for c in ids], [q(c) for c in cols], "column", "value")
     keys = [*ids, "column"]
     cut = hash_cut(cells, keys, int(df.count() * len(cols) * share), seed)
-    marked = with_hash(cells, keys, seed).withColumn("chosen", F.col(HASH) <= cut).drop(HASH)
+    marked = settle(with_hash(cells, keys, seed).withColumn("chosen", F.col(HASH) <= cut).drop(HASH))
     picked = marked.where("chosen").drop("chosen")
     # Only the chosen cells are shuffled.
     takers = hash_ranked(picked, keys, seed=seed + 1, out="_at").drop("_at_total")

@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from driftloom.functions.columns import literal_array, plain_zero
 from driftloom.functions.names import q
 from driftloom.functions.stats import rank_sum_z, z_critical
-from driftloom.operators.ranks import default_buckets, hot_groups, prefixed, ranked, running, same_group, task_share
+from driftloom.operators import ranks
+from driftloom.operators.ranks import default_buckets, hot_groups, prefixed, ranked, running, same_group
 from driftloom.session import settle
 
 BLOCK = 4096
@@ -239,7 +240,10 @@ def _windowed_auc(score: np.ndarray, y: np.ndarray, n: int, first: int) -> np.nd
 
 
 def prequential_auc(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), n: int = 1000, score: str = "score", label: str = "label", size: int = 4 * BLOCK, out: str = "pauc") -> DataFrame:
-    """AUC over the last ``n`` rows after every row; each block brings its own look-back."""
+    """AUC over the last ``n`` rows after every row; each block brings its own look-back.
+
+    A missing score ranks below all others.
+    """
     keys = list(by) or ["_all"]
     base = df if by else df.withColumn("_all", F.lit(0))
     blocks = halo_blocks(base, order, keys if by else [], back=n - 1, size=size)
@@ -250,7 +254,8 @@ def prequential_auc(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
         own = pdf["_own"].to_numpy()
         first = int(np.argmax(own)) if own.any() else len(pdf)
         y = (pdf[label].to_numpy() == 1).astype(int)
-        pdf[out] = _windowed_auc(pdf[score].to_numpy(dtype=float), y, n, first)
+        values = pdf[score].to_numpy(dtype=float)
+        pdf[out] = _windowed_auc(np.where(np.isnan(values), -np.inf, values), y, n, first)
         return pdf[own][schema.names]
 
     return blocks.groupBy(*[q(c) for c in keys], "_block").applyInPandas(run, schema)
@@ -379,7 +384,7 @@ def keyed_fold(
         return whole(rows)
     side = F.broadcast(prefixed(hot, key, "_h_"))
     cold, big = (rows.join(side, same_group(key, "_h_"), how) for how in ("left_anti", "left_semi"))
-    return whole(cold).unionByName(_segmented(big, key, order, start, step, schema, task_share(rows, rows.count())))
+    return whole(cold).unionByName(_segmented(big, key, order, start, step, schema, ranks.HOT_ROWS))
 
 
 def _segmented(

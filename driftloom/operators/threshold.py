@@ -85,6 +85,7 @@ def reference_sample(df: DataFrame, score: str, ids: Sequence[str], n: int = REF
 def adapt_on_drift(
     stream: DataFrame, ref: DataFrame, order: Sequence[str], ids: Sequence[str], window: int = 400, every: int = 120,
     p: float = 0.0007, k: float = 1.7872, score: str = "score", mode: str = "recent",
+    sample_size: int = REFERENCE_SAMPLE,
 ) -> tuple[DataFrame, DataFrame]:
     """Threshold mean + k*std that is set anew at every KS alarm.
 
@@ -96,7 +97,7 @@ def adapt_on_drift(
     if base["m"] is None:
         raise ValueError("the reference has no scores")
     start = base["m"] + k * base["s"]
-    sample = reference_sample(ref, score, ids)
+    sample = reference_sample(ref, score, ids, sample_size)
     placed = positions(stream, order)
     checks = rolling_ks(placed, order, sample, window, every, score)
     checks = checks.withColumn("p_value", kolmogorov_p(F.col("ks"), F.lit(len(sample)), F.lit(window)))

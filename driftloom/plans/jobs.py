@@ -45,9 +45,9 @@ def selection_job(windows: DataFrame, names: Sequence[str], k: int = 2, gauges:
     return projected, kept, [float(v) for v in model.explainedVariance.toArray()], report
 
 
-def drift_report(ref: DataFrame, cur: DataFrame, cols: Sequence[str], ids: Sequence[str], by: str | None = None, **fit) -> DataFrame:
+def drift_report(ref: DataFrame, cur: DataFrame, cols: Sequence[str], by: str | None = None, **fit) -> DataFrame:
     """dP and dE of current data, whole or per batch, with band and version advice."""
-    model = DriftModel.fit(as_features(ref, cols), ids, **fit)
+    model = DriftModel.fit(as_features(ref, cols), **fit)
     feats = as_features(cur, cols)
     if by:
         rows = model.by_group(feats, by)

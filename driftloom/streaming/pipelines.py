@@ -35,8 +35,8 @@ def libsvm_stream(spark: SparkSession, folder: str, width: int = 128) -> DataFra
 def replay(df: DataFrame, name: str, mode: str = "append", into: str | None = None) -> DataFrame:
     """Run a streaming frame over everything that is there, in order, then stop; read the result.
 
-    Result and progress go to the shared work folder, so a restarted query goes on where the
-    lost one stopped.
+    Result and progress go to the shared work folder. With a named folder ``into`` a restarted
+    query goes on where the lost one stopped; without one every run starts anew.
     """
     spark = df.sparkSession
     path = into or work_path(spark, name)
@@ -72,7 +72,8 @@ def replay_latest(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    stored = spark.read.option("basePath", path).schema(df.schema.add("_at", "long")).parquet(path)
+    schema = T.StructType([*df.schema.fields, T.StructField("_at", T.LongType())])
+    stored = spark.read.option("basePath", path).schema(schema).parquet(path)
     rest = [c for c in df.columns if c not in keys]
     newest = stored.groupBy(*[q(k) for k in keys]).agg(F.max_by(F.struct(*rest), "_at").alias("_last"))
     return newest.select(*[q(k) for k in keys], "_last.*")

@@ -86,15 +86,26 @@ def test_half_split_batches_and_periods(spark):
 
 def test_order_never_uses_one_partition_for_rows(spark):
     df = spark.range(1000).withColumn("t", F.col("id").cast("double"))
-    plan = ranks.ranked(df, ["t", "id"])._jdf.queryExecution().optimizedPlan().toString()
-    # The only window without a partition key runs over one row per bucket.
-    assert plan.count("windowspecdefinition(_bucket") + plan.count("Window [") >= 1
+    plan = ranks.ranked(df, ["t", "id"])._jdf.queryExecution().executedPlan().toString().splitlines()
+    single = [k for k, line in enumerate(plan) if "Exchange SinglePartition" in line]
+    # what goes to one partition are the totals of the buckets, one row each
+    assert all(any("HashAggregate(keys=[_bucket" in line for line in plan[k + 1 : k + 4]) for k in single)
+
+
+def test_rows_per_task_are_bounded(spark, monkeypatch):
+    df = spark.range(1000).withColumn("t", F.col("id").cast("double"))
+    assert ranks.bucket_count(df) == 4
+    monkeypatch.setattr(ranks, "HOT_ROWS", 50)
+    assert ranks.bucket_count(df) == 20
+    sizes = [r["count"] for r in ranks.order_buckets(df, ["t"]).groupBy(ranks.BUCKET).count().collect()]
+    assert len(sizes) >= 18 and max(sizes) < 100
+    assert [r["rn"] for r in ranks.ranked(df, ["t", "id"]).orderBy("id").collect()] == list(range(1, 1001))
 
 
 @pytest.fixture
 def tiny_groups(monkeypatch):
-    """Groups above 20 rows count as hot."""
-    monkeypatch.setattr(ranks, "HOT_ROWS", 20)
+    """Groups above 100 rows count as hot."""
+    monkeypatch.setattr(ranks, "HOT_ROWS", 100)
 
 
 def test_hot_groups_are_split_and_agree(spark, tiny_groups):

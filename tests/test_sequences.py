@@ -230,8 +230,8 @@ def test_detector_ensemble(spark):
 
 @pytest.fixture
 def short_tasks(monkeypatch):
-    """Keys above 20 rows, or a fair share of all, are too long for one task."""
-    monkeypatch.setattr(ranks, "HOT_ROWS", 20)
+    """Keys above 75 rows are too long for one task."""
+    monkeypatch.setattr(ranks, "HOT_ROWS", 75)
 
 
 def test_long_keys_are_walked_in_segments(spark, short_tasks):
@@ -262,7 +262,7 @@ def test_adwin_in_segments_equals_one_walk(spark, monkeypatch):
         return [tuple(r) for r in out.orderBy("block").collect()]
 
     whole = run()
-    monkeypatch.setattr(ranks, "HOT_ROWS", 10)
+    monkeypatch.setattr(ranks, "HOT_ROWS", 18)
     assert run() == whole and sum(r[-1] for r in whole) >= 1 and whole[-1][2] == 2300
 
 
