@@ -104,10 +104,13 @@ def labelled_csv(spark, sf):
     return back.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum("f0"), 4).alias("f0"), F.round(F.sum("f63"), 4).alias("f63"))
 
 
-@query("stored_scores", f"SELECT vec_id FROM ({VECTORS})")
+@query("stored_scores", f"""WITH v AS (SELECT vec_id, features[1] AS x, features[2] AS y FROM ({VECTORS})),
+  m AS (SELECT avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, stddev_pop(y) AS sy, sign(corr(x, y)) AS s FROM v)
+  SELECT vec_id, round(power((x - mx) / sx - s * (y - my) / sy, 2) / 4, 6) AS score FROM v, m""")
 def stored_scores(spark, sf):
-    v = vectors(spark, sf)
-    pca = fit_pca(moments(v), 8)
+    """Reconstruction errors of two columns, for which one component has a closed form."""
+    v = vectors(spark, sf).withColumn("features", F.slice("features", 1, 2))
+    pca = fit_pca(moments(v), 1)
     path = scratch(spark, "scores")
 
     def score(df):
@@ -115,7 +118,7 @@ def stored_scores(spark, sf):
 
     readers.scores_or_compute(v, path, score)  # computed and stored
     again = readers.scores_or_compute(v, path, lambda df: score(df).limit(0))  # found, not computed
-    return again.where("score IS NOT NULL").select("vec_id")
+    return again.select("vec_id", r6("score"))
 
 
 @query("numeric_scaled_labels", f"""SELECT label, count(*) AS n, round(avg((value - (SELECT avg(value) FROM events)) / (SELECT stddev_pop(value) FROM events)), 6) AS value
@@ -167,13 +170,17 @@ def backfilled_labels(spark, sf):
     return full.where("key = 'mode'").select("run_id", F.col("value").alias("mode"))
 
 
-@query("batch_gauges", f"""SELECT 'batch_samples' AS name, CAST(batch AS BIGINT) AS batch, CAST(count(*) AS DOUBLE) AS value FROM ({VECTORS}) GROUP BY batch""")
+@query("batch_gauges", f"""WITH b AS (SELECT CAST(batch AS BIGINT) AS batch, CAST(count(*) AS DOUBLE) AS n, avg(CAST(label = 0 AS DOUBLE)) AS normal,
+  CAST(max(label) AS DOUBLE) AS top FROM ({VECTORS}) GROUP BY batch)
+  SELECT 'batch_samples' AS name, batch, n AS value FROM b UNION ALL SELECT 'normal_share', batch, round(normal, 6) FROM b UNION ALL SELECT 'top_label', batch, top FROM b""")
 def batch_gauges(spark, sf):
     path = scratch(spark, "gauges")
-    counts = vectors(spark, sf).groupBy("batch").agg(F.count("*").alias("n")).orderBy("batch").collect()  # ten batches
-    for row in counts:
-        runs.append_gauges(spark, path, row["batch"], {"batch_samples": row["n"]})
-    return spark.read.schema(runs.METRIC_SCHEMA).parquet(path).select("name", "batch", "value")
+    per_batch = vectors(spark, sf).groupBy("batch").agg(
+        F.count("*").alias("batch_samples"), F.avg((F.col("label") == 0).cast("double")).alias("normal_share"), F.max("label").alias("top_label")
+    )
+    for row in per_batch.orderBy("batch").collect():  # ten batches
+        runs.append_gauges(spark, path, row["batch"], {k: row[k] for k in ("batch_samples", "normal_share", "top_label")})
+    return spark.read.schema(runs.METRIC_SCHEMA).parquet(path).select("name", "batch", r6("value"))
 
 
 @query("saved_model")

@@ -119,12 +119,17 @@ def linear_regression(spark, sf):
     return out.select(F.round("rmse", 4).alias("rmse"), r6("r2"))
 
 
-@query("train_test_split", "SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
+@query("train_test_split", """SELECT count(*) AS n, count(DISTINCT event_id) AS ids, CAST(0 AS BIGINT) AS in_both, CAST(80 AS BIGINT) AS train_percent FROM events""")
 def train_test_split(spark, sf):
     s = sampling.train_test(events(spark, sf), ["event_id"])
     train, test = s.where("is_train"), s.where(~F.col("is_train"))
+    in_both = train.join(test.select("event_id"), "event_id", "left_semi").count()
     both = train.unionByName(test)
-    return both.agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
+    # the share of a split by hash is near 80 %, here to the nearest five
+    percent = F.round(F.avg(F.col("is_train").cast("double")) * 20) * 5
+    return both.agg(
+        F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), F.lit(in_both).cast("long").alias("in_both"), percent.cast("long").alias("train_percent")
+    )
 
 
 @query("stratified_folds", f"""WITH c AS (SELECT label, count(*) AS n FROM ({EVENTS}) GROUP BY label)
@@ -134,19 +139,26 @@ def stratified_folds(spark, sf):
 
 
 @query("rebalanced", f"""WITH c AS (SELECT count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM ({EVENTS}))
-  SELECT 0 AS label, n0 AS n FROM c UNION ALL SELECT 1, least(greatest(1, CAST(floor(n0 * 0.01 / 0.99) AS BIGINT)), n1) FROM c""")
+  SELECT 0 AS label, n0 AS n, n0 AS ids, (SELECT round(sum(value), 4) FROM (%s) WHERE label = 0) AS normal_sum FROM c
+  UNION ALL SELECT 1, least(greatest(1, CAST(floor(n0 * 0.01 / 0.99) AS BIGINT)), n1), least(greatest(1, CAST(floor(n0 * 0.01 / 0.99) AS BIGINT)), n1), NULL FROM c""" % EVENTS)
 def rebalanced(spark, sf):
-    return sampling.rebalance(events(spark, sf), ["event_id"], 0.01).groupBy("label").agg(F.count("*").alias("n"))
+    out = sampling.rebalance(events(spark, sf), ["event_id"], 0.01)
+    return out.groupBy("label").agg(
+        F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), F.round(F.sum(F.when(F.col("label") == 0, F.col("value"))), 4).alias("normal_sum")
+    )
 
 
 @query("permuted_cells", f"""WITH c AS ({" UNION ALL ".join(f"SELECT {c} AS v FROM lineitem" for c in MEASURES)}), n AS (SELECT count(*) AS n FROM c)
-  SELECT count(*) AS cells, CAST(floor(max(n) * 0.31) AS BIGINT) AS chosen, round(sum(v), 2) AS total, round(sum(v * v) / 1000000000, 4) AS squares FROM c, n""")
+  SELECT count(*) AS cells, CAST(floor(max(n) * 0.31) AS BIGINT) AS chosen, CAST(sum(CAST(round(v * 100) AS BIGINT)) AS BIGINT) AS cents, round(sum(v * v) / 1000000000, 4) AS squares,
+  true AS most_moved, CAST(0 AS BIGINT) AS others_moved FROM c, n""")
 def permuted_cells(spark, sf):
     p = sampling.permute_cells(measures(spark, sf), KEY, MEASURES, 0.31)
     v = F.col("permuted")
     return p.agg(
         F.count("*").alias("cells"), F.count(F.when(F.col("chosen"), 1)).alias("chosen"),
-        F.round(F.sum(v), 2).alias("total"), F.round(F.sum(v * v) / 1000000000, 4).alias("squares"),
+        F.sum(F.round(v * 100).cast("long")).alias("cents"), F.round(F.sum(v * v) / 1000000000, 4).alias("squares"),
+        (F.count(F.when(F.col("chosen") & (v != F.col("value")), 1)) > 0.5 * F.count(F.when(F.col("chosen"), 1))).alias("most_moved"),
+        F.count(F.when(~F.col("chosen") & (v != F.col("value")), 1)).alias("others_moved"),
     )
 
 
@@ -177,9 +189,12 @@ def injected_noise(spark, sf):
     return injected(spark, sf, "noise", 0.5)
 
 
-@query("injected_deletion", "SELECT CAST(floor(count(*) * 0.8) AS BIGINT) AS n FROM events")
+@query("injected_deletion", """SELECT CAST(floor(count(*) * 0.8) AS BIGINT) AS n, CAST(floor(count(*) * 0.8) AS BIGINT) AS ids,
+  CAST(floor(count(*) * 0.8) AS BIGINT) AS unchanged FROM events""")
 def injected_deletion(spark, sf):
-    return sampling.inject_drift(events(spark, sf), ["value"], ["event_id"], "missing", 0.2).agg(F.count("*").alias("n"))
+    left = sampling.inject_drift(events(spark, sf), ["value"], ["event_id"], "missing", 0.2)
+    same = left.join(events(spark, sf).select("event_id", F.col("value").alias("was")), "event_id", "left")
+    return same.agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), F.count(F.when(F.col("value").eqNullSafe(F.col("was")), 1)).alias("unchanged"))
 
 
 @query("damped_segments", """WITH e AS (SELECT event_id, value, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n FROM events)

@@ -26,7 +26,7 @@ WINDOWS = f"""WITH e AS ({EVENTS}), w AS (SELECT CAST(user_id AS VARCHAR) AS CEL
 
 
 @query("sliding_windows", f"""{WINDOWS} SELECT CELL, END_TIME, event_id, vs[1] AS first_value, round(list_sum(vs), 6) AS sum_value,
-  round(list_sum(ks), 6) AS sum_k, 2 * len(vs) AS cells FROM w WHERE n = {WS}""")
+  round(list_sum(ks), 6) AS sum_k, 2 * len(vs) AS cells, CAST(ks[1] AS DOUBLE) AS second_cell, vs[{WS}] AS next_to_last, CAST(ks[{WS}] AS DOUBLE) AS last_cell FROM w WHERE n = {WS}""")
 def sliding_windows(spark, sf):
     w = sequence.sliding_windows(cells(spark, sf), ["value", "k"], WS, tie=["event_id"])
     flat = w.withColumn("flat", flatten_window(F.col("win")))
@@ -37,6 +37,7 @@ def sliding_windows(spark, sf):
     return flat.select(
         "CELL", "END_TIME", "event_id", F.col("win")[0][0].alias("first_value"), r6(part(0), "sum_value"),
         r6(part(1), "sum_k"), F.size("flat").cast("long").alias("cells"),
+        F.col("flat")[1].cast("double").alias("second_cell"), F.col("flat")[2 * WS - 2].alias("next_to_last"), F.col("flat")[2 * WS - 1].cast("double").alias("last_cell"),
     )
 
 

@@ -305,12 +305,15 @@ def window_labels(spark, sf):
     return joins.attach_labels(wins, lab).select("id", "label")
 
 
-@query("init_and_stream", """SELECT 'init' AS part, least(200, count(*) FILTER (label = 0)) AS n, CAST(0 AS BIGINT) AS anomalies FROM (%s)
-  UNION ALL SELECT 'stream', count(*) - least(200, count(*) FILTER (label = 0)), count(*) FILTER (label = 1) FROM (%s)""" % (EVENTS, EVENTS))
+@query("init_and_stream", """SELECT 'init' AS part, least(2000, count(*) FILTER (label = 0)) AS n, CAST(0 AS BIGINT) AS anomalies,
+  count(DISTINCT event_id) AS ids_of_both FROM (%s)
+  UNION ALL SELECT 'stream', count(*) - least(2000, count(*) FILTER (label = 0)), count(*) FILTER (label = 1), count(DISTINCT event_id) FROM (%s)""" % (EVENTS, EVENTS))
 def init_stream(spark, sf):
-    init, stream = init_and_stream(events(spark, sf), ["event_id"], 200)
+    init, stream = init_and_stream(events(spark, sf), ["event_id"])
     marked = init.withColumn("part", F.lit("init")).unionByName(stream.withColumn("part", F.lit("stream")))
-    return marked.groupBy("part").agg(F.count("*").alias("n"), F.count(F.when(F.col("label") == 1, 1)).alias("anomalies"))
+    ids = marked.select("event_id").distinct().count()
+    out = marked.groupBy("part").agg(F.count("*").alias("n"), F.count(F.when(F.col("label") == 1, 1)).alias("anomalies"))
+    return out.withColumn("ids_of_both", F.lit(ids).cast("long"))
 
 
 @query("previous_batch_model", f"""WITH v AS ({VECTORS}), c AS (SELECT batch, label, count(*) AS n FROM v GROUP BY ALL),
