@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from xxhash import xxh3_64_intdigest
 
-from driftloom.llm.text import two_columns
+from driftloom.llm.text import mix, slices, two_columns
 from driftloom.session import settle
 
 #: Different pieces of one key that an exact method handles in one task.
@@ -38,6 +38,11 @@ SPAN = "doc long, start int, windows int"
 #: Bits of the filter that keeps texts without any span where they are (16 MB); when it is full all texts travel.
 FILTER_BITS = 1 << 27
 
+#: Bits for a place within the units that are cut at once.
+PLACE_BITS = 23
+_FACTOR = 0xD6E8FEB86659FD93
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
+
 Bucket = Callable[[list[tuple[int, int, int, bytes]]], Iterator[tuple[int, int, int]]]
 
 
@@ -57,6 +62,49 @@ def covered(n: int, spans: list[dict], window: int) -> np.ndarray:
     return np.cumsum(turn)[:n] > 0
 
 
+def powers(factor: int, n: int) -> np.ndarray:
+    steps = np.full(n + 1, factor, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps)
+
+
+def cut_pieces(kmers: np.ndarray, units: np.ndarray, length: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
+    """Pieces of parts that lie one behind the other: (minimiser, digest, part, start in the part, windows, place of the
+    minimiser in the piece).
+
+    ``kmers`` has a hash for every k-mer (also for those across parts, which no window uses), ``units`` one for every
+    unit, ``length`` the units of each part. Of equal minimisers in a window the first one counts.
+    """
+    n = len(units) - window + 1
+    none = np.zeros(0, np.int64)
+    if n <= 0:
+        return (none.view(np.uint64), none.view(np.uint64), none, none, none, none)
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    least = (kmers & ~low) | np.arange(len(kmers), dtype=np.uint64)
+    span, width = window - k + 1, 1
+    while 2 * width <= span:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    place = (np.minimum(least[:n], least[span - width :]) & low).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(length)[:-1]])
+    long = length >= window
+    turn = np.zeros(len(units) + 1, np.int32)
+    np.add.at(turn, first[long], 1)
+    np.add.at(turn, (first + length - window + 1)[long], -1)
+    inside = np.flatnonzero(np.cumsum(turn)[:n] > 0)
+    if not len(inside):
+        return (none.view(np.uint64), none.view(np.uint64), none, none, none, none)
+    place = place[inside]
+    # windows of neighbouring parts are at least a window apart
+    new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (inside[1:] != inside[:-1] + 1)]))
+    start, windows, at = inside[new], np.diff(np.append(new, len(inside))), place[new]
+    sums = np.zeros(len(units) + 1, np.uint64)
+    np.cumsum(units * powers(_FACTOR, len(units) - 1), out=sums[1:])
+    digest = (sums[start + windows + window - 1] - sums[start]) * powers(_INVERSE, len(units))[start]
+    part = np.searchsorted(first + length, start, side="right")
+    return kmers[at], mix(digest ^ windows.astype(np.uint64), 54), part, start - first[part], windows, at - start
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -114,7 +162,7 @@ def with_strings(pieces: DataFrame, docs: DataFrame, strings: Callable[[bytes, l
     names = [f.split()[0] for f in STRING.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for doc, text, pieces in zip(*(c.to_pylist() for c in b.columns)):
                 part = [(p["key"], p["start"], p["windows"], p["at"]) for p in pieces]
                 found = strings((text or "").encode(), [(s, n) for _, s, n, _ in part])
@@ -131,7 +179,7 @@ def recut(strings: DataFrame, size: int, span: int, units: Callable[[bytes], obj
     schema = f"{PIECE}, string binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for _, doc, start, windows, at, string in zip(*(c.to_pylist() for c in b.columns)):
                 whole = units(string)

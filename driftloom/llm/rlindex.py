@@ -18,29 +18,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from driftloom.llm.repeats import NO_ID, PIECE, covered, keyed, piece_batch, repeated_spans, with_spans
-from driftloom.llm.text import map_batches, mix, utf8
+from driftloom.llm.repeats import NO_ID, PIECE, covered, cut_pieces, keyed, piece_batch, repeated_spans, with_spans
+from driftloom.llm.text import map_batches, mix, slices, utf8
 
 WINDOW = 200
 K = 32
 #: Windows per cut where a minimiser has very many surroundings.
 CUT = 8
-#: Bytes of text hashed at once (a longer text is cut with an overlap of a window), and bits for a place in them.
+#: Bytes of text hashed at once; a longer text is cut with an overlap of a window.
 STRETCH = 1 << 19
-PLACE_BITS = 23
 #: Bytes of strings per index.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 19
 
 _BYTE = mix(np.arange(256, dtype=np.uint64), 51)
 _BYTE_2 = mix(np.arange(256, dtype=np.uint64), 52)
 _FACTOR = 0xD6E8FEB86659FD93
-_INVERSE = pow(_FACTOR, -1, 1 << 64)
-
-
-def powers(factor: int, n: int) -> np.ndarray:
-    steps = np.full(n + 1, factor, np.uint64)
-    steps[0] = 1
-    return np.cumprod(steps)
 
 
 def stretches(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -72,35 +64,13 @@ def byte_pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         while width < K:
             h = h[:-width] * np.uint64(factor) + h[width:]
             width, factor = 2 * width, (factor * factor + 2) & ((1 << 64) - 1)
-        h = mix(h, 53)
-        low = np.uint64((1 << PLACE_BITS) - 1)
-        least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-        span, width = WINDOW - K + 1, 1
-        while 2 * width <= span:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        least = np.minimum(least[: len(data) - WINDOW + 1], least[span - width :])
-        place = (least & low).astype(np.int64)
-        first = np.concatenate([[0], np.cumsum(length)[:-1]])  # of each part
-        inside = np.zeros(len(place) + 1, np.int32)
-        np.add.at(inside, first, 1)
-        np.add.at(inside, first + length - WINDOW + 1, -1)
-        window = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-        place = place[window]
-        new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)]))
-        start = window[new]
-        windows = np.diff(np.append(new, len(window)))
-        at = place[new]
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_2[data] * powers(_FACTOR, len(data) - 1), out=sums[1:])
-        digest = (sums[start + windows + WINDOW - 1] - sums[start]) * powers(_INVERSE, len(data))[start]
-        part = np.searchsorted(first, start, side="right") - 1
-        yield h[at], mix(digest ^ windows.astype(np.uint64), 54), which[part], start - first[part] + offset[part], windows, at - start
+        key, digest, part, start, windows, at = cut_pieces(mix(h, 53), _BYTE_2[data], length, WINDOW, K)
+        yield key, digest, which[part], start + offset[part], windows, at
 
 
 def document_pieces(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids = b.column(0).to_numpy()
             for key, digest, which, start, windows, at in byte_pieces(utf8(b.column(1))):
                 yield piece_batch([key, digest, ids[which], start, windows, at])

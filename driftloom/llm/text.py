@@ -38,13 +38,22 @@ def utf8(array: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in array.cast(pa.binary()).to_pylist()]
 
 
+#: Rows that a task turns into Python objects at once.
+ROWS = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows, which bounds what a task holds beside Spark's own batch."""
+    for b in batches:
+        for s in range(0, b.num_rows, ROWS):
+            yield b.slice(s, ROWS)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``fn`` on each Arrow batch of ``df``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+        yield from map(fn, slices(batches))
 
     return df.mapInArrow(run, schema)
 
@@ -75,3 +84,14 @@ class WordHashes(dict):
 def lower_ascii(text: bytes) -> bytes:
     """A-Z only; ``bytes.lower`` leaves all bytes above 127 alone."""
     return text.lower()
+
+
+def hashed_batches(df: DataFrame, fn: Callable[[pa.RecordBatch, WordHashes], pa.RecordBatch], schema: str) -> DataFrame:
+    """``fn`` on each Arrow batch of ``df``, with the word hashes of the whole task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in slices(batches):
+            yield fn(batch, hashes)
+
+    return df.mapInArrow(run, schema)
