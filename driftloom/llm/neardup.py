@@ -7,8 +7,9 @@ pair's larger, smaller and equal registers (given both set sizes) estimates its
 
 Equal sets are one node from the start. In each bucket of a band all nodes are compared with the smallest one, first
 one pair per node and then all that still join different components; what is left are buckets that hold several
-components, where nodes of different components meet. Pairs inside a component are never made, so a large group of
-copies costs as much as its size.
+components. There the nodes outside the bucket's largest component are compared with all of its nodes, in blocks of
+bounded size, and only pairs that can't be ruled out leave the block. Pairs inside a component are never made, so a
+large group of copies costs as much as its size.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from xxhash import xxh3_128_digest
 
 from driftloom.llm.components import connect
 from driftloom.llm.repeats import probably_in
-from driftloom.llm.text import WordHashes, column, lower_ascii, map_batches, mix, two_columns, utf8
+from driftloom.llm.text import WordHashes, column, hashed_batches, lower_ascii, map_batches, mix, two_columns, utf8
 from driftloom.session import settle
 
 #: Registers of a sketch; base, rate and largest value of a register.
@@ -31,8 +32,12 @@ REGISTERS = 256
 STEP, RATE, TOP = 1.001, 20.0, 65535
 #: Registers per band, and bands; a band takes registers from all over the sketch, so bands overlap.
 BAND, BANDS = 7, 64
-#: Candidates whose estimated similarity is this far below the threshold are not verified: over six standard errors.
-SLACK = 0.17
+#: Candidates whose estimated similarity is this far below the threshold are not verified: five standard errors.
+SLACK = 0.13
+#: Bits of a set's bitmap, which bounds an intersection from above.
+BITS = 4096
+#: Nodes of a bucket that are compared in one go, and pairs evaluated at once.
+BLOCK, PAIRS = 2048, 4096
 STRETCH = 2048
 
 _ODD = (mix(np.arange(REGISTERS, dtype=np.uint64), 21) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -89,8 +94,7 @@ def likely_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.nda
 def sketched(df: DataFrame, k: int) -> DataFrame:
     """``doc_id, n_shingles, digest`` of the whole set (null: empty set) and ``sketch`` per row of (doc_id, text)."""
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        hashes = WordHashes()
+    def batch(b: pa.RecordBatch, hashes: WordHashes) -> pa.RecordBatch:
         sets = [shingles(lower_ascii(t).split(), k, hashes) for t in utf8(b.column(1))]
         return pa.RecordBatch.from_arrays(
             [
@@ -102,16 +106,60 @@ def sketched(df: DataFrame, k: int) -> DataFrame:
             ["doc_id", "n_shingles", "digest", "sketch"],
         )
 
-    return map_batches(df, batch, "doc_id long, n_shingles long, digest binary, sketch binary")
+    return hashed_batches(df, batch, "doc_id long, n_shingles long, digest binary, sketch binary")
 
 
 def full_sets(df: DataFrame, k: int) -> DataFrame:
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        hashes = WordHashes()
+    def batch(b: pa.RecordBatch, hashes: WordHashes) -> pa.RecordBatch:
         sets = [shingles(lower_ascii(t).split(), k, hashes).tobytes() for t in utf8(b.column(1))]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "members"])
 
-    return map_batches(df, batch, "node long, members binary")
+    return hashed_batches(df, batch, "node long, members binary")
+
+
+def bitmap(h: np.ndarray) -> bytes:
+    on = np.zeros(BITS, bool)
+    on[(h >> np.uint64(20)) % np.uint64(BITS)] = True
+    return np.packbits(on).tobytes()
+
+
+def profiles(sets: DataFrame) -> DataFrame:
+    """``node, n, sketch, bitmap`` of full sets."""
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.frombuffer(m, np.uint64) for m in b.column(1).to_pylist()]
+        columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([registers(s).tobytes() for s in sets]), pa.array([bitmap(s) for s in sets])]
+        return pa.RecordBatch.from_arrays([b.column(0), *columns], ["node", "n", "sketch", "bitmap"])
+
+    return map_batches(sets, batch, "node long, n long, sketch binary, bitmap binary")
+
+
+def possible(n_a: np.ndarray, n_b: np.ndarray, bits_a: np.ndarray, bits_b: np.ndarray, percent: int) -> np.ndarray:
+    """False only for pairs that can't reach the threshold: a bit that one bitmap has alone is a member it has alone."""
+    alone = lambda x, y: np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
+    most = np.minimum(n_a - alone(bits_a, bits_b), n_b - alone(bits_b, bits_a))
+    return 100 * most >= percent * (n_a + n_b - most)
+
+
+class Profiles:
+    """Columns of profiles of some nodes, and tests on pairs of them."""
+
+    def __init__(self, n: pa.Array, sketch: pa.Array, bits: pa.Array):
+        self.n = n.to_numpy(zero_copy_only=False)
+        self.sketch = np.frombuffer(b"".join(sketch.to_pylist()), "<u2").reshape(-1, REGISTERS)
+        self.bits = np.frombuffer(b"".join(bits.to_pylist()), "<u8").reshape(-1, BITS // 64)
+
+    def near(self, a: np.ndarray, other: Profiles, b: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the pairs (own row a, other's row b) may reach the threshold."""
+        out = np.zeros(len(a), bool)
+        for s in range(0, len(a), PAIRS):
+            x, y = a[s : s + PAIRS], b[s : s + PAIRS]
+            ok = possible(self.n[x], other.n[y], self.bits[x], other.bits[y], percent)
+            x, y = x[ok], y[ok]
+            if len(x):
+                alike = likely_similarity(self.sketch[x], other.sketch[y], self.n[x].astype(float), other.n[y].astype(float))
+                out[s + np.flatnonzero(ok)] = alike >= percent / 100 - SLACK
+        return out
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
@@ -127,23 +175,73 @@ def buckets(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sketch").mapInArrow(run, "key long, node long")
 
 
-def plausible(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose estimated similarity is not clearly below the threshold."""
-    of = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
+def plausible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may reach the threshold by their profiles."""
+    of = lambda side: known.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "sketch", "bitmap")])
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        keep = np.zeros(b.num_rows, dtype=bool)
-        for s in range(0, b.num_rows, 1024):
-            part = b.slice(s, 1024)
-            a, c = (np.frombuffer(b"".join(part.column(i).to_pylist()), "<u2").reshape(-1, REGISTERS) for i in (4, 5))
-            n_a, n_c = (part.column(i).to_numpy().astype(float) for i in (2, 3))
-            keep[s : s + 1024] = likely_similarity(a, c, n_a, n_c) >= threshold - SLACK
-        return b.select(["a", "b"]).filter(pa.array(keep))
-
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+        left, right = (Profiles(*b.columns[i : i + 3]) for i in (2, 5))
+        every = np.arange(b.num_rows)
+        return b.select(["a", "b"]).filter(pa.array(left.near(every, right, every, percent)))
+
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "sketch_a", "bitmap_a", "n_b", "sketch_b", "bitmap_b")
     return map_batches(both, batch, "a long, b long")
 
 
+def across_components(named: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels that share a bucket and may reach the threshold, from rows (key, node, label).
+
+    In each bucket the nodes outside its largest component are compared with all others. A bucket is cut into blocks of
+    about BLOCK nodes by a hash of the node; the nodes outside the largest component also go to its other blocks.
+    """
+    sizes = named.groupBy("key", "label").agg(F.count("*").alias("c"))
+    sizes = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("parts"))
+    mixed = settle(sizes.filter("parts > 1").select("key", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+    rows = named.join(mixed, "key").withColumn("asks", F.col("label") != F.col("main"))
+    home = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    guests = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != home)
+    at = F.concat(F.array(F.struct(home.alias("block"), F.lit(True).alias("lives"))), F.when(F.col("asks"), F.transform(guests, lambda k: F.struct(k.alias("block"), F.lit(False).alias("lives")))).otherwise(F.array()))
+    dealt = rows.withColumn("at", F.explode(at)).select("key", "at.block", "node", "label", "asks", "at.lives")
+    full = dealt.join(known, "node").select("key", "block", "node", "label", "asks", "lives", "n", "sketch", "bitmap")
+
+    def compare(block: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(block)
+        node, label, asks, lives = (t.column(i).to_numpy() for i in range(2, 6))
+        own = Profiles(*(t.column(i).combine_chunks() for i in range(6, 9)))
+        data, found = np.flatnonzero(lives), []
+        keys = np.array([band_keys(x) for x in own.sketch])
+        for q in np.flatnonzero(asks):
+            y = data[label[data] != label[q]]
+            x = np.full(len(y), q)
+            # only in the first band that the two share
+            first = (keys[x] == keys[y]).argmax(axis=1)
+            ok = keys[q][first] == t.column(0)[0].as_py()
+            x, y = x[ok], y[ok]
+            near = own.near(x, own, y, percent)
+            found.append(np.column_stack([node[x[near]], node[y[near]]]))
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, block = b.column(0).to_numpy(), b.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1), b.num_rows]
+            for s, e in zip(edges, edges[1:]):
+                this = (key[s], block[s])
+                if held and this != last:
+                    yield compare(held)
+                    held = []
+                held.append(b.slice(s, e - s))
+                last = this
+        if held:
+            yield compare(held)
+
+    return full.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a long, b long").distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with ``100 * intersection >= percent * union`` on the full sets."""
     of = lambda side: sets.select(F.col("node").alias(side), F.col("members").alias(f"m_{side}"))
@@ -169,7 +267,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component of an equal set, if there is one with an id, and are otherwise alone (component null, kept). An empty
     table gives an empty result.
     """
-    threshold = percent / 100
     docs = two_columns(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = settle(sketched(docs, words))
     own = rows.filter("digest is not null").groupBy("digest")
@@ -181,26 +278,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = shared.select(F.col("node").alias("doc_id")).distinct()
     sets = settle(full_sets(docs.join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["node"]))
 
-    stars = shared.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    stars = settle(plausible(stars.distinct(), placed.dropDuplicates(["node"]), threshold))
-    links = settle(confirmed(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent))
-    labels = connect(links)
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """The pairs whose nodes are in different components."""
-        of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l_{side}"))
-        named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return named.filter(F.coalesce("l_a", "a") != F.coalesce("l_b", "b")).select("a", "b")
+    known = settle(profiles(sets))
 
-    links = settle(links.unionByName(confirmed(apart(stars), sets, percent)))
+    stars = shared.filter("node != hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("bands"))
+    near = plausible(stars.select("a", "b"), known, percent)
+    stars = settle(near.join(stars, ["a", "b"]))
+    closest = stars.groupBy("b").agg(F.max_by("a", F.struct("bands", "a")).alias("a"))
+    links = settle(confirmed(closest.select("a", "b"), sets, percent))
+    labels = connect(links)
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l_{side}"))
+    apart = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("l_a", "a") != F.coalesce("l_b", "b")).select("a", "b")
+    links = settle(links.unionByName(confirmed(apart, sets, percent)))
     labels = connect(links)
-    named = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
-    several = settle(named.join(settle(mixed), "key"))
-    left, right = several.select("key", F.col("node").alias("a"), F.col("label").alias("l_a")), several.select("key", F.col("node").alias("b"), F.col("label").alias("l_b"))
-    across = left.join(right, "key").filter("l_a < l_b").select("a", "b").distinct()
-    more = confirmed(plausible(across, placed.dropDuplicates(["node"]), threshold), sets, percent)
-    labels = connect(settle(links.unionByName(more)))
+    named = settle(shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+    labels = connect(settle(links.unionByName(confirmed(across_components(named, known, percent), sets, percent))))
 
     found = nodes.join(labels, "node", "left").select(F.col("digest").alias("of"), F.coalesce("label", "node").alias("component"))
     return (

@@ -136,3 +136,32 @@ def test_short_texts_are_one_shingle():
     one, pair = shingles([b"a"], 5, hashes), shingles([b"a", b"b"], 5, hashes)
     assert len(one) == len(pair) == 1 and one[0] != pair[0] and len(shingles([], 5, hashes)) == 0
     assert neardup.shingles([b"a", b"b", b"a", b"b"], 2, hashes).size == 2
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    """Texts that are nearly but not all linked with each other, with buckets cut into small blocks."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(2000)]
+    base = rng.choices(vocabulary, k=100)
+    rows = []
+    for i in range(120):
+        words = base.copy()
+        for at in rng.sample(range(100), rng.randint(4, 8)):
+            words[at] = rng.choice(vocabulary)
+        rows.append((i, " ".join(words)))
+    want = brute(rows, 2)
+    assert len({r[2] for r in want}) > 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for block in (2048, 16):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        assert sorted(tuple(r) for r in near_duplicates(df, words=2).collect()) == want
+
+
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(6)
+    for n in (5, 50, 500, 5000):
+        x = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+        a, b = x[: 9 * n // 5], x[n // 5 :]  # 8/5 of 2
+        bits = [np.frombuffer(neardup.bitmap(s), "<u8")[None] for s in (a, b)]
+        size = [np.array([len(s)]) for s in (a, b)]
+        assert neardup.possible(*size, *bits, percent=80)[0]
