@@ -12,9 +12,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from driftloom.llm.text import column, map_batches, mix, two_columns
 
@@ -24,6 +26,8 @@ TUPLE = 2
 ENTRIES = 32
 #: k-mers looked at in one step; bounds a task's memory for very long texts.
 STRETCH = 1 << 13
+#: Stands for null below all ids.
+NO_ID = -(1 << 63)
 
 _ODD = (mix(np.arange(ENTRIES, dtype=np.uint64), 11) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADD = (mix(np.arange(ENTRIES, dtype=np.uint64), 12) >> np.uint64(32)).astype(np.uint32)
@@ -134,35 +138,29 @@ def with_successors(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = df.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
-    cuts = sorted(set(cuts), reverse=True)
-    low = len(cuts)  # the bucket of the smallest ids and of null
-    borders = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<long>")
-    bucket = F.when(F.col("doc_id").isNull(), low).otherwise(_rank_in(borders, F.col("doc_id"), low))
-    placed = df.select("doc_id", "text", bucket.alias("bucket"))
-    tops = {r[0]: r[1] for r in placed.groupBy("bucket").agg(F.max("doc_id")).collect()}  # a row per bucket
-    order = sorted(tops)
+    cuts = np.unique(np.array(cuts, dtype=np.int64))
+
+    @pandas_udf("int")
+    def bucket(ids: pd.Series) -> pd.Series:
+        """0 for the largest ids; the last one also takes null."""
+        return pd.Series(len(cuts) - np.searchsorted(cuts, ids.to_numpy(), side="left"))
+
+    below = F.coalesce("doc_id", F.lit(NO_ID))
+    placed = df.select("doc_id", "text", bucket(below).alias("bucket"))
+    tops = placed.groupBy("bucket").agg(F.max("doc_id")).orderBy("bucket").collect()  # a row per bucket
     # the first rows of a bucket also go to the bucket before it, those of the first one to the last
-    to, top = [None] * (low + 1), [None] * (low + 1)
-    for k, b in enumerate(order):
-        to[b], top[b] = order[k - 1], tops[b]
-    to = F.array(*[F.lit(x).cast("int") for x in to])
-    top = F.array(*[F.lit(x).cast("long") for x in top])
-    is_first = F.col("doc_id").eqNullSafe(F.get(top, F.col("bucket")))
-    here = F.struct(F.col("bucket"), F.lit(0).alias("tail"))
-    there = F.struct(F.get(to, F.col("bucket")).alias("bucket"), F.lit(1).alias("tail"))
-    spread = placed.withColumn("at", F.explode(F.when(is_first, F.array(here, there)).otherwise(F.array(here)))).select("doc_id", "text", "at.bucket", "at.tail")
-    return spread.repartition(n // 4, "bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
+    before = {NO_ID if r[1] is None else r[1]: tops[k - 1][0] for k, r in enumerate(tops)}
 
+    @pandas_udf("int")
+    def guest_of(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda i: before.get(i, -1)).astype("int32")
 
-def _rank_in(borders: Column, value: Column, n: int) -> Column:
-    """Number of borders (descending) above ``value``, by bisection."""
-    lo = F.lit(0)
-    step = 1 << max(n.bit_length() - 1, 0)
-    while step and n:
-        nxt = lo + F.lit(step)
-        lo = F.when((nxt <= n) & (F.get(borders, nxt - 1) > value), nxt).otherwise(lo)
-        step //= 2
-    return lo.cast("int")
+    guest = guest_of(below)
+    here = F.struct("bucket", F.lit(0).alias("tail"))
+    there = F.struct(F.col("guest").alias("bucket"), F.lit(1).alias("tail"))
+    both = F.when(F.col("guest") >= 0, F.array(here, there)).otherwise(F.array(here))
+    spread = placed.withColumn("guest", guest).withColumn("at", F.explode(both)).select("doc_id", "text", "at.bucket", "at.tail")
+    return spread.repartition(n // 4, "bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
 
 
 def edit_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
