@@ -13,47 +13,47 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from driftloom.llm.repeats import NO_ID, PIECE, covered, keyed, piece_batch, repeated_spans, with_spans
-from driftloom.llm.text import WordHashes, map_batches, mix, utf8
+from driftloom.llm.repeats import NO_ID, PIECE, covered, cut_pieces, keyed, piece_batch, repeated_spans, with_spans
+from driftloom.llm.text import WordHashes, map_batches, mix, slices, utf8
 
 WINDOW = 20
 K = 4
 #: Windows per cut where a minimiser has very many surroundings.
 CUT = 4
-_FACTOR = 0xD6E8FEB86659FD93
-
-
-def pieces_of(w: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, ...]:
-    """(minimiser, digest, start, windows, place of the minimiser in the piece) of each super-k-mer of word hashes."""
-    n = len(w) - window + 1
-    if n <= 0:
-        return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
-    h = mix(w[: len(w) - k + 1], 31)
-    for j in range(1, k):
-        h = mix(h ^ w[j : len(w) - k + 1 + j], 31 + j)
-    place = np.lib.stride_tricks.sliding_window_view(h, window - k + 1).argmin(axis=1) + np.arange(n)
-    start = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
-    windows = np.diff(np.append(start, n))
-    at = place[start]
-    length = windows + window - 1
-    digest = np.zeros(len(start), np.uint64)
-    for j in range(int(length.max())):  # at most 2 * window steps, each over all pieces that are that long
-        on = length > j
-        digest[on] = digest[on] * np.uint64(_FACTOR) + mix(w[start[on] + j], 41)
-    return h[at], mix(digest, 42), start, windows, at - start
+#: Words cut into pieces at once.
+STRETCH = 1 << 16
+
+
+def pieces_of(w: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(minimiser, digest, text, start, windows, place of the minimiser in the piece) of the super-k-mers of texts that lie
+    one behind the other, given as word hashes."""
+    n = max(len(w) - K + 1, 0)
+    h = mix(w[:n], 31)
+    for j in range(1, K):
+        h = mix(h ^ w[j : n + j], 31 + j)
+    return cut_pieces(h, mix(w, 41), length, WINDOW, K)
 
 
 def word_pieces(docs: DataFrame) -> DataFrame:
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, out, ids = WordHashes(), [], []
-        for doc, text in zip(b.column(0).to_pylist(), utf8(b.column(1))):
-            found = pieces_of(hashes.of(text.split()))
-            out.append(found)
-            ids.append(np.full(len(found[0]), doc, np.int64))
-        key, digest, start, windows, at = (np.concatenate(c) for c in zip(*out))
-        return piece_batch([key, digest, np.concatenate(ids), start, windows, at])
-
-    return map_batches(docs, batch, PIECE)
+    def cut(held: list[tuple[int, list[bytes]]], hashes: WordHashes) -> pa.RecordBatch:
+        length = np.array([len(words) for _, words in held])
+        w = hashes.of([word for _, words in held for word in words])
+        key, digest, text, start, windows, at = pieces_of(w, length)
+        return piece_batch([key, digest, np.array([doc for doc, _ in held], dtype=np.int64)[text], start, windows, at])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size = WordHashes(), [], 0
+        for b in slices(batches):
+            for doc, text in zip(b.column(0).to_pylist(), utf8(b.column(1))):
+                held.append((doc, text.split()))
+                size += len(held[-1][1])
+                if size >= STRETCH:
+                    yield cut(held, hashes)
+                    held, size = [], 0
+        if held:
+            yield cut(held, hashes)
+
+    return docs.mapInArrow(run, PIECE)
 
 
 def packed(text: bytes, asked: list[tuple[int, int]]) -> list[bytes]:

@@ -66,11 +66,13 @@ def test_edges(spark):
 
 def test_pieces_cover_every_window_once():
     rng = random.Random(2)
-    for n in (0, 19, 20, 21, 400):
-        w = WordHashes().of([rng.choice([b"a", b"b", b"c"]) for _ in range(n)])
-        key, digest, start, windows, at = pieces_of(w)
-        assert [j for s, c in zip(start, windows) for j in range(s, s + c)] == list(range(max(n - WINDOW + 1, 0)))
-        assert ((at >= windows - 1) & (at <= WINDOW - 4)).all() and len(key) == len(digest)
+    length = np.array([0, 19, 20, 21, 3, 400, 0])
+    w = WordHashes().of([rng.choice([b"a", b"b", b"c"]) for _ in range(length.sum())])
+    key, digest, text, start, windows, at = pieces_of(w, length)
+    seen = [(t, j) for t, s, c in zip(text, start, windows) for j in range(s, s + c)]
+    assert seen == [(t, j) for t, n in enumerate(length) for j in range(max(n - WINDOW + 1, 0))]
+    assert ((at >= windows - 1) & (at <= WINDOW - 4)).all() and len(key) == len(digest)
     w = np.arange(100, dtype=np.uint64)
-    one, two = pieces_of(w), pieces_of(np.concatenate([w[50:], w]))
+    one, two = pieces_of(w, np.array([100])), pieces_of(np.concatenate([w[50:], w]), np.array([150]))
     assert set(zip(one[0][5:-5], one[1][5:-5])) <= set(zip(two[0], two[1]))
+    assert all(len(c) == 0 for c in pieces_of(w[:2], np.array([2])))
