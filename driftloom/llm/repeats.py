@@ -73,8 +73,11 @@ def cut_pieces(kmers: np.ndarray, units: np.ndarray, length: np.ndarray, window:
     minimiser in the piece).
 
     ``kmers`` has a hash for every k-mer (also for those across parts, which no window uses), ``units`` one for every
-    unit, ``length`` the units of each part. Of equal minimisers in a window the first one counts.
+    unit, ``length`` the units of each part. Of equal minimisers in a window the first one counts. More units than a
+    place has bits for raise an error.
     """
+    if len(units) > 1 << PLACE_BITS:
+        raise ValueError(f"{len(units)} units at once, at most {1 << PLACE_BITS}")
     n = len(units) - window + 1
     none = np.zeros(0, np.int64)
     if n <= 0:

@@ -20,7 +20,7 @@ WINDOW = 20
 K = 4
 #: Windows per cut where a minimiser has very many surroundings.
 CUT = 4
-#: Words cut into pieces at once.
+#: Words cut into pieces at once; a longer text is cut with an overlap of a window.
 STRETCH = 1 << 16
 
 
@@ -35,21 +35,24 @@ def pieces_of(w: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def word_pieces(docs: DataFrame) -> DataFrame:
-    def cut(held: list[tuple[int, list[bytes]]], hashes: WordHashes) -> pa.RecordBatch:
-        length = np.array([len(words) for _, words in held])
-        w = hashes.of([word for _, words in held for word in words])
-        key, digest, text, start, windows, at = pieces_of(w, length)
-        return piece_batch([key, digest, np.array([doc for doc, _ in held], dtype=np.int64)[text], start, windows, at])
+    def cut(held: list[tuple[int, int, list[bytes]]], hashes: WordHashes) -> pa.RecordBatch:
+        length = np.array([len(words) for *_, words in held])
+        w = hashes.of([word for *_, words in held for word in words])
+        key, digest, part, start, windows, at = pieces_of(w, length)
+        doc, offset = (np.array(c, dtype=np.int64) for c in zip(*[(doc, offset) for doc, offset, _ in held]))
+        return piece_batch([key, digest, doc[part], start + offset[part], windows, at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = WordHashes(), [], 0
         for b in slices(batches):
             for doc, text in zip(b.column(0).to_pylist(), utf8(b.column(1))):
-                held.append((doc, text.split()))
-                size += len(held[-1][1])
-                if size >= STRETCH:
-                    yield cut(held, hashes)
-                    held, size = [], 0
+                words = text.split()
+                for at in range(0, len(words) - WINDOW + 1, STRETCH):
+                    held.append((doc, at, words[at : at + STRETCH + WINDOW - 1]))
+                    size += len(held[-1][2])
+                    if size >= STRETCH:
+                        yield cut(held, hashes)
+                        held, size = [], 0
         if held:
             yield cut(held, hashes)
 

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from driftloom.llm import repeats
+from driftloom.llm import repeats, superkmer
 from driftloom.llm.queries import QUERIES
 from driftloom.llm.superkmer import WINDOW, pieces_of, remove_repeats
 from driftloom.llm.text import WordHashes
@@ -76,3 +76,17 @@ def test_pieces_cover_every_window_once():
     one, two = pieces_of(w, np.array([100])), pieces_of(np.concatenate([w[50:], w]), np.array([150]))
     assert set(zip(one[0][5:-5], one[1][5:-5])) <= set(zip(two[0], two[1]))
     assert all(len(c) == 0 for c in pieces_of(w[:2], np.array([2])))
+
+
+def test_texts_longer_than_a_stretch_are_cut(spark, monkeypatch):
+    """Places have 8 bits here: a text of 3,000 words fits only in stretches."""
+    monkeypatch.setattr(repeats, "PLACE_BITS", 8)
+    monkeypatch.setattr(superkmer, "STRETCH", 64)
+    rng = random.Random(9)
+    words = [str(rng.randrange(10_000)) for _ in range(3_000)]
+    words[2_500:2_600] = words[40:140]
+    rows = [(1, " ".join(words)), (2, " ".join(["a", *words[1_000:1_300], "b"])), (3, " ".join(words[1_290:1_310])), (4, "x y " * 200), (5, "short")]
+    out = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).drop("kept_text").collect()
+    assert sorted(tuple(r) for r in out) == brute(rows)
+    with pytest.raises(ValueError, match="units at once"):
+        pieces_of(np.arange(257, dtype=np.uint64), np.array([257]))
