@@ -188,21 +188,47 @@ def plausible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return map_batches(both, batch, "a long, b long")
 
 
-def across_components(named: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different labels that share a bucket and may reach the threshold, from rows (key, node, label).
-
-    In each bucket the nodes outside its largest component are compared with all others. A bucket is cut into blocks of
-    about BLOCK nodes by a hash of the node; the nodes outside the largest component also go to its other blocks.
+def in_groups(named: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """``key, part, node, asks, lives, label, n, sketch, bitmap``: the rows (key, node, label) of buckets of several labels,
+    dealt so that any two nodes of different labels that may be linked meet in a group (key, part), one that asks and one
+    that lives there.
+
+    The nodes outside a bucket's largest component ask. A bucket of up to BLOCK nodes is one group. The nodes of a larger
+    one are cut into cells of about BLOCK by whether they ask, by set size and by a hash, and every two cells whose sizes
+    allow a link and of which one asks are a group. So a group holds about two cells, whatever the bucket holds.
     """
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("c"))
     sizes = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("parts"))
-    mixed = settle(sizes.filter("parts > 1").select("key", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    rows = named.join(mixed, "key").withColumn("asks", F.col("label") != F.col("main"))
-    home = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    guests = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != home)
-    at = F.concat(F.array(F.struct(home.alias("block"), F.lit(True).alias("lives"))), F.when(F.col("asks"), F.transform(guests, lambda k: F.struct(k.alias("block"), F.lit(False).alias("lives")))).otherwise(F.array()))
-    dealt = rows.withColumn("at", F.explode(at)).select("key", "at.block", "node", "label", "asks", "at.lives")
-    full = dealt.join(known, "node").select("key", "block", "node", "label", "asks", "lives", "n", "sketch", "bitmap")
+    mixed = settle(sizes.filter("parts > 1").select("key", "main", (F.col("m") > BLOCK).alias("large")))
+    rows = settle(named.join(mixed, "key").select("key", "node", "label", "large", (F.col("label") != F.col("main")).alias("asks")))
+    columns = ["key", "part", "node", "label", "asks", "lives"]
+    small = rows.filter("not large").withColumns({"part": F.lit(""), "lives": F.lit(True)}).select(columns)
+    # linked sets differ by a factor of 100 / percent at most, which is one step of this size (with room for rounding)
+    step = max(float(np.log(100 / percent)), 1e-6) * (1 + 1e-6)
+    sized = rows.filter("large").join(known.select("node", "n"), "node").withColumn("size", F.floor(F.log("n") / step))
+    cells = settle(sized.groupBy("key", "asks", "size").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts")))
+    of = lambda side: cells.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("asks", "size", "cuts")])
+    allowed = F.col("asks_a") & (F.abs(F.col("size_a") - F.col("size_b")) <= 1) & (~F.col("asks_b") | (F.col("size_a") <= F.col("size_b")))
+    meet = settle(of("a").join(of("b"), "key").filter(allowed).withColumn("same", F.col("asks_b") & (F.col("size_a") == F.col("size_b"))))
+    own = lambda cuts: F.pmod(F.xxhash64("node"), F.col(cuts)).cast("int")
+    all_of = lambda cuts: F.sequence(F.lit(0), F.col(cuts) - 1)
+    part = F.concat_ws(":", "size_a", "cut_a", "asks_b", "size_b", "cut_b")
+
+    def side(name: str, own_cut: str, other: str, other_cut: str) -> DataFrame:
+        met = sized.join(meet.withColumnRenamed("key", "in"), (F.col("key") == F.col("in")) & (F.col("asks") == F.col(f"asks_{name}")) & (F.col("size") == F.col(f"size_{name}")))
+        return met.withColumn(own_cut, own(f"cuts_{name}")).withColumn(other_cut, F.explode(all_of(f"cuts_{other}")))
+
+    # two cells of one kind meet once; a cell that meets itself has rows that ask and live
+    left = side("a", "cut_a", "b", "cut_b").filter("not same or cut_a <= cut_b")
+    left = left.select("key", part.alias("part"), "node", "label", F.lit(True).alias("asks"), F.expr("same and cut_a = cut_b").alias("lives"))
+    right = side("b", "cut_b", "a", "cut_a").filter("not same or cut_a < cut_b")
+    right = right.select("key", part.alias("part"), "node", "label", F.lit(False).alias("asks"), F.lit(True).alias("lives"))
+    dealt = small.unionByName(left).unionByName(right)
+    return dealt.join(known, "node").select(*columns, "n", "sketch", "bitmap")
+
+
+def across_components(named: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels that share a bucket and may reach the threshold, from rows (key, node, label)."""
 
     def compare(block: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(block)
@@ -227,10 +253,10 @@ def across_components(named: DataFrame, known: DataFrame, percent: int) -> DataF
         for b in batches:
             if not b.num_rows:
                 continue
-            key, block = b.column(0).to_numpy(), b.column(1).to_numpy()
-            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1), b.num_rows]
+            key, part = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1), b.num_rows]
             for s, e in zip(edges, edges[1:]):
-                this = (key[s], block[s])
+                this = (key[s], part[s])
                 if held and this != last:
                     yield compare(held)
                     held = []
@@ -239,7 +265,8 @@ def across_components(named: DataFrame, known: DataFrame, percent: int) -> DataF
         if held:
             yield compare(held)
 
-    return full.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a long, b long").distinct()
+    dealt = in_groups(named, known, percent).repartition("key", "part").sortWithinPartitions("key", "part")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

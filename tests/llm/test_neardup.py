@@ -2,7 +2,7 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -165,3 +165,20 @@ def test_bitmaps_never_rule_out_a_link():
         bits = [np.frombuffer(neardup.bitmap(s), "<u8")[None] for s in (a, b)]
         size = [np.array([len(s)]) for s in (a, b)]
         assert neardup.possible(*size, *bits, percent=80)[0]
+
+
+def test_groups_are_bounded_where_all_nodes_ask(spark, monkeypatch):
+    """One bucket of 300 unlinked nodes: no group holds more than about two cells, and all pairs that may be linked meet."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    size = {i: 80 if i % 3 else 100 if i % 2 else 300 for i in range(300)}
+    named = spark.createDataFrame([(5, i, i if i < 290 else 290) for i in range(300)], "key long, node long, label long")
+    known = spark.createDataFrame([(i, n, b"", b"") for i, n in size.items()], "node long, n long, sketch binary, bitmap binary")
+    groups = defaultdict(list)
+    for r in neardup.in_groups(named, known, 80).collect():
+        groups[r.key, r.part].append(r)
+    assert max(map(len, groups.values())) <= 64
+    met = Counter(tuple(sorted((q.node, r.node))) for g in groups.values() for q in g if q.asks for r in g if r.lives and q.label != r.label)
+    label = lambda i: min(i, 290)
+    pairs = {(a, b) for a in size for b in size if a < b and label(a) != label(b)}
+    assert {(a, b) for a, b in pairs if 80 * max(size[a], size[b]) <= 100 * min(size[a], size[b])} <= set(met) <= pairs
+    assert not any({size[a], size[b]} == {80, 300} for a, b in met)
