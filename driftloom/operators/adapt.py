@@ -24,6 +24,10 @@ from driftloom.operators.sequence import adwin_resume, keyed_fold
 from driftloom.session import settle
 
 
+#: Spark's largest depth of a tree.
+DEEPEST = 30
+
+
 def linear_fit(df: DataFrame, cols: Sequence[str] | None = None) -> tuple[object, dict[str, float]]:
     """Linear regression of the last numeric column on the others; (model, RMSE and R2)."""
     cols = list(cols or numeric_columns(df, ()))
@@ -38,9 +42,12 @@ def forest_input(df: DataFrame, arr: str = ARR, label: str = "label") -> DataFra
     return df.withColumns({"_v": array_to_vector(q(arr).cast("array<double>")), "_y": q(label).cast("double")})
 
 
-def fit_forest(df: DataFrame, trees: int = 50, depth: int = 5, arr: str = ARR, label: str = "label", seed: int = 42) -> RandomForestClassificationModel:
-    forest = RandomForestClassifier(featuresCol="_v", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed)
-    return forest.fit(forest_input(df, arr, label))
+def forest(trees: int, depth: int, seed: int) -> RandomForestClassifier:
+    return RandomForestClassifier(featuresCol="_v", labelCol="_y", numTrees=trees, maxDepth=depth, minInstancesPerNode=1, seed=seed)
+
+
+def fit_forest(df: DataFrame, trees: int = 50, depth: int = DEEPEST, arr: str = ARR, label: str = "label", seed: int = 42) -> RandomForestClassificationModel:
+    return forest(trees, depth, seed).fit(forest_input(df, arr, label))
 
 
 def predict(model: RandomForestClassificationModel, df: DataFrame, arr: str = ARR, label: str = "label") -> DataFrame:
@@ -48,13 +55,14 @@ def predict(model: RandomForestClassificationModel, df: DataFrame, arr: str = AR
     return out.withColumn("pred", F.col("prediction").cast("int")).drop("_v", "_y", "rawPrediction", "probability", "prediction")
 
 
-def cross_validate(df: DataFrame, ids: Sequence[str], folds: int = 5, trees: int = 50, arr: str = ARR, label: str = "label", seed: int = 42) -> float:
+def cross_validate(
+    df: DataFrame, ids: Sequence[str], folds: int = 5, trees: int = 50, arr: str = ARR, label: str = "label", seed: int = 42, depth: int = DEEPEST
+) -> float:
     """Mean accuracy over stratified folds."""
     data = forest_input(stratified_folds(df, ids, label, folds, seed), arr, label)
-    forest = RandomForestClassifier(featuresCol="_v", labelCol="_y", numTrees=trees, seed=seed)
     evaluator = MulticlassClassificationEvaluator(labelCol="_y", metricName="accuracy")
     cv = CrossValidator(
-        estimator=forest, estimatorParamMaps=ParamGridBuilder().build(), evaluator=evaluator, numFolds=folds, foldCol="fold"
+        estimator=forest(trees, depth, seed), estimatorParamMaps=ParamGridBuilder().build(), evaluator=evaluator, numFolds=folds, foldCol="fold"
     )
     return float(cv.fit(data).avgMetrics[0])
 
@@ -73,7 +81,9 @@ def batch_drift(pred: DataFrame, order: Sequence[str], window: Sequence[tuple] =
     return adwin_resume(errors, order, "_err", window)
 
 
-def strategies(df: DataFrame, order: Sequence[str], trees: int = 50, batch: str = "batch", arr: str = ARR, label: str = "label") -> DataFrame:
+def strategies(
+    df: DataFrame, order: Sequence[str], trees: int = 50, batch: str = "batch", arr: str = ARR, label: str = "label", depth: int = DEEPEST
+) -> DataFrame:
     """Test-then-train over ordered batches: static, cumulative, window, drift-triggered.
 
     Every strategy is tested on a batch before it may learn from it; the first batch, which
@@ -81,7 +91,7 @@ def strategies(df: DataFrame, order: Sequence[str], trees: int = 50, batch: str
     jobs; the driver only walks the list of batch numbers.
     """
     numbers = [r[0] for r in df.select(q(batch)).distinct().orderBy(batch).collect()]
-    first = fit_forest(df.where(q(batch) == numbers[0]), trees, arr=arr, label=label)
+    first = fit_forest(df.where(q(batch) == numbers[0]), trees, depth, arr, label)
     models = {name: first for name in ("static", "cumulative", "window", "drift")}
     rows, window = [], []
     for b in numbers:
@@ -99,9 +109,9 @@ def strategies(df: DataFrame, order: Sequence[str], trees: int = 50, batch: str
         if b == numbers[-1]:
             break
         if b != numbers[0]:
-            fresh = fit_forest(cur, trees, arr=arr, label=label)
+            fresh = fit_forest(cur, trees, depth, arr, label)
             models["window"] = fresh
-            models["cumulative"] = fit_forest(df.where(q(batch) <= b), trees, arr=arr, label=label)
+            models["cumulative"] = fit_forest(df.where(q(batch) <= b), trees, depth, arr, label)
             if drifted:
                 models["drift"] = fresh
     return df.sparkSession.createDataFrame(rows, "batch int, strategy string, accuracy double, drift int, in_sample boolean")

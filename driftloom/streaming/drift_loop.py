@@ -7,14 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.operators.adapt import batch_drift, fit_forest, predict
+from driftloom.operators.adapt import DEEPEST, batch_drift, fit_forest, predict
 from driftloom.operators.metrics import accuracy, macro_scores
 from driftloom.session import settle, work_path
 from driftloom.sinks.runs import METRIC_SCHEMA, append_gauges
 from driftloom.streaming.pipelines import for_each_batch
 
 
-def drift_loop(stream: DataFrame, order: Sequence[str], trees: int = 50, batch: str = "batch", arr: str = "features", label: str = "label") -> DataFrame:
+def drift_loop(
+    stream: DataFrame, order: Sequence[str], trees: int = 50, batch: str = "batch", arr: str = "features", label: str = "label", depth: int = DEEPEST
+) -> DataFrame:
     """Gauges (name, batch, value) of a replayed stream whose micro-batches are its batches.
 
     The first batch trains the model; each later one is predicted first, and replaces the
@@ -31,7 +33,7 @@ def drift_loop(stream: DataFrame, order: Sequence[str], trees: int = 50, batch:
             return
         gauges = {"current_batch": head["b"], "batch_samples": head["n"], "drift_detected": 0, "retrain_performed": 0}
         if "model" not in held:
-            held["model"] = fit_forest(cur, trees, arr=arr, label=label)
+            held["model"] = fit_forest(cur, trees, depth, arr, label)
         else:
             pred = settle(predict(held["model"], cur, arr, label))
             acc = accuracy(pred, label=label).first()
@@ -44,7 +46,7 @@ def drift_loop(stream: DataFrame, order: Sequence[str], trees: int = 50, batch:
                 "drift_detected": int(drifted), "retrain_performed": int(drifted),
             }
             if drifted:
-                held["model"] = fit_forest(cur, trees, arr=arr, label=label)
+                held["model"] = fit_forest(cur, trees, depth, arr, label)
         # The micro-batch owns its folder, so a repeated one overwrites its own gauges only.
         append_gauges(spark, f"{path}/part={number}", int(head["b"]), gauges, "overwrite")
 

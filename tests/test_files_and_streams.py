@@ -168,3 +168,13 @@ def test_linear_forest_and_importance(spark, folder):
     top = adapt.importance_change(spark, model, type(model).load(folder)).collect()
     assert top[0]["feature"] == 0 and top[0]["change"] == 0
     assert adapt.cross_validate(df, ["id"], folds=3, trees=5) > 0.9
+
+
+def test_trees_grow_past_five_levels(spark):
+    """Stripes of two classes along one feature need more than 32 leaves."""
+    df = spark.createDataFrame([(i, [float(i // 4)], i // 4 % 2) for i in range(80)], "id long, features array<double>, label int")
+    model = adapt.fit_forest(df, 5)
+    assert model.getMaxDepth() == 30 and max(t.depth for t in model.trees) > 5
+    wide = spark.createDataFrame([(i, [float(i % 100)], i % 100 % 2) for i in range(2000)], "id long, features array<double>, label int")
+    deep, cut = (adapt.cross_validate(wide, ["id"], folds=2, trees=5, depth=d) for d in (30, 5))
+    assert adapt.cross_validate(wide, ["id"], folds=2, trees=5) == deep and deep > cut
