@@ -15,6 +15,7 @@ large group of copies costs as much as its size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from driftloom.session import settle
 #: Registers of a sketch; base, rate and largest value of a register.
 REGISTERS = 256
 STEP, RATE, TOP = 1.001, 20.0, 65535
-#: Registers per band, and bands; a band takes registers from all over the sketch, so bands overlap.
-BAND, BANDS = 7, 64
+#: Registers per band, and bands; a band takes registers from all over the sketch, so bands overlap (see ``missed``).
+BAND, BANDS = 7, 100
 #: Candidates whose estimated similarity is this far below the threshold are not verified: five standard errors.
 SLACK = 0.13
 #: Bits of a set's bitmap, which bounds an intersection from above.
@@ -77,6 +78,14 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def missed(similarity: float) -> float:
+    """The chance that two sets share no band: with e equal registers a band is shared with C(e, BAND) / C(REGISTERS, BAND).
+    Bands use the same registers, so they aren't independent; given e they are, for bands drawn at random."""
+    whole = comb(REGISTERS, BAND)
+    equal = [comb(REGISTERS, e) * similarity**e * (1 - similarity) ** (REGISTERS - e) for e in range(REGISTERS + 1)]
+    return sum(p * (1 - comb(e, BAND) / whole) ** BANDS for e, p in enumerate(equal))
+
+
 def likely_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Maximum-likelihood similarity of pairs of sketches (pairs x registers) from sets of known sizes."""
     larger, smaller = (a > b).sum(axis=1), (a < b).sum(axis=1)

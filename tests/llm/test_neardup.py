@@ -182,3 +182,12 @@ def test_groups_are_bounded_where_all_nodes_ask(spark, monkeypatch):
     pairs = {(a, b) for a in size for b in size if a < b and label(a) != label(b)}
     assert {(a, b) for a, b in pairs if 80 * max(size[a], size[b]) <= 100 * min(size[a], size[b])} <= set(met) <= pairs
     assert not any({size[a], size[b]} == {80, 300} for a, b in met)
+
+
+def test_true_miss_rate_at_the_threshold():
+    """Three in ten million, counted with the registers that bands share; a smaller case agrees with the picks."""
+    assert neardup.missed(0.8) < 3e-7
+    rng = np.random.default_rng(8)
+    equal = rng.random((20_000, neardup.REGISTERS)) < 0.5
+    share = np.mean([not e[neardup._PICK].all(axis=1).any() for e in equal])
+    assert abs(share - neardup.missed(0.5)) < 0.05
