@@ -9,7 +9,8 @@ from driftloom.functions.columns import flatten_window
 from driftloom.operators import sequence, threshold
 from driftloom.operators.metrics import mean_history
 from driftloom.operators.moments import as_features, fit_members, score_rows
-from driftloom.operators.sampling import with_hash
+from driftloom.operators.sampling import init_sample
+from driftloom.session import settle
 
 ORDER = ["ts", "event_id"]
 WS = 24
@@ -144,15 +145,34 @@ def adapted_threshold(spark, sf):
     return out.select("event_id", r6("threshold"), "pred")
 
 
+#: Rows after which each member of the detector ensemble learns its threshold anew, from 1,000 up to 3,000.
+TRAIN_SIZES = [1000 + 200 * i for i in range(10)]
+
+
+def trials(n: int = 60) -> list[dict]:
+    """Parameter sets that fill the search ranges evenly: a Halton sequence over all five parameters."""
+
+    def part(i: int, base: int) -> float:
+        out, step = 0.0, 1.0
+        while i:
+            step /= base
+            out, i = out + step * (i % base), i // base
+        return out
+
+    return [
+        {
+            "w1": 0.1 + 0.8 * part(i, 2), "window": 200 + 100 * int(9 * part(i, 3)), "every": 20 + 20 * int(10 * part(i, 5)),
+            "p": 10 ** (-4 + 2 * part(i, 7)), "k": 1.0 + 2.0 * part(i, 11),
+        }
+        for i in range(1, n + 1)
+    ]
+
+
 @query("threshold_tuning")
 def threshold_tuning(spark, sf):
     early, late = halves(spark, sf)
     roles = {"e1": F.col("value"), "e2": F.col("k")}
-    grid = [
-        {"w1": w1, "window": 400, "every": 120, "p": 0.0007, "k": k}
-        for w1 in (0.3, 0.8555) for k in (1.0, 1.7872)
-    ]
-    return threshold.tune(late.withColumns(roles), early.withColumns(roles), ORDER, ["event_id"], grid)
+    return threshold.tune(late.withColumns(roles), early.withColumns(roles), ORDER, ["event_id"], trials())
 
 
 @query("adwin_errors")
@@ -169,17 +189,22 @@ def adwin_block_sums(spark, sf):
     return b.select("event_type", "block", "n", F.round("s", 4).alias("s"), F.round("ss", 4).alias("ss"))
 
 
-@query("detector_ensemble")
-def detector_ensemble(spark, sf):
+def ensemble_verdicts(spark, sf, init_size: int = 2000):
+    """Members and reference losses from ``init_size`` normal rows of the early half, verdicts on the late one."""
     early, late = halves(spark, sf)
     cols, ids = ["value", "k"], ["event_id"]
-    members = fit_members(as_features(early, cols), ids, members=10, target=1)
+    init = settle(init_sample(as_features(early, cols), ids, init_size))
+    members = fit_members(init, ids, members=10, target=1)
     names = {f"m{i}": m for i, m in enumerate(members)}
     sizes = [180 + 4 * i for i in range(len(members))]
     scored = score_rows(as_features(late, cols).select("event_id", "ts", "event_type", "features"), names)
-    # Reference losses: a bounded random sample of the early half, scored the same way.
-    sample = with_hash(as_features(early, cols), ids).orderBy("_hash").limit(2000).select("features")
-    losses = score_rows(sample, names).select(*names).collect()
+    # Reference losses: the rows that the members were fitted on, scored the same way.
+    losses = score_rows(init.select("features"), names).select(*names).collect()
     refs = [[r[n] for r in losses] for n in names]
     rows = scored.withColumn("scores", F.array(*names))
-    return sequence.detector_ensemble(rows, "event_type", ORDER, "scores", refs, sizes).drop("ts")
+    return sequence.detector_ensemble(rows, "event_type", ORDER, "scores", refs, sizes, train_sizes=TRAIN_SIZES).drop("ts")
+
+
+@query("detector_ensemble")
+def detector_ensemble(spark, sf):
+    return ensemble_verdicts(spark, sf)

@@ -275,3 +275,16 @@ def test_tuning_reports_both_halves(spark):
     assert len(out) == 4 and sum(r["best"] for r in out) == 1
     best = next(r for r in out if r["best"])
     assert best["f1_calibration"] == max(r["f1_calibration"] for r in out) and best["w1"] == 1.0
+
+
+def test_registered_search_and_ensemble_do_the_whole_job(spark, monkeypatch):
+    from driftloom.catalog import sequences as catalog
+
+    seen = {}
+    monkeypatch.setattr(catalog.threshold, "tune", lambda *args: seen.update(grid=args[-1]))
+    monkeypatch.setattr(catalog.sequence, "detector_ensemble", lambda df, *args, **kw: seen.update(kw, refs=args[3]) or df)
+    catalog.threshold_tuning(spark, "/root/testdata/sf0.001")
+    assert len(seen["grid"]) == 60 and all(len({g[c] for g in seen["grid"]}) >= 9 for c in ("w1", "window", "every", "p", "k"))
+    assert all(0.1 <= g["w1"] <= 0.9 and 200 <= g["window"] <= 1000 and 20 <= g["every"] <= 200 and 1e-4 <= g["p"] <= 1e-2 and 1 <= g["k"] <= 3 for g in seen["grid"])
+    catalog.ensemble_verdicts(spark, "/root/testdata/sf0.001", init_size=50)
+    assert len(seen["train_sizes"]) == 10 and min(seen["train_sizes"]) >= 1000 and [len(r) for r in seen["refs"]] == [50] * 10
