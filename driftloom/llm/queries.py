@@ -8,7 +8,8 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm import mixing
+from driftloom.llm import bisector, mixing
+from driftloom.llm.bisector import clustered
 from driftloom.llm.classlm import score_documents
 from driftloom.llm.fingerprint import edit_likeness
 from driftloom.llm.langid import identify_held_out
@@ -19,7 +20,7 @@ from driftloom.llm.pii import personal_data, span_digest
 from driftloom.llm.quality import quality_verdicts
 from driftloom.llm.rlindex import remove_long_repeats
 from driftloom.llm.superkmer import remove_repeats
-from driftloom.llm.text import documents
+from driftloom.llm.text import documents, embeddings
 from driftloom.session import checkpoint_root, pin_utc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +92,11 @@ def op1_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir))
+
+
+@query
+def op11_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(embeddings(spark, sf_dir))
+
+
+SQL["op11_bisector_clusters"] = bisector.sql()
