@@ -8,9 +8,10 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm import bisector, mixing
+from driftloom.llm import bisector, filteraudit, mixing
 from driftloom.llm.bisector import clustered
 from driftloom.llm.classlm import score_documents
+from driftloom.llm.filteraudit import audit_filters
 from driftloom.llm.fingerprint import edit_likeness
 from driftloom.llm.langid import identify_held_out
 from driftloom.llm.mixing import mix_sources
@@ -100,3 +101,11 @@ def op11_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op11_bisector_clusters"] = bisector.sql()
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+SQL["op12_filter_audit"] = filteraudit.SQL
