@@ -13,6 +13,7 @@ from driftloom.llm.bisector import clustered
 from driftloom.llm.classlm import score_documents
 from driftloom.llm.filteraudit import audit_filters
 from driftloom.llm.fingerprint import edit_likeness
+from driftloom.llm.itq import near_embeddings
 from driftloom.llm.langid import identify_held_out
 from driftloom.llm.mixing import mix_sources
 from driftloom.llm.neardup import near_duplicates
@@ -109,3 +110,8 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op12_filter_audit"] = filteraudit.SQL
+
+
+@query
+def op13_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(embeddings(spark, sf_dir))
