@@ -138,13 +138,6 @@ def rolling_ks(spark, sf):
     return sequence.rolling_ks(e, ORDER, reference_window(spark, sf)).select("row", r6("ks"))
 
 
-@query("adapted_threshold")
-def adapted_threshold(spark, sf):
-    early, late = halves(spark, sf)
-    out, _ = threshold.adapt_on_drift(late, early, ORDER, ["event_id"], p=0.2)
-    return out.select("event_id", r6("threshold"), "pred")
-
-
 #: Rows after which each member of the detector ensemble learns its threshold anew, from 1,000 up to 3,000.
 TRAIN_SIZES = [1000 + 200 * i for i in range(10)]
 
@@ -168,11 +161,50 @@ def trials(n: int = 60) -> list[dict]:
     ]
 
 
-@query("threshold_tuning")
+def adaptive_sql(sets: list[dict], score: str) -> str:
+    """CTEs up to ``pred``: every set's threshold and prediction for each row of the late half; a window is taken row by row."""
+    values = ", ".join(f"({i}, {g['w1']!r}::DOUBLE, {g['window']}, {g['every']}, {g['p']!r}::DOUBLE, {g['k']!r}::DOUBLE)" for i, g in enumerate(sets))
+    return f"""WITH par(trial, w1, win, every, p, k) AS (VALUES {values}), e AS ({EVENTS}),
+  late AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n FROM e WHERE ts >= TIMESTAMP '{EV_CUT}'),
+  early AS (SELECT * FROM e WHERE ts < TIMESTAMP '{EV_CUT}'),
+  base AS (SELECT trial, avg({score}) + any_value(par.k) * stddev_pop({score}) AS start FROM par, early e GROUP BY trial),
+  smp AS (SELECT * FROM early ORDER BY md5('0:' || event_id) LIMIT {threshold.REFERENCE_SAMPLE}), m AS (SELECT count(*) AS m FROM smp),
+  refs AS (SELECT trial, {score} AS r, count(*) AS c FROM par, smp e GROUP BY ALL),
+  cum AS (SELECT trial, r, sum(c) OVER (PARTITION BY trial ORDER BY r) / (SELECT m FROM m) AS share FROM refs),
+  cp AS (SELECT trial, w1, win, t FROM par, (SELECT unnest(range(0, (SELECT count(*) FROM late))) AS t) x WHERE t % every = 0 AND t >= win - 1),
+  v AS (SELECT trial, t, win, {score.replace("par.", "cp.")} AS v FROM cp JOIN late e ON e.i > t - win AND e.i <= t),
+  f AS (SELECT *, cume_dist() OVER w AS f, (rank() OVER w - 1) / win AS g FROM v WINDOW w AS (PARTITION BY trial, t ORDER BY v)),
+  ks AS (SELECT f.trial, t, any_value(win) AS win, avg(v) AS mean, stddev_pop(v) AS std, max(greatest(abs(coalesce(a.share, 0) - f), abs(coalesce(b.share, 0) - g))) AS ks
+    FROM f ASOF LEFT JOIN cum a ON f.trial = a.trial AND f.v >= a.r ASOF LEFT JOIN cum b ON f.trial = b.trial AND f.v > b.r GROUP BY f.trial, t),
+  lam AS (SELECT *, sqrt(m * win::DOUBLE / (m + win)) * ks AS lam FROM ks, m),
+  pv AS (SELECT *, CASE WHEN lam < 0.2 THEN 1 ELSE least(1, greatest(0, 2 * list_sum([(CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * j * j * lam * lam) for j in range(1, 101)]))) END AS pv FROM lam),
+  al AS (SELECT pv.trial, t, mean + par.k * std AS threshold FROM pv JOIN par USING (trial) WHERE pv.pv < par.p),
+  rows AS (SELECT par.trial, e.*, {score} AS s, start FROM par JOIN base USING (trial), late e),
+  pred AS (SELECT rows.*, coalesce(al.threshold, start) AS threshold, (s >= coalesce(al.threshold, start))::INT AS pred
+    FROM rows ASOF LEFT JOIN al ON rows.trial = al.trial AND rows.i > al.t)"""
+
+
+@query("adapted_threshold", adaptive_sql([{"w1": 1.0, "window": 400, "every": 120, "p": 0.2, "k": 1.7872}], "e.value") + """
+  SELECT event_id, round(threshold, 6) AS threshold, pred FROM pred""")
+def adapted_threshold(spark, sf):
+    early, late = halves(spark, sf)
+    out, _ = threshold.adapt_on_drift(late, early, ORDER, ["event_id"], p=0.2)
+    return out.select("event_id", r6("threshold"), "pred")
+
+
+@query("threshold_tuning", adaptive_sql(trials(), "par.w1 * e.value + (1 - par.w1) * e.k") + """,
+  cell AS (SELECT trial, i >= n // 2 AS late, label, pred, count(*) AS c FROM pred GROUP BY ALL),
+  side AS (SELECT trial, late, label AS cls, c AS support, 0 AS chosen, (label = pred)::INT * c AS tp FROM cell UNION ALL
+    SELECT trial, late, pred, 0, c, 0 FROM cell),
+  cls AS (SELECT trial, late, cls, CASE WHEN sum(support) + sum(chosen) > 0 THEN 2.0 * sum(tp) / (sum(support) + sum(chosen)) ELSE 0 END AS f1 FROM side GROUP BY ALL),
+  f1 AS (SELECT trial, avg(f1) FILTER (NOT late) AS a, avg(f1) FILTER (late) AS b FROM cls GROUP BY trial)
+  SELECT trial, w1, win::DOUBLE AS "window", every::DOUBLE AS every, p, k, round(a, 6) AS f1_calibration, round(b, 6) AS f1_evaluation,
+    (row_number() OVER (ORDER BY a DESC, trial) = 1)::INT AS best FROM f1 JOIN par USING (trial)""")
 def threshold_tuning(spark, sf):
     early, late = halves(spark, sf)
     roles = {"e1": F.col("value"), "e2": F.col("k")}
-    return threshold.tune(late.withColumns(roles), early.withColumns(roles), ORDER, ["event_id"], trials())
+    tuned = threshold.tune(late.withColumns(roles), early.withColumns(roles), ORDER, ["event_id"], trials())
+    return tuned.withColumns({c: F.round(c, 6) for c in ("f1_calibration", "f1_evaluation")})
 
 
 @query("adwin_errors")

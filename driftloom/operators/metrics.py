@@ -44,8 +44,12 @@ def accuracy(df: DataFrame, by: Sequence[str] = (), label: str = "label", pred:
 
 def per_class(df: DataFrame, by: Sequence[str] = (), label: str = "label", pred: str = "pred") -> DataFrame:
     """Precision, recall, F1 and support of every true or predicted class; 0 for 0/0."""
+    return class_scores(confusion(df, by, label, pred), by)
+
+
+def class_scores(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``per_class`` from counts: label, pred, n."""
     by = list(by)
-    cells = confusion(df, by, label, pred)
     hit = F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0)
     sides = cells.select(
         *by,
@@ -66,7 +70,12 @@ def per_class(df: DataFrame, by: Sequence[str] = (), label: str = "label", pred:
 
 def macro_scores(df: DataFrame, by: Sequence[str] = (), label: str = "label", pred: str = "pred") -> DataFrame:
     """Unweighted class means and the support-weighted F1."""
-    return per_class(df, by, label, pred).groupBy(*by).agg(
+    return macro_means(per_class(df, by, label, pred), by)
+
+
+def macro_means(classes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``macro_scores`` from the classes' scores."""
+    return classes.groupBy(*by).agg(
         F.avg("precision").alias("precision_macro"),
         F.avg("recall").alias("recall_macro"),
         F.avg("f1").alias("f1_macro"),

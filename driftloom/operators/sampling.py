@@ -26,6 +26,11 @@ def with_hash(df: DataFrame, ids: Sequence[str], seed: int = 42, out: str = HASH
     return df.withColumn(out, F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[q(c) for c in ids]), 1))
 
 
+def digest_key(ids: Sequence[str], seed: int = 42) -> Column:
+    """A hash of the row's ids that any SQL engine can say: the hexadecimal MD5 of seed and ids, joined by colons."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(q(c).cast("string"), F.lit("")) for c in ids]))
+
+
 def hash_ranked(df: DataFrame, ids: Sequence[str], by: Sequence[str] = (), seed: int = 42, out: str = "rn") -> DataFrame:
     """Random but repeatable order 1..n within ``by``, plus ``<out>_total``.
 

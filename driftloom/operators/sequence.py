@@ -30,6 +30,7 @@ from driftloom.functions.columns import literal_array, plain_zero
 from driftloom.functions.names import q
 from driftloom.functions.stats import rank_sum_z, z_critical
 from driftloom.operators import ranks
+from driftloom.operators.panes import Setting, pane_tests
 from driftloom.operators.ranks import default_buckets, hot_groups, prefixed, ranked, running, same_group
 from driftloom.session import settle
 
@@ -316,27 +317,12 @@ def rolling_ks(
 ) -> DataFrame:
     """KS statistic of the last ``window`` rows against a reference sample, every ``every`` rows.
 
-    Row i (from 0) is a checkpoint when i is a multiple of ``every`` and the window is full.
-    A row belongs to at most ceil(window / every) checkpoints, so the rows are copied to
-    those and each checkpoint is a group of exactly ``window`` rows. Returns checkpoint, ks,
-    mean, std (population).
+    Row i (from 0) is a checkpoint when i is a multiple of ``every`` and the window is full. Returns
+    checkpoint, row, ks, mean, std (population). A missing score is below all others, and not in mean and std.
     """
-    m = float(len(ref))
-    r = positions(df, order).select("_rn", "_rn_total", q(score))
-    i = F.col("_rn") - 1
-    # Checkpoints t (multiples of every) with t - window < i <= t, inside the data, window full.
-    first = F.ceil(F.greatest(i, F.lit(window - 1)) / every)
-    last = F.floor(F.least(i + window - 1, F.col("_rn_total") - 1) / every)
-    fed = against_reference(r.where(first <= last), score, ref).select(
-        q(score).alias("_v"), (F.col("_le") / m).alias("_le"), (F.col("_lt") / m).alias("_lt"),
-        F.explode(F.sequence(first, last)).alias("checkpoint"),
-    )
-    w = Window.partitionBy("checkpoint").orderBy("_v")
-    steps = fed.withColumns({"_f": F.cume_dist().over(w), "_g": (F.rank().over(w) - 1) / float(window)})
-    gap = F.greatest(F.abs(F.col("_le") - F.col("_f")), F.abs(F.col("_lt") - F.col("_g")))
-    return steps.groupBy("checkpoint").agg(
-        F.max(gap).alias("ks"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std")
-    ).withColumn("row", F.col("checkpoint") * every)
+    setting = Setting((1.0,), window, every, tuple(float(v) for v in ref))
+    tests = pane_tests(positions(df, order).select("_rn", q(score)), [score], {0: setting})
+    return tests.drop("trial").withColumn("row", F.col("checkpoint") * every)
 
 
 # ---------------------------------------------------------------- detectors with reset

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from driftloom.functions.columns import at_least
 from driftloom.functions.names import q
 from driftloom.functions.stats import kolmogorov_p
-from driftloom.operators.metrics import binary_counts, macro_scores, threshold_sweep
+from driftloom.operators.metrics import binary_counts, class_scores, macro_means, macro_scores, threshold_sweep
+from driftloom.operators.panes import SIZE, Setting, alarms, confusion_by_trial, mixed, pane_tests
 from driftloom.operators.ranks import exact_quantiles, half_split
-from driftloom.operators.sampling import with_hash
+from driftloom.operators.sampling import digest_key
 from driftloom.operators.sequence import forward_threshold, positions, rolling_ks
 from driftloom.session import settle
 
@@ -76,10 +77,11 @@ def leak_free(df: DataFrame, order: Sequence[str], factory: float, score: str =
     return compare_thresholds(ev, {"before": factory, "after": chosen}, score, label)
 
 
-def reference_sample(df: DataFrame, score: str, ids: Sequence[str], n: int = REFERENCE_SAMPLE, seed: int = 0) -> list[float]:
-    """Scores of n randomly chosen rows (a distributed top-k on a hash); n bounds what is collected."""
-    hashed = with_hash(df.where(q(score).isNotNull()), ids, seed).orderBy("_hash", *[q(c) for c in ids]).limit(n)
-    return [float(r[0]) for r in hashed.select(q(score)).collect()]
+def reference_rows(df: DataFrame, cols: Sequence[str], ids: Sequence[str], n: int = REFERENCE_SAMPLE, seed: int = 0) -> list[tuple[float, ...]]:
+    """``cols`` of n randomly chosen rows without a null there (a distributed top-k on a hash); n bounds what is collected."""
+    whole = df.dropna(subset=list(cols))
+    chosen = whole.orderBy(digest_key(ids, seed), *[q(c) for c in [*ids, *cols]]).limit(n)
+    return [tuple(float(v) for v in r) for r in chosen.select(*[q(c) for c in cols]).collect()]
 
 
 def adapt_on_drift(
@@ -97,7 +99,7 @@ def adapt_on_drift(
     if base["m"] is None:
         raise ValueError("the reference has no scores")
     start = base["m"] + k * base["s"]
-    sample = reference_sample(ref, score, ids, sample_size)
+    sample = [r[0] for r in reference_rows(ref, [score], ids, sample_size)]
     placed = positions(stream, order)
     checks = rolling_ks(placed, order, sample, window, every, score)
     checks = checks.withColumn("p_value", kolmogorov_p(F.col("ks"), F.lit(len(sample)), F.lit(window)))
@@ -113,24 +115,32 @@ def adapt_on_drift(
 
 def tune(
     stream: DataFrame, ref: DataFrame, order: Sequence[str], ids: Sequence[str], grid: Sequence[Mapping[str, float]],
-    e1: str = "e1", e2: str = "e2", label: str = "label",
+    e1: str = "e1", e2: str = "e2", label: str = "label", mode: str = "recent", sample_size: int = REFERENCE_SAMPLE, size: int = SIZE,
 ) -> DataFrame:
-    """Macro F1 of every parameter set (w1, window, every, p, k).
+    """Macro F1 of every parameter set (w1, window, every, p, k) on both halves of the stream, all sets in the same passes.
 
-    Each set is measured on both halves: choose by ``f1_calibration``, report
-    ``f1_evaluation``; ``best`` marks the set with the largest calibration F1.
+    Each set is ``adapt_on_drift`` on the score ``w1 * e1 + (1 - w1) * e2``. Choose by ``f1_calibration``, report
+    ``f1_evaluation``; ``best`` marks the set with the largest calibration F1, the first among equals.
     """
-    # Read again by every trial, so ranked and stored once.
-    parts, ref = settle(positions(half_split(stream, order), order)), settle(ref)
-    rows = []
-    for i, g in enumerate(grid):
-        mix = g["w1"] * q(e1) + (1 - g["w1"]) * q(e2)
-        scored, _ = adapt_on_drift(
-            parts.withColumn("score", mix), ref.withColumn("score", mix), order, ids,
-            int(g["window"]), int(g["every"]), g["p"], g["k"],
-        )
-        f1 = {r["part"]: r["f1_macro"] for r in macro_scores(scored, ["part"], label).collect()}
-        rows.append((i, *[float(g[c]) for c in ("w1", "window", "every", "p", "k")], f1.get("calibration"), f1.get("evaluation")))
-    best = max(range(len(rows)), key=lambda j: (rows[j][6] if rows[j][6] is not None else -1.0, -j))
+    cols = [e1, e2]
+    slim = stream.select(*[q(c) for c in dict.fromkeys([*order, *cols, label])])
+    placed, ref = settle(positions(slim, order).select("_rn", *[q(c) for c in dict.fromkeys([*cols, label])])), settle(ref)
+    trials = {i: (float(g["w1"]), 1 - float(g["w1"])) for i, g in enumerate(grid)}
+    mixes = [f(mixed(cols, w)).alias(f"{n}{i}") for i, w in trials.items() for n, f in (("m", F.avg), ("s", F.stddev_pop))]
+    base = ref.agg(*mixes).first()
+    if base["m0"] is None:
+        raise ValueError("the reference has no scores")
+    start = {i: base[f"m{i}"] + g["k"] * base[f"s{i}"] for i, g in enumerate(grid)}
+    rows = reference_rows(ref, cols, ids, sample_size)
+    settings = {
+        i: Setting(w, int(g["window"]), int(g["every"]), tuple(w[0] * a + w[1] * b for a, b in rows), float(g["p"]))
+        for (i, w), g in zip(trials.items(), grid)
+    }
+    fixed = {i: (float(g["k"]), None if mode == "recent" else start[i]) for i, g in enumerate(grid)}
+    changes = settle(alarms(pane_tests(placed, cols, settings, size), settings, fixed))
+    cells = confusion_by_trial(placed, cols, label, settings, changes, start, placed.count(), size)
+    f1 = {(r["trial"], r["part"]): r["f1_macro"] for r in macro_means(class_scores(cells, ["trial", "part"]), ["trial", "part"]).collect()}
+    out = [(i, *[float(g[c]) for c in ("w1", "window", "every", "p", "k")], f1.get((i, "calibration")), f1.get((i, "evaluation"))) for i, g in enumerate(grid)]
+    best = max(range(len(out)), key=lambda j: (out[j][6] if out[j][6] is not None else -1.0, -j))
     schema = "trial int, w1 double, window double, every double, p double, k double, f1_calibration double, f1_evaluation double, best int"
-    return stream.sparkSession.createDataFrame([(*r, int(j == best)) for j, r in enumerate(rows)], schema)
+    return stream.sparkSession.createDataFrame([(*r, int(j == best)) for j, r in enumerate(out)], schema)

@@ -277,11 +277,54 @@ def test_tuning_reports_both_halves(spark):
     assert best["f1_calibration"] == max(r["f1_calibration"] for r in out) and best["w1"] == 1.0
 
 
+def test_sweep_equals_one_set_at_a_time(spark):
+    """All sets in the same passes, over blocks shorter than the stream, against a walk row by row."""
+    rng = np.random.default_rng(6)
+    n = 700
+    e1 = np.round(np.concatenate([rng.normal(0, 1, 300), rng.normal(1.5, 1, 400)]), 1)
+    e2, y = np.round(rng.normal(0, 1, n), 1), (rng.random(n) < 0.2).astype(int)
+    ref = np.round(rng.normal(0, 1, (150, 2)), 1)
+    df = spark.createDataFrame([(i, float(e1[i]), float(e2[i]), int(y[i])) for i in range(n)], "id long, e1 double, e2 double, label int").repartition(4)
+    early = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(ref)], "id long, e1 double, e2 double")
+    grid = [{"w1": w, "window": a, "every": b, "p": 0.01, "k": 0.8} for w in (0.3, 1.0) for a, b in ((40, 20), (70, 30), (55, 7), (20, 90), (900, 10))]
+    out = threshold.tune(df, early, ["id"], ["id"], grid, size=100).collect()
+    assert [r["trial"] for r in out] == list(range(len(grid)))
+    changed = 0
+    for g, r in zip(grid, out):
+        s, base = g["w1"] * e1 + (1 - g["w1"]) * e2, g["w1"] * ref[:, 0] + (1 - g["w1"]) * ref[:, 1]
+        current, pred = base.mean() + g["k"] * base.std(), np.zeros(n, int)
+        for i in range(n):
+            pred[i] = s[i] >= current
+            if i % g["every"] == 0 and i >= g["window"] - 1:
+                buf = s[i - g["window"] + 1 : i + 1]
+                ks = max(abs((base <= v).mean() - (buf <= v).mean()) for v in [*base, *buf])
+                lam = math.sqrt(len(base) * len(buf) / (len(base) + len(buf))) * ks
+                if lam >= 0.2 and 2 * sum((-1) ** (j - 1) * math.exp(-2 * j * j * lam * lam) for j in range(1, 101)) < g["p"]:
+                    current, changed = buf.mean() + g["k"] * buf.std(), changed + 1
+        for half, name in ((slice(0, n // 2), "f1_calibration"), (slice(n // 2, n), "f1_evaluation")):
+            f1 = [2 * ((y[half] == c) & (pred[half] == c)).sum() / max(1, (y[half] == c).sum() + (pred[half] == c).sum()) for c in (0, 1) if (y[half] == c).any() or (pred[half] == c).any()]
+            assert r[name] == pytest.approx(np.mean(f1))
+    assert changed > 20
+
+
+def test_sweep_on_odd_streams(spark):
+    schema = "id long, e1 double, e2 double, label int"
+    rows = [(0, None, 1.0, 1), (1, float("nan"), 1.0, None), (2, 1.0, 1.0, 0), (3, 1.0, 1.0, 1)]
+    df = spark.createDataFrame([(i, a, b, c) for i, (_, a, b, c) in enumerate(rows * 20)], schema)
+    good = spark.createDataFrame([(i, float(i % 3), 1.0) for i in range(30)], "id long, e1 double, e2 double")
+    grid = [{"w1": 0.5, "window": 8, "every": 4, "p": 0.5, "k": 1.0}]
+    assert len(threshold.tune(df, good, ["id"], ["id"], grid, size=10).collect()) == 1
+    empty = threshold.tune(df.limit(0), good, ["id"], ["id"], grid).collect()
+    assert [(r["f1_calibration"], r["best"]) for r in empty] == [(None, 1)]
+    with pytest.raises(ValueError):
+        threshold.tune(df, good.limit(0), ["id"], ["id"], grid)
+
+
 def test_registered_search_and_ensemble_do_the_whole_job(spark, monkeypatch):
     from driftloom.catalog import sequences as catalog
 
     seen = {}
-    monkeypatch.setattr(catalog.threshold, "tune", lambda *args: seen.update(grid=args[-1]))
+    monkeypatch.setattr(catalog.threshold, "tune", lambda *args: seen.update(grid=args[-1]) or args[0].select(F.lit(0.0).alias("f1_calibration"), F.lit(0.0).alias("f1_evaluation")))
     monkeypatch.setattr(catalog.sequence, "detector_ensemble", lambda df, *args, **kw: seen.update(kw, refs=args[3]) or df)
     catalog.threshold_tuning(spark, "/root/testdata/sf0.001")
     assert len(seen["grid"]) == 60 and all(len({g[c] for g in seen["grid"]}) >= 9 for c in ("w1", "window", "every", "p", "k"))
