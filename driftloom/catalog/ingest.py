@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from driftloom.catalog.inputs import EDGES, EVENTS, FACTS, VECTORS, edges, events, facts, query, r6, scratch, table, vectors
 from driftloom.functions.names import q
 from driftloom.operators import adapt
+from driftloom.operators.forests import Forest
 from driftloom.operators.moments import fit_pca, moments, score_rows
 from driftloom.operators.scaling import fit_standard
 from driftloom.sinks import runs, writers
@@ -185,10 +186,8 @@ def batch_gauges(spark, sf):
 
 @query("saved_model")
 def saved_model(spark, sf):
-    from pyspark.ml.classification import RandomForestClassificationModel
-
     v = vectors(spark, sf)
     path = scratch(spark, "forest")
-    writers.save_model(adapt.fit_forest(v), path)
-    scored = adapt.predict(RandomForestClassificationModel.load(path), v)
+    writers.save_model(adapt.fit_forest(v, ids=["vec_id"]), path)
+    scored = adapt.predict(Forest.load(path), v)
     return scored.groupBy("pred").agg(F.count("*").alias("n"))

@@ -362,6 +362,6 @@ def cross_validation(spark, sf):
 @query("importance_change")
 def importance_change(spark, sf):
     v = vectors(spark, sf)
-    old = adapt.fit_forest(v.where(F.col("batch") < 5))
-    new = adapt.fit_forest(v.where(F.col("batch") >= 5))
+    old = adapt.fit_forest(v.where(F.col("batch") < 5), ids=["vec_id"])
+    new = adapt.fit_forest(v.where(F.col("batch") >= 5), ids=["vec_id"])
     return adapt.importance_change(spark, old, new)

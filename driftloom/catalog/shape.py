@@ -10,7 +10,8 @@ from driftloom.catalog.inputs import (
 from driftloom.functions import columns as C
 from driftloom.functions.names import normalise_names, q
 from driftloom.functions.payload import from_reply, to_payload
-from driftloom.operators import clean, features, joins
+from driftloom.operators import adapt, clean, features, joins
+from driftloom.operators.metrics import accuracy
 from driftloom.operators.ranks import first_share
 from driftloom.operators.sampling import init_and_stream
 from driftloom.sources.schema import OVERLAP
@@ -316,15 +317,16 @@ def init_stream(spark, sf):
     return out.withColumn("ids_of_both", F.lit(ids).cast("long"))
 
 
-@query("previous_batch_model", f"""WITH v AS ({VECTORS}), c AS (SELECT batch, label, count(*) AS n FROM v GROUP BY ALL),
-  m AS (SELECT batch, arg_max(label, n * 1000 - label) AS guess FROM c GROUP BY batch)
-  SELECT v.batch, round(avg(CAST(v.label = m.guess AS DOUBLE)), 6) AS accuracy FROM v JOIN m ON v.batch = m.batch + 1 GROUP BY v.batch""")
+@query("previous_batch_model", f"""WITH v AS ({VECTORS}), c AS (SELECT batch, label, i, avg(features[i]) AS m FROM v, range(1, 65) t(i) GROUP BY ALL),
+  m AS (SELECT batch, label AS guess, list(m ORDER BY i) AS mean FROM c GROUP BY ALL),
+  d AS (SELECT v.batch, v.vec_id, v.label, guess, list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(v.features, m.mean)]) AS d FROM v JOIN m ON v.batch = m.batch + 1),
+  n AS (SELECT batch, vec_id, any_value(label) AS label, arg_min(guess, (d, guess)) AS guess FROM d GROUP BY ALL)
+  SELECT batch, round(avg(CAST(label = guess AS DOUBLE)), 6) AS accuracy FROM n GROUP BY batch""")
 def previous_batch(spark, sf):
-    v = vectors(spark, sf).select("batch", "label")
-    n = v.groupBy("batch", "label").agg(F.count("*").alias("n"))
-    guess = n.groupBy("batch").agg(F.max_by("label", F.col("n") * 1000 - F.col("label")).alias("guess"))
-    paired = joins.previous_batch(v, guess)
-    return paired.groupBy("batch").agg(r6(F.avg((F.col("label") == F.col("guess")).cast("double")), "accuracy"))
+    """Each batch scored by the class means of the one before it, all pairs of batch and model in one pass."""
+    v = vectors(spark, sf)
+    pred = adapt.nearest_mean(v.select("batch", "vec_id", "label", "features"), joins.for_next_batch(adapt.class_means(v)))
+    return accuracy(pred, ["batch"]).select("batch", r6("accuracy"))
 
 
 @query("sorted_rows", "SELECT user_id, ts, event_id FROM events ORDER BY user_id, ts, event_id")

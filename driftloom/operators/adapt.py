@@ -6,16 +6,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.functions.names import numeric_columns, q
+from driftloom.operators.forests import DEEPEST, Forest, apply_models, fit_forests, importances, predict_forests
 from driftloom.operators.metrics import accuracy
 from driftloom.operators.moments import ARR, Moments, Pca, fit_pca, packed_moments, residual_mse, unpack
 from driftloom.operators.ranks import ranked
@@ -24,10 +21,6 @@ from driftloom.operators.sequence import adwin_resume, keyed_fold
 from driftloom.session import settle
 
 
-#: Spark's largest depth of a tree.
-DEEPEST = 30
-
-
 def linear_fit(df: DataFrame, cols: Sequence[str] | None = None) -> tuple[object, dict[str, float]]:
     """Linear regression of the last numeric column on the others; (model, RMSE and R2)."""
     cols = list(cols or numeric_columns(df, ()))
@@ -38,41 +31,53 @@ def linear_fit(df: DataFrame, cols: Sequence[str] | None = None) -> tuple[object
     return model, {"rmse": model.summary.rootMeanSquaredError, "r2": model.summary.r2}
 
 
-def forest_input(df: DataFrame, arr: str = ARR, label: str = "label") -> DataFrame:
-    return df.withColumns({"_v": array_to_vector(q(arr).cast("array<double>")), "_y": q(label).cast("double")})
+def fit_forest(df: DataFrame, trees: int = 50, depth: int = DEEPEST, arr: str = ARR, label: str = "label", seed: int = 42, ids: Sequence[str] = ()) -> Forest:
+    """One forest on all rows. Rows equal in ``ids`` (by default in vector and label) are drawn together."""
+    return fit_forests(df, list(ids) or [arr, label], trees, depth, arr, label, seed=seed)
+
 
+def predict(model: Forest, df: DataFrame, arr: str = ARR) -> DataFrame:
+    return predict_forests(df, model, arr)
 
-def forest(trees: int, depth: int, seed: int) -> RandomForestClassifier:
-    return RandomForestClassifier(featuresCol="_v", labelCol="_y", numTrees=trees, maxDepth=depth, minInstancesPerNode=1, seed=seed)
+
+def cross_validate(
+    df: DataFrame, ids: Sequence[str], folds: int = 5, trees: int = 50, arr: str = ARR, label: str = "label", seed: int = 42, depth: int = DEEPEST
+) -> float:
+    """Mean accuracy over stratified folds; all folds are grown together and scored together."""
+    dealt = settle(stratified_folds(df, ids, label, folds, seed))
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))
+    forest = fit_forests(dealt.withColumn("_left_out", F.explode(others)), ids, trees, depth, arr, label, "_left_out", seed)
+    pred = predict_forests(dealt, Forest(forest.table.withColumnRenamed("_left_out", "fold"), "fold"), arr, "fold")
+    return float(accuracy(pred, ["fold"], label).agg(F.avg("accuracy")).first()[0])
 
 
-def fit_forest(df: DataFrame, trees: int = 50, depth: int = DEEPEST, arr: str = ARR, label: str = "label", seed: int = 42) -> RandomForestClassificationModel:
-    return forest(trees, depth, seed).fit(forest_input(df, arr, label))
+def class_means(df: DataFrame, batch: str = "batch", arr: str = ARR, label: str = "label") -> DataFrame:
+    """A model per batch as rows: batch, label and the mean vector of the class. Missing numbers are not in a mean."""
+    cells = df.where(q(label).isNotNull()).select(q(batch), q(label).alias("label"), F.posexplode(q(arr).cast("array<double>")).alias("_i", "_x"))
+    means = cells.where(~F.isnan("_x")).groupBy(q(batch), "label", "_i").agg(F.avg("_x").alias("_m"))
+    return means.groupBy(q(batch), "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda c: c["_m"]).alias("mean"))
 
 
-def predict(model: RandomForestClassificationModel, df: DataFrame, arr: str = ARR, label: str = "label") -> DataFrame:
-    out = model.transform(forest_input(df, arr, label))
-    return out.withColumn("pred", F.col("prediction").cast("int")).drop("_v", "_y", "rawPrediction", "probability", "prediction")
+def nearest_mean(df: DataFrame, models: DataFrame, batch: str = "batch", arr: str = ARR, out: str = "pred") -> DataFrame:
+    """Rows of the batches that have a model, with the label of the nearest class mean (the smallest label among equals)."""
 
+    def score(own: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("label")
+        x, centre = np.array(data[arr].tolist(), float), np.array(own["mean"].tolist(), float)
+        gap = np.stack([((x - c) ** 2).sum(axis=1) for c in centre], axis=1)
+        data[out] = own["label"].to_numpy()[gap.argmin(axis=1)]
+        return data
 
-def cross_validate(
-    df: DataFrame, ids: Sequence[str], folds: int = 5, trees: int = 50, arr: str = ARR, label: str = "label", seed: int = 42, depth: int = DEEPEST
-) -> float:
-    """Mean accuracy over stratified folds."""
-    data = forest_input(stratified_folds(df, ids, label, folds, seed), arr, label)
-    evaluator = MulticlassClassificationEvaluator(labelCol="_y", metricName="accuracy")
-    cv = CrossValidator(
-        estimator=forest(trees, depth, seed), estimatorParamMaps=ParamGridBuilder().build(), evaluator=evaluator, numFolds=folds, foldCol="fold"
-    )
-    return float(cv.fit(data).avgMetrics[0])
+    fields = ", ".join(f"`{c}` {k}" for c, k in df.dtypes if c != out)
+    return apply_models(df.drop(out).where(q(arr).isNotNull()), models, batch, score, f"{fields}, `{out}` int")
 
 
-def importance_change(spark, old: RandomForestClassificationModel, new: RandomForestClassificationModel, n: int = 10) -> DataFrame:
+def importance_change(spark, old: Forest, new: Forest, n: int = 10) -> DataFrame:
     """Top-n features of the new model with their importance in both models."""
-    a, b = old.featureImportances.toArray(), new.featureImportances.toArray()
-    rows = [(i, float(a[i]), float(b[i]), float(b[i] - a[i])) for i in range(len(b))]
-    table = spark.createDataFrame(rows, "feature int, old double, new double, change double")
-    return table.orderBy(F.desc("new"), "feature").limit(n)
+    a = importances(old).select("feature", F.col("importance").alias("old"))
+    b = importances(new).select("feature", F.col("importance").alias("new"))
+    table = b.join(a, "feature", "left").select("feature", F.coalesce("old", F.lit(0.0)).alias("old"), "new")
+    return table.withColumn("change", F.col("new") - F.col("old")).orderBy(F.desc("new"), "feature").limit(n)
 
 
 def batch_drift(pred: DataFrame, order: Sequence[str], window: Sequence[tuple] = (), label: str = "label") -> tuple[bool, list[tuple]]:
@@ -87,33 +92,31 @@ def strategies(
     """Test-then-train over ordered batches: static, cumulative, window, drift-triggered.
 
     Every strategy is tested on a batch before it may learn from it; the first batch, which
-    all were trained on, is marked ``in_sample``. Fits, predictions and metrics are Spark
-    jobs; the driver only walks the list of batch numbers.
+    all were trained on, is marked ``in_sample``. The models of all batches (of each batch alone, and of all up to it)
+    are grown in one job and kept as rows, every pair of model and later batch is scored in one pass, and the driver
+    only chooses which pairs a strategy used.
     """
-    numbers = [r[0] for r in df.select(q(batch)).distinct().orderBy(batch).collect()]
-    first = fit_forest(df.where(q(batch) == numbers[0]), trees, depth, arr, label)
-    models = {name: first for name in ("static", "cumulative", "window", "drift")}
-    rows, window = [], []
-    for b in numbers:
-        cur = df.where(q(batch) == b)
+    data = settle(df.select(*[q(c) for c in dict.fromkeys([*order, batch, arr, label])]))
+    numbers = [r[0] for r in data.select(q(batch)).distinct().orderBy(batch).collect()]
+    place = F.element_at(F.create_map(*[F.lit(v) for i, b in enumerate(numbers) for v in (b, i)]), q(batch))
+    placed = data.withColumn("_at", place)
+    last = len(numbers) - 1
+    names = F.concat(F.array(F.concat(F.lit("own "), "_at")), F.transform(F.sequence("_at", F.lit(last)), lambda b: F.concat(F.lit("upto "), b.cast("string"))))
+    forest = fit_forests(placed.withColumn("_model", F.explode(names)).where("_model != 'upto 0'"), order, trees, depth, arr, label, "_model")
+    own = F.transform(F.sequence(F.lit(0), F.greatest(F.col("_at") - 1, F.lit(0))), lambda b: F.concat(F.lit("own "), b.cast("string")))
+    asked = F.when(F.col("_at") > 1, F.concat(own, F.array(F.concat(F.lit("upto "), (F.col("_at") - 1).cast("string"))))).otherwise(own)
+    scored = settle(predict_forests(placed.withColumn("_model", F.explode(asked)), forest, arr, "_model"))
+    right = {(r["_at"], r["_model"]): float(r["accuracy"]) for r in accuracy(scored, ["_at", "_model"], label).collect()}
+    rows, drift_model, window = [], "own 0", []
+    for i, b in enumerate(numbers):
         drifted = False
-        scored: dict[int, tuple[float, DataFrame]] = {}
-        for name, model in models.items():
-            if id(model) not in scored:
-                p = predict(model, cur, arr, label)
-                scored[id(model)] = (float(accuracy(p, label=label).first()["accuracy"]), p)
-            acc, p = scored[id(model)]
-            if name == "drift" and b != numbers[0]:
-                drifted, window = batch_drift(p, order, window, label)
-            rows.append((int(b), name, acc, int(name == "drift" and drifted), b == numbers[0]))
-        if b == numbers[-1]:
-            break
-        if b != numbers[0]:
-            fresh = fit_forest(cur, trees, depth, arr, label)
-            models["window"] = fresh
-            models["cumulative"] = fit_forest(df.where(q(batch) <= b), trees, depth, arr, label)
-            if drifted:
-                models["drift"] = fresh
+        if i:
+            pairs = scored.where((F.col("_at") == i) & (F.col("_model") == drift_model))
+            drifted, window = batch_drift(pairs, order, window, label)
+        used = {"static": "own 0", "cumulative": f"upto {i - 1}" if i > 1 else "own 0", "window": f"own {max(i - 1, 0)}", "drift": drift_model}
+        rows += [(int(b), name, right[i, model], int(name == "drift" and drifted), i == 0) for name, model in used.items()]
+        if drifted:
+            drift_model = f"own {i}"
     return df.sparkSession.createDataFrame(rows, "batch int, strategy string, accuracy double, drift int, in_sample boolean")
 
 

@@ -78,7 +78,11 @@ def pair_on_feature(ref: DataFrame, cur: DataFrame) -> DataFrame:
     return r.join(c, "feature")
 
 
+def for_next_batch(models: DataFrame, batch: str = "batch") -> DataFrame:
+    """Model records under the number of the batch that they are tested on: the one after their own."""
+    return models.withColumn(batch, F.col(batch) + 1)
+
+
 def previous_batch(batches: DataFrame, models: DataFrame, batch: str = "batch") -> DataFrame:
     """Pair every batch with the model record of the batch before it."""
-    shifted = models.withColumn(batch, F.col(batch) + 1)
-    return batches.join(shifted, batch)
+    return batches.join(for_next_batch(models, batch), batch)

@@ -8,6 +8,8 @@ from pyspark.ml.util import MLWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.operators.forests import Forest
+
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     writer = df.write.mode("overwrite")
@@ -29,8 +31,11 @@ def write_result_csv(df: DataFrame, path: str, one_file: bool = True) -> None:
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
-def save_model(model: MLWritable, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: MLWritable | Forest, path: str) -> None:
+    if isinstance(model, Forest):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
 
 
 def preview(df: DataFrame, n: int = 5) -> None:

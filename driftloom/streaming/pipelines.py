@@ -48,9 +48,13 @@ def replay(df: DataFrame, name: str, mode: str = "append", into: str | None = No
     return spark.read.schema(df.schema).parquet(path)
 
 
-def for_each_batch(df: DataFrame, handle: Callable[[DataFrame, int], None], name: str) -> None:
-    """Give every micro-batch to ``handle`` as an ordinary frame, once all files are done stop."""
-    path = work_path(df.sparkSession, name)
+def for_each_batch(df: DataFrame, handle: Callable[[DataFrame, int], None], name: str, into: str | None = None) -> None:
+    """Give every micro-batch to ``handle`` as an ordinary frame, once all files are done stop.
+
+    With a named folder ``into`` a restarted query goes on after the last micro-batch that ended; the one in which it
+    stopped is given again, with the same number and rows. Without one every run starts anew.
+    """
+    path = into or work_path(df.sparkSession, name)
     query = (
         df.writeStream.foreachBatch(handle).option("checkpointLocation", f"{path}-progress")
         .trigger(availableNow=True).start()

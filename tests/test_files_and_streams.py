@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftloom.operators import adapt
+from driftloom.operators.forests import unpacked
 from driftloom.operators.sequence import prequential, sliding_windows
 from driftloom.sinks import runs, writers
 from driftloom.sources import readers
@@ -158,6 +159,52 @@ def test_drift_loop_gauges(spark, folder):
     assert g[(2, "retrain_performed")] == 1 and g[(3, "model_accuracy")] > 0.9
 
 
+def gauges_of(df):
+    return sorted((r["name"], r["batch"], round(r["value"], 9)) for r in df.collect())
+
+
+def test_drift_loop_goes_on_after_a_stop_and_after_a_failure(spark, tmp_path, monkeypatch):
+    """Model, window and batch number lie beside the progress: a new run, and a repeated micro-batch, continue from them."""
+    df = blobs(spark, n=300)
+
+    def add(folder, batches):
+        for b in batches:
+            df.where(F.col("batch") == b).coalesce(1).write.mode("append").parquet(folder)
+        return pipelines.parquet_stream(spark, folder, "*.parquet", df.schema)
+
+    whole, cut = str(tmp_path / "whole"), str(tmp_path / "cut")
+    want = gauges_of(drift_loop.drift_loop(add(whole, range(4)), ["id"], trees=5))
+    into = str(tmp_path / "loop")
+    drift_loop.drift_loop(add(cut, [0, 1]), ["id"], trees=5, into=into)
+    add(cut, [2, 3])
+    append = runs.append_gauges
+
+    def broken(spark, path, *args):
+        append(spark, path, *args)
+        if path.endswith("part=2"):
+            raise OSError("the driver is gone")
+
+    stream = pipelines.parquet_stream(spark, cut, "*.parquet", df.schema)
+    monkeypatch.setattr(drift_loop, "append_gauges", broken)
+    with pytest.raises(Exception):
+        drift_loop.drift_loop(stream, ["id"], trees=5, into=into)
+    monkeypatch.setattr(drift_loop, "append_gauges", append)
+    assert gauges_of(drift_loop.drift_loop(stream, ["id"], trees=5, into=into)) == want
+    assert any(name == "retrain_performed" and value for name, _, value in want)
+
+
+def test_previous_batch_models_are_paired_by_rows(spark):
+    df = blobs(spark, n=40)
+    means = adapt.class_means(df)
+    pred = adapt.nearest_mean(df, means.withColumn("batch", F.col("batch") + 1)).collect()
+    centre = {(r["batch"], r["label"]): np.array(r["mean"]) for r in means.collect()}
+    rows = {r["id"]: r for r in df.collect()}
+    assert len(pred) == 120 and {r["batch"] for r in pred} == {1, 2, 3}
+    for r in pred:
+        x, b = np.array(rows[r["id"]]["features"]), r["batch"] - 1
+        assert r["pred"] == min((0, 1), key=lambda c: (((x - centre[b, c]) ** 2).sum(), c))
+
+
 def test_linear_forest_and_importance(spark, folder):
     lin = spark.range(50).select(F.col("id").cast("double").alias("x"), (F.col("id") * 2.0 + 1).alias("y"))
     _, m = adapt.linear_fit(lin)
@@ -173,8 +220,14 @@ def test_linear_forest_and_importance(spark, folder):
 def test_trees_grow_past_five_levels(spark):
     """Stripes of two classes along one feature need more than 32 leaves."""
     df = spark.createDataFrame([(i, [float(i // 4)], i // 4 % 2) for i in range(80)], "id long, features array<double>, label int")
-    model = adapt.fit_forest(df, 5)
-    assert model.getMaxDepth() == 30 and max(t.depth for t in model.trees) > 5
+    def depth(raw):
+        _, feature, child, *_ = unpacked(raw)
+        deep = np.zeros(len(feature), int)
+        for n in np.flatnonzero(feature >= 0):  # children come after their parents
+            deep[child[n]] = deep[child[n] + 1] = deep[n] + 1
+        return deep.max()
+
+    assert max(depth(r["nodes"]) for r in adapt.fit_forest(df, 5).table.collect()) > 5
     wide = spark.createDataFrame([(i, [float(i % 100)], i % 100 % 2) for i in range(2000)], "id long, features array<double>, label int")
     deep, cut = (adapt.cross_validate(wide, ["id"], folds=2, trees=5, depth=d) for d in (30, 5))
     assert adapt.cross_validate(wide, ["id"], folds=2, trees=5) == deep and deep > cut
