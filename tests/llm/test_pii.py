@@ -3,6 +3,9 @@
 import hashlib
 import random
 import re
+import time
+
+import pytest
 
 from driftloom.llm.pii import BASE, ORDER, find, luhn, personal_data, redact, span_digest
 from driftloom.llm.queries import QUERIES
@@ -53,6 +56,19 @@ def test_added_kinds():
     assert found["account"].startswith("DE89") and "GB00" not in str(found)
 
 
+@pytest.mark.parametrize("piece", ["a://", "://", "a:// ", "1a://.,", "a@", "+1 ", "1.", "password ", "IBAN ", "token=", "account no ", "1-1 ", "https://x.yz,"])
+def test_long_texts_take_time_in_proportion(piece):
+    """A megabyte of anchors; what is read again for each of them would take minutes."""
+    text = piece * (1_000_000 // len(piece))
+    start = time.process_time()
+    find(text)
+    assert time.process_time() - start < 30
+
+
+def test_urls_inside_urls():
+    assert [s for s in find("a://b://c, d://e ://f") if s[0] == "url"] == [("url", 0, 9), ("url", 11, 16)]
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, spans string, kind int"
     rows = [(1, None, "", 1), (2, "", "", 1), (None, "a@b.cc", "", 1), (3, "1" * 60_000, "", 1), (4, "+1 " * 20_000, "", 1), (5, "a@b.cc", None, None), (5, "a@b.cc", None, None)]
