@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.llm.text import column
@@ -24,7 +24,7 @@ from driftloom.session import settle
 
 #: Number of hashed n-grams; a power of two.
 FEATURES = 1 << 13
-#: Bound of the labelled sample in which a language's centroids are found; expected size, drawn by a hash of the text.
+#: Bound of the labelled sample in which a language's centroids are found: so many different texts, drawn by a digest of the text.
 SAMPLE_PER_LANGUAGE = 1500
 CENTROIDS = 4
 #: Share of a centroid's own sample that may lie outside its radius.
@@ -101,8 +101,25 @@ def held_out(id_column: Column) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit(""))) % FOLDS == HELD_OUT
 
 
+def drawn(rows: DataFrame, languages: list[str]) -> DataFrame:
+    """At most SAMPLE_PER_LANGUAGE different texts per language, each once: those with the smallest digests.
+
+    Tasks hand on only as many digests per language as are wanted; texts travel when the digests are known.
+    """
+    name = F.md5("text")
+    order = Window.partitionBy("lang").orderBy("name")
+    least = rows.select("lang", name.alias("name")).distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE_PER_LANGUAGE)
+    last = {r.lang: r.last for r in least.groupBy("lang").agg(F.max("name").alias("last")).collect()}
+    upto = F.create_map(*[F.lit(v) for lang in languages for v in (lang, last[lang])])
+    return rows.filter(name <= F.element_at(upto, F.col("lang"))).groupBy("lang", name.alias("name")).agg(F.first("text").alias("text")).select("text", "lang")
+
+
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fit on all rows of ``df`` with a language and a letter. Document frequencies use every row; centroids use the sample."""
+    """Fit on all rows of ``df`` with a language and a letter. Document frequencies use every row; centroids use the sample.
+
+    A null text or language, and a text without a letter, are left out; a text that many rows share is one row of the
+    sample. A table without rows gives a model that knows no language.
+    """
     rows = df.select(column(text_col).alias("text"), column(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,9 +146,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Langua
     if not sizes:
         return LanguageModel(idf, [], np.zeros((0, FEATURES), np.float32), np.zeros(0))
 
-    shares = F.create_map(*[F.lit(v) for lang, n in sorted(sizes.items()) for v in (lang, min(1.0, SAMPLE_PER_LANGUAGE / n))])
-    draw = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.filter(draw < F.element_at(shares, F.col("lang")))
+    sample = drawn(rows, sorted(sizes))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,8 +170,8 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Langua
         rows = [(group["lang"].iloc[0], c[j].astype("<f4").tobytes(), float(np.quantile(near[at == j], OUTSIDE)) if (at == j).any() else 1.0) for j in range(len(c))]
         return pd.DataFrame(rows, columns=["lang", "centroid", "radius"])
 
-    drawn = sample.mapInArrow(sparse, "lang string, slots binary, counts binary")
-    parts = drawn.groupBy("lang").applyInPandas(cluster, "lang string, centroid binary, radius double").collect()  # a few rows per language
+    counted = sample.mapInArrow(sparse, "lang string, slots binary, counts binary")
+    parts = counted.groupBy("lang").applyInPandas(cluster, "lang string, centroid binary, radius double").collect()  # a few rows per language
     parts.sort(key=lambda r: (r.lang, r.centroid))
     centroids = np.array([np.frombuffer(r.centroid, "<f4") for r in parts], dtype=np.float32).reshape(-1, FEATURES)
     return LanguageModel(idf, [r.lang for r in parts], centroids, np.array([r.radius for r in parts]))
@@ -178,7 +193,11 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
 
 
 def identify_held_out(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Fit on the rows that are not held out, predict all: ``doc_id, held_out, lang_pred, score, rejected``."""
+    """Fit on the rows that are not held out, predict all: ``doc_id, held_out, lang_pred, score, rejected``.
+
+    One row for each input row, repeated and null ids too (a null id counts as the empty string in the split); whole
+    texts of any length count. Null texts and texts without a letter are ``und``. An empty table gives an empty result.
+    """
     model = fit(df.filter(~held_out(column(id_col))), text_col, lang_col)
     out = identify(df, model, id_col, text_col)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
