@@ -3,7 +3,8 @@
 Every source gets a target in words. Its documents are expected ``target / source size`` times each: the whole part are
 certain copies, the rest is an inclusion probability. Documents are ranked by the odds of a random number over the odds
 of their inclusion, and one more copy is taken in that order until the source's target is met. The random number is a
-hash of the document's id and a seed, so a rerun or a lost executor changes nothing.
+hash of the document's id and text and a seed, so a rerun or a lost executor changes nothing, and documents without an
+id are drawn each on its own.
 
 No source is ever ranked as a whole: ranks are cut into buckets, sums per bucket find the one where the target is
 reached, and only the rows of that bucket are ordered.
@@ -20,6 +21,8 @@ from driftloom.session import settle
 #: Buckets of a source's ranks; only the one in which the target is reached is sorted.
 BUCKETS = 4096
 MOST_COPIES = 3
+#: Without odds of their own, documents are favoured by size / (size + HALF_SIZE): short ones are less likely to get the extra copy.
+HALF_SIZE = 100.0
 WEIGHTS = (5, 2, 1)
 
 
@@ -60,14 +63,17 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
 
 def measured(df: DataFrame, id_col: str, text_col: str, source_col: str, odds_col: str | None, *more: Column) -> DataFrame:
     words = F.coalesce(F.regexp_count(column(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    favour = F.coalesce(column(odds_col).cast("double"), F.lit(1.0)) if odds_col else F.lit(1.0)
-    return df.select(column(id_col).alias("doc_id"), column(source_col).cast("string").alias("source"), words.alias("size"), favour.alias("favour"), *more)
+    favour = F.coalesce(column(odds_col).cast("double"), F.lit(1.0)) if odds_col else words / (words + F.lit(HALF_SIZE))
+    draw = F.concat_ws(":", F.coalesce(column(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(column(text_col), F.lit(""))))
+    return df.select(
+        column(id_col).alias("doc_id"), column(source_col).cast("string").alias("source"), words.alias("size"), favour.alias("favour"), draw.alias("draw"), *more
+    )
 
 
 def ranked(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """Rows with their source's plan, their rank and its bucket; without a rank a document can't get an extra copy."""
     p = F.least(F.col("p"), F.lit(1 - 1e-12))
-    u = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed)
+    u = uniform(F.col("draw"), seed)
     odds = u / (1 - u) / (p / (1 - p) * F.col("favour"))
     return (
         rows.join(plan, rows["source"].eqNullSafe(plan["source"]))
@@ -102,7 +108,7 @@ def planned(rows: DataFrame, weights: tuple[int, ...], most: int, seed: int) ->
 
 def with_copies(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     placed = ranked(rows, plan, seed)
-    order = Window.partitionBy("source").orderBy("rank", "doc_id", "size")
+    order = Window.partitionBy("source").orderBy("rank", "doc_id", "size", "draw")
     running = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     near = placed.filter(F.col("bucket") == F.col("edge")).withColumn("extra", (F.col("before") + running + F.col("size") / 2 <= F.col("wanted")).cast("long"))
     rest = placed.filter(~F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False))).withColumn(
@@ -118,10 +124,10 @@ def mix_sources(
 ) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies`` and ``taken`` (words), one row for each input row.
 
-    ``odds_col`` (optional, positive; null counts as 1) makes some documents of a source likelier to be chosen for the
-    extra copy than others; without it a source's documents are equally likely. A null text has no words; null is a
-    source of its own; documents without words get no copy. Rows with equal ids and sizes may differ only in which of
-    them gets the last copy. An empty table gives an empty result.
+    Documents of a source differ in their inclusion odds: by ``odds_col`` (optional, positive; null counts as 1), else by
+    size (``HALF_SIZE``). A null text has no words; null is a
+    source of its own; documents without words get no copy. Rows equal in id and text have one random number, and may differ only in
+    which of them gets the last copy. An empty table gives an empty result.
     """
     rows = settle(measured(df, id_col, text_col, source_col, odds_col))
     found = with_copies(rows, planned(rows, weights, most, seed), seed)
@@ -142,7 +148,7 @@ def mixed(
 
 SQL = f"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS name, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
     [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM d GROUP BY source
@@ -158,13 +164,13 @@ WITH d AS (
 ), p AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS certain FROM t
 ), q AS (
-  SELECT d.doc_id, d.size, p.*, CASE WHEN source_size > 0 THEN target / source_size - certain ELSE 0 END AS p,
+  SELECT d.doc_id, d.size, d.name, p.*, CASE WHEN source_size > 0 THEN target / source_size - certain ELSE 0 END AS p,
     target - certain * source_size AS wanted,
-    (('0x' || substr(md5('1:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+    (('0x' || substr(md5('1:' || coalesce(d.doc_id::VARCHAR, '') || ':' || d.name), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 ), r AS (
   SELECT *, CASE WHEN p > 0 AND size > 0 THEN sum(CASE WHEN size > 0 THEN size ELSE 0 END) OVER (
-      PARTITION BY source ORDER BY size = 0, u / (1 - u) / (least(p, 1 - 1e-12::DOUBLE) / (1 - least(p, 1 - 1e-12::DOUBLE))), doc_id, size ROWS UNBOUNDED PRECEDING
+      PARTITION BY source ORDER BY size = 0, u / (1 - u) / (least(p, 1 - 1e-12::DOUBLE) / (1 - least(p, 1 - 1e-12::DOUBLE)) * (size / (size + {HALF_SIZE}::DOUBLE))), doc_id, size, name ROWS UNBOUNDED PRECEDING
     ) - size + size / 2 <= wanted ELSE false END AS extra FROM q
 )
 SELECT doc_id, size, source_size, target, (CASE WHEN size > 0 THEN (certain + extra::BIGINT) * size ELSE 0 END)::BIGINT AS taken FROM r

@@ -66,6 +66,21 @@ def test_odds_favour_some_documents(spark):
     assert extra[0] + extra[1] == 1500 and extra[1] > 1.5 * extra[0]
 
 
+def test_documents_without_an_id_are_drawn_one_by_one(spark):
+    """A third of the ids is null: their share among the extra copies is that of all documents of their size."""
+    rows = [(None if i % 3 == 0 else i, f"{i} " + "w " * 9, "s" if i < 3000 else "t") for i in range(6000)]
+    out = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(3, 1)).collect()
+    extra = [r for r in out if r.source == "t" and r.copies]
+    assert len(extra) == 1500 and 430 < sum(r.doc_id is None for r in extra) < 570
+
+
+def test_longer_documents_are_likelier(spark):
+    rows = [(i, "w " * (300 if i % 2 else 20), "s" if i < 3000 else "t") for i in range(6000)]
+    out = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(3, 1)).collect()
+    chosen = [r.size for r in out if r.source == "t" and r.copies]
+    assert chosen.count(300) > 1.2 * chosen.count(20)
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, source string, size string, target int"
     rows = [(1, None, "a", "", 1), (2, "", "a", "", 1), (3, "one two", None, "", 1), (None, "x y z", "a", "", 1), (4, "w " * 9000, "b", "", 1), (5, "p q", "b", "", 1), (5, "p q", "b", "", 1)]
