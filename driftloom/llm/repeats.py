@@ -19,12 +19,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from xxhash import xxh3_64_intdigest
 
-from driftloom.llm.text import mix, slices, two_columns
+from driftloom.llm.text import map_batches, mix, slices, two_columns
 from driftloom.session import settle
 
 #: Different pieces of one key that an exact method handles in one task.
@@ -117,23 +117,36 @@ def piece_batch(columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(k)) for c, k in zip(columns, kinds)], FIELDS)
 
 
-def probably_in(ids: DataFrame):
-    """A column function that is true for every id of ``ids`` (one long column) and false for most others."""
-    slot = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(FILTER_BITS))
+def id_bits(ids: DataFrame) -> np.ndarray:
+    """A bit table in which every id of ``ids`` (one long column) has its bit (see ``id_slot``) set."""
+    slot = id_slot(F.col(ids.columns[0]))
     words = ids.select(slot.alias("slot")).select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("mask"))
     table = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most FILTER_BITS / 64 rows
     bits = np.zeros(FILTER_BITS >> 6, np.int64)
     bits[table["word"].to_numpy()] = table["mask"].to_numpy()
+    return bits
+
+
+def id_slot(column: Column) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+
+def is_set(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 6] >> (slots & 63) & 1).astype(bool)
+
+
+def probably_in(ids: DataFrame):
+    """A column function that is true for every id of ``ids`` (one long column) and false for most others."""
+    bits = id_bits(ids)
     shared = ids.sparkSession.sparkContext.broadcast(bits)
 
     @pandas_udf("boolean")
     def test(slots):
         import pandas as pd
 
-        at = slots.to_numpy()
-        return pd.Series((shared.value[at >> 6] >> (at & 63) & 1).astype(bool))
+        return pd.Series(is_set(shared.value, slots.to_numpy()))
 
-    return lambda column: test(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)))
+    return lambda column: test(id_slot(column))
 
 
 def counted(pieces: DataFrame, with_string: bool) -> DataFrame:
@@ -261,3 +274,27 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]
     empty = F.array().cast("array<struct<start:int,windows:int>>")
     joined = docs.filter(some(F.col("doc"))).join(lists, "doc", "left").withColumn("spans", F.coalesce("spans", empty))
     return joined, docs.filter(~some(F.col("doc"))).withColumn("spans", empty)
+
+
+def by_document(docs: DataFrame, spans: DataFrame, batch: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """``batch`` on (doc, text, spans) of every document. Texts without spans stay where they are, and the task that
+    passes them on looks into the bit table itself: no second Python worker stands beside it."""
+    lists = settle(spans.groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("spans")))  # at most the windows of one document
+    bits = docs.sparkSession.sparkContext.broadcast(id_bits(lists.select("doc")))
+    kind = "array<struct<start:int,windows:int>>"
+    slotted = docs.select("doc", "text", id_slot(F.col("doc")).alias("slot"))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield b.filter(pa.array(is_set(bits.value, b.column(2).to_numpy()))).select([0, 1])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = pa.list_(pa.struct([("start", pa.int32()), ("windows", pa.int32())]))
+        for b in slices(batches):
+            rest = b.filter(pa.array(~is_set(bits.value, b.column(2).to_numpy())))
+            if rest.num_rows:
+                yield batch(pa.RecordBatch.from_arrays([rest.column(0), rest.column(1), pa.array([[]] * rest.num_rows, empty)], ["doc", "text", "spans"]))
+
+    met = slotted.mapInArrow(chosen, "doc long, text string").join(lists, "doc", "left")
+    met = met.select("doc", "text", F.coalesce("spans", F.array().cast(kind)).alias("spans"))
+    return map_batches(met, batch, schema).unionByName(slotted.mapInArrow(others, schema))

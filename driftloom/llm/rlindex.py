@@ -18,17 +18,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from driftloom.llm.repeats import NO_ID, PIECE, covered, cut_pieces, keyed, piece_batch, repeated_spans, with_spans
-from driftloom.llm.text import map_batches, mix, slices, utf8
+from driftloom.llm.repeats import NO_ID, PIECE, by_document, covered, cut_pieces, keyed, piece_batch, repeated_spans
+from driftloom.llm.text import mix, slices, utf8
 
 WINDOW = 200
 K = 32
 #: Windows per cut where a minimiser has very many surroundings.
 CUT = 8
 #: Bytes of text hashed at once; a longer text is cut with an overlap of a window.
-STRETCH = 1 << 19
+STRETCH = 1 << 17
 #: Bytes of strings per index.
-INDEX_BYTES = 1 << 19
+INDEX_BYTES = 1 << 17
 
 _BYTE = mix(np.arange(256, dtype=np.uint64), 51)
 _BYTE_2 = mix(np.arange(256, dtype=np.uint64), 52)
@@ -185,6 +185,4 @@ def remove_long_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    some, none = with_spans(docs, spans)
-    columns = ["doc", "text", "spans"]
-    return map_batches(some.select(columns), batch, schema).unionByName(map_batches(none.select(columns), batch, schema))
+    return by_document(docs, spans, batch, schema)
