@@ -340,7 +340,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``df`` with one document of each group of near duplicates left, the one with the smallest id.
 
-    Of rows with equal ids one stays, of rows with null ids one for each text. Only texts that may go travel.
+    Of rows with equal ids one stays, of rows with null ids one for each text. Null and empty texts stay. Other columns
+    may have any name. Only texts that may go travel. An empty table gives an empty result.
     """
     docs = two_columns(df, id_col, text_col)
     verdicts = settle(near_duplicates(df, id_col, text_col, words, percent))
@@ -350,6 +351,8 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     doubtful = probably_in(known.select("doc_id"))
     key = column(id_col).cast("long")
     named, unnamed = df.filter(key.isNotNull()), df.filter(key.isNull())
-    out = known.filter("gone").select(F.col("doc_id").alias("gone_id"))
-    checked = named.filter(doubtful(key)).join(out, key == F.col("gone_id"), "left_anti").dropDuplicates([id_col])
+    taken = {c.lower() for c in df.columns}
+    gone_id = next(name for name in (f"gone_id_{i}" for i in range(len(taken) + 1)) if name not in taken)
+    out = known.filter("gone").select(F.col("doc_id").alias(gone_id))
+    checked = named.filter(doubtful(key)).join(out, key == F.col(gone_id), "left_anti").dropDuplicates([id_col])
     return named.filter(~doubtful(key)).unionByName(checked).unionByName(unnamed.dropDuplicates([text_col]))

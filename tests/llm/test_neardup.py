@@ -191,3 +191,11 @@ def test_true_miss_rate_at_the_threshold():
     equal = rng.random((20_000, neardup.REGISTERS)) < 0.5
     share = np.mean([not e[neardup._PICK].all(axis=1).any() for e in equal])
     assert abs(share - neardup.missed(0.5)) < 0.05
+
+
+def test_clashing_columns_stay(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "a", 5, 6), (2, text, "b", 5, 6), (3, "something else altogether", "c", 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone_id string, GONE_ID_0 int, digest int")
+    out = neardup.drop_near_duplicates(df)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
