@@ -20,27 +20,29 @@ from driftloom.session import checkpoint_root, pin_utc, settle
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go. A null or empty text has no words and is rejected; repeated rows get one verdict."""
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group stays: five-word shingles, similarity 0.8 or more. Of rows with equal ids one stays, of
+    rows without an id one for each text; texts without words are near nothing."""
     return drop_near_duplicates(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to the name of its kind; ``n_chars`` follows the text."""
+    """Personal data gives way to the name of its kind; ``n_chars`` follows the text. A null text stays null, with the
+    ``n_chars`` it had; texts of any length are read whole."""
     return redact(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target wants them."""
+    """Documents as often as their source's target wants them; a null source is one of its own, documents without words go."""
     return mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences of 1024 tokens."""
+    """Token pieces and their places in sequences of 1024 tokens. A null text is empty: one piece with its end token."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
