@@ -3,8 +3,8 @@
 Every source gets a target in words. Its documents are expected ``target / source size`` times each: the whole part are
 certain copies, the rest is an inclusion probability. Documents are ranked by the odds of a random number over the odds
 of their inclusion, and one more copy is taken in that order until the source's target is met. The random number is a
-hash of the document's id and text and a seed, so a rerun or a lost executor changes nothing, and documents without an
-id are drawn each on its own.
+hash of the document's id (of its text, where it has no id) and a seed, so a rerun or a lost executor changes nothing, and
+documents without an id are drawn each on its own.
 
 No source is ever ranked as a whole: ranks are cut into buckets, sums per bucket find the one where the target is
 reached, and only the rows of that bucket are ordered.
@@ -21,7 +21,7 @@ from driftloom.session import settle
 #: Buckets of a source's ranks; only the one in which the target is reached is sorted.
 BUCKETS = 4096
 MOST_COPIES = 3
-#: Without odds of their own, documents are favoured by size / (size + HALF_SIZE): short ones are less likely to get the extra copy.
+#: With ``by_size`` documents are favoured by size / (size + HALF_SIZE): short ones are less likely to get the extra copy.
 HALF_SIZE = 100.0
 WEIGHTS = (5, 2, 1)
 
@@ -61,10 +61,11 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     )
 
 
-def measured(df: DataFrame, id_col: str, text_col: str, source_col: str, odds_col: str | None, *more: Column) -> DataFrame:
+def measured(df: DataFrame, id_col: str, text_col: str, source_col: str, odds_col: str | None, by_size: bool, *more: Column) -> DataFrame:
     words = F.coalesce(F.regexp_count(column(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    favour = F.coalesce(column(odds_col).cast("double"), F.lit(1.0)) if odds_col else words / (words + F.lit(HALF_SIZE))
-    draw = F.concat_ws(":", F.coalesce(column(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(column(text_col), F.lit(""))))
+    given = F.coalesce(column(odds_col).cast("double"), F.lit(1.0)) if odds_col else F.lit(1.0)
+    favour = given * words / (words + F.lit(HALF_SIZE)) if by_size else given
+    draw = F.coalesce(column(id_col).cast("string"), F.md5(F.coalesce(column(text_col), F.lit(""))))
     return df.select(
         column(id_col).alias("doc_id"), column(source_col).cast("string").alias("source"), words.alias("size"), favour.alias("favour"), draw.alias("draw"), *more
     )
@@ -120,26 +121,25 @@ def with_copies(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
 
 def mix_sources(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 1, odds_col: str | None = None,
+    weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 1, odds_col: str | None = None, by_size: bool = False,
 ) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies`` and ``taken`` (words), one row for each input row.
 
-    Documents of a source differ in their inclusion odds: by ``odds_col`` (optional, positive; null counts as 1), else by
-    size (``HALF_SIZE``). A null text has no words; null is a
-    source of its own; documents without words get no copy. Rows equal in id and text have one random number, and may differ only in
-    which of them gets the last copy. An empty table gives an empty result.
+    Documents of a source differ in their inclusion odds by ``odds_col`` (optional, positive; null counts as 1) and, with
+    ``by_size``, by their size (``HALF_SIZE``); else they are equally likely. A null text has no words; null is a
+    source of its own; documents without words get no copy. Rows of one id, and rows of one text without an id, have one random number. An empty table gives an empty result.
     """
-    rows = settle(measured(df, id_col, text_col, source_col, odds_col))
+    rows = settle(measured(df, id_col, text_col, source_col, odds_col, by_size))
     found = with_copies(rows, planned(rows, weights, most, seed), seed)
     return found.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 1, odds_col: str | None = None,
+    weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 1, odds_col: str | None = None, by_size: bool = False,
 ) -> DataFrame:
     """The rows of ``df``, each as often as ``mix_sources`` takes it. Texts stay where they are but for those at the edge."""
-    columns = (id_col, text_col, source_col, odds_col)
+    columns = (id_col, text_col, source_col, odds_col, by_size)
     plan = planned(settle(measured(df, *columns)), weights, most, seed)
     whole = measured(df, *columns, F.struct(*[column(c) for c in df.columns]).alias("row"))
     taken = with_copies(whole, plan, seed).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
@@ -166,7 +166,7 @@ WITH d AS (
 ), q AS (
   SELECT d.doc_id, d.size, d.name, p.*, CASE WHEN source_size > 0 THEN target / source_size - certain ELSE 0 END AS p,
     target - certain * source_size AS wanted,
-    (('0x' || substr(md5('1:' || coalesce(d.doc_id::VARCHAR, '') || ':' || d.name), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+    (('0x' || substr(md5('1:' || coalesce(d.doc_id::VARCHAR, d.name)), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 ), r AS (
   SELECT *, CASE WHEN p > 0 AND size > 0 THEN sum(CASE WHEN size > 0 THEN size ELSE 0 END) OVER (

@@ -60,7 +60,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(documents(spark, sf_dir), by_size=True).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL["op9_source_mix"] = mixing.SQL

@@ -76,7 +76,7 @@ def test_documents_without_an_id_are_drawn_one_by_one(spark):
 
 def test_longer_documents_are_likelier(spark):
     rows = [(i, "w " * (300 if i % 2 else 20), "s" if i < 3000 else "t") for i in range(6000)]
-    out = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(3, 1)).collect()
+    out = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(3, 1), by_size=True).collect()
     chosen = [r.size for r in out if r.source == "t" and r.copies]
     assert chosen.count(300) > 1.2 * chosen.count(20)
 
