@@ -163,22 +163,27 @@ def _carry(blocks: DataFrame, by: list[str], fade: float, chunk: int) -> DataFra
 
 
 def prequential(
-    df: DataFrame, order: Sequence[str], by: Sequence[str] = (), fade: float = 0.99, label: str = "label", pred: str = "pred", size: int = BLOCK, chunk: int = BLOCK
-) -> DataFrame:
+    df: DataFrame, order: Sequence[str], by: Sequence[str] = (), fade: float = 0.99, label: str = "label", pred: str = "pred", size: int = BLOCK, chunk: int = BLOCK,
+    before: DataFrame | None = None, counters: bool = False,
+) -> DataFrame:
     """Faded recall, specificity and G-mean after every row.
 
     A positive row fades TP and FN and adds itself to one of them, a negative row does so
     with TN and FP. Inside a block the counters are prefix sums weighted by fade^-k; the
     blocks are then linked by ``_carry``.
+
+    ``before`` gives the counters with which groups start (``by``, ``tp``, ``fn``, ``tn``, ``fp``; a group has one row at
+    most); with ``counters`` those after every row are columns too.
     """
     keys = list(by) or ["_all"]
+    first = 0 if before is None else 1  # block 0 is then what was there before
     base = df if by else df.withColumn("_all", F.lit(0))
     if fade < 1:
         size = max(1, min(size, int(600 / -math.log(fade))))
     y = F.coalesce((q(label) == 1).cast("int"), F.lit(0))
     p = F.coalesce((q(pred) == 1).cast("int"), F.lit(0))
     rows = ranked(base, order, list(by), "_rn").drop("_rn_total")
-    rows = rows.withColumns({"_block": F.floor((F.col("_rn") - 1) / size), "_y": y, "_p": p})
+    rows = rows.withColumns({"_block": F.floor((F.col("_rn") - 1) / size) + first, "_y": y, "_p": p})
     w = Window.partitionBy(*[q(c) for c in keys], "_block").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"_kp": F.sum("_y").over(w), "_kn": F.sum(1 - F.col("_y")).over(w)})
 
@@ -194,9 +199,14 @@ def prequential(
         F.max("_kp").cast("double").alias("kp"), F.max("_kn").cast("double").alias("kn"),
         *[F.max_by(f"_{c}", last).alias(c) for c in ("tp", "fn", "tn", "fp")],
     )
+    if before is not None:
+        earlier = before if by else before.withColumn("_all", F.lit(0))
+        nothing = [F.lit(0).cast("long").alias("_block"), F.lit(0.0).alias("kp"), F.lit(0.0).alias("kn")]
+        blocks = blocks.unionByName(earlier.select(*[q(c) for c in keys], *nothing, "tp", "fn", "tn", "fp"))
     if by:
         # A group of one block starts from zero; only longer ones need their blocks linked.
-        longer = blocks.where(F.col("_block") == 1).select(*[q(c).alias(f"_h_{c}") for c in keys])
+        linked = blocks.where(F.col("_block").isin(0, 2) if first else F.col("_block") == 1)
+        longer = linked.select(*[q(c).alias(f"_h_{c}") for c in keys])
         blocks = blocks.join(longer, same_group(keys, "_h_"), "left_semi")
     start = _carry(blocks, keys, fade, chunk)
     side = prefixed(start, [*keys, "_block"], "_h_")
@@ -208,6 +218,8 @@ def prequential(
     tp, fn, tn, fp = total("tp", "_kp"), total("fn", "_kp"), total("tn", "_kn"), total("fp", "_kn")
     recall, spec = tp / (tp + fn + 1e-9), tn / (tn + fp + 1e-9)
     out = joined.withColumns({"recall": recall, "specificity": spec, "gmean": F.sqrt(recall * spec)})
+    if counters:
+        out = out.withColumns({"tp": tp, "fn": fn, "tn": tn, "fp": fp})
     extra = [c for c in out.columns if c.startswith(("_", "c_tp", "c_fn", "c_tn", "c_fp")) and c not in df.columns]
     return out.drop(*extra)
 

@@ -4,11 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.operators import adapt
+from driftloom.operators import adapt, ranks
 from driftloom.operators.forests import unpacked
 from driftloom.operators.sequence import prequential, sliding_windows
 from driftloom.sinks import runs, writers
 from driftloom.sources import readers
+from driftloom.sources.ordered import ordered_stream
 from driftloom.sources.schema import kpi_schema
 from driftloom.streaming import drift_loop, pipelines
 
@@ -114,11 +115,11 @@ def sensor(spark):
 def test_stream_equals_batch(spark, folder):
     df = sensor(spark)
     s = slices(spark, folder, df, [20, 50, 89])
-    got = pipelines.replay(pipelines.sliding(s, "CELL", "DATETIME", ["x"], 4, "id"), "sl")
+    got = pipelines.sliding(s, "CELL", "DATETIME", ["x"], 4, "id")
     want = sliding_windows(df, ["x"], 4, tie=["id"])
     pick = lambda d: sorted((r["CELL"], r["id"], str(r["END_TIME"]), str(r["win"])) for r in d.collect())
     assert pick(got) == pick(want)
-    faded = {r["id"]: r["gmean"] for r in pipelines.replay(pipelines.faded_counters(s, "CELL", ["DATETIME", "id"]), "fc").collect()}
+    faded = {r["id"]: r["gmean"] for r in pipelines.faded_counters(s, "CELL", ["DATETIME", "id"]).collect()}
     for r in prequential(df, ["DATETIME", "id"], ["CELL"]).collect():
         assert faded[r["id"]] == pytest.approx(r["gmean"], abs=1e-10)
     agg = pipelines.tumbling(s, [("sum_x", "sum", "x")], ["CELL"], "DATETIME")
@@ -231,3 +232,76 @@ def test_trees_grow_past_five_levels(spark):
     wide = spark.createDataFrame([(i, [float(i % 100)], i % 100 % 2) for i in range(2000)], "id long, features array<double>, label int")
     deep, cut = (adapt.cross_validate(wide, ["id"], folds=2, trees=5, depth=d) for d in (30, 5))
     assert adapt.cross_validate(wide, ["id"], folds=2, trees=5) == deep and deep > cut
+
+
+def test_ordered_batches_restart_and_repeat(spark, tmp_path):
+    """Micro-batches follow the numbers; a failed one is given again with the same number and rows, later files come next."""
+    root, into = str(tmp_path / "in"), str(tmp_path / "out")
+    df = spark.range(120).select("id", F.timestamp_seconds("id").alias("ts"), (11 - F.col("id") % 12).cast("int").alias("number"))
+    df.where("number between 2 and 8").write.partitionBy("number").parquet(root)
+    (tmp_path / "in" / "notes").mkdir()
+    seen, fail = [], [4]
+
+    def handle(rows, step):
+        got = rows.agg(F.collect_list("id").alias("ids"), F.min("ts").alias("t")).first()
+        seen.append((step, sorted(got["ids"]), got["t"].second))
+        if fail and step == fail[0]:
+            fail.pop()
+            raise OSError("the driver is gone")
+
+    def run():
+        pipelines.for_each_batch(ordered_stream(spark, root, df.drop("number").schema), handle, "n", into)
+
+    with pytest.raises(Exception):
+        run()
+    assert [s for s, *_ in seen] == [0, 1, 2, 3, 4]
+    run()
+    df.where("number > 8").write.mode("append").partitionBy("number").parquet(root)
+    run()
+    run()
+    assert [s for s, *_ in seen] == [0, 1, 2, 3, 4, 4, 5, 6, 7, 8, 9]
+    assert seen[4] == seen[5]
+    for step, ids, t in seen:
+        assert ids == [i for i in range(120) if 11 - i % 12 == step + 2] and t == min(ids)
+
+
+def test_libsvm_stream_takes_batches_by_number(spark, tmp_path):
+    for n in (10, 2, 9, 1):
+        (tmp_path / f"batch{n}.dat").write_text(f"{n % 6} 1:{n}.5 3:2\n\n1 2:-1\n")
+    (tmp_path / "notes.dat").write_text("4 1:9\n")
+    seen = []
+    pipelines.for_each_batch(pipelines.libsvm_stream(spark, str(tmp_path), 3), lambda rows, step: seen.append(rows.collect()), "libsvm", str(tmp_path / "out"))
+    assert [{r["batch"] for r in rows} for rows in seen] == [{1}, {2}, {9}, {10}]
+    assert sorted((r["label"], r["features"]) for r in seen[3]) == [(1, [0.0, -1.0, 0.0]), (4, [10.5, 0.0, 2.0])]
+
+
+def test_keyed_streams_go_on_after_a_stop(spark, tmp_path, monkeypatch):
+    """Hot keys are cut into blocks; keys that a micro-batch does not hold keep their state, null keys too."""
+    monkeypatch.setattr(ranks, "HOT_ROWS", 20)
+    df = sensor(spark).withColumn("CELL", F.when(F.col("id") % 8 == 1, None).when(F.col("id").between(20, 60), "0").otherwise(F.col("CELL")))
+    root = str(tmp_path / "in")
+    numbered = df.withColumn("number", (F.col("id") / 30).cast("int"))
+    numbered.where("number < 2").write.partitionBy("number").parquet(root)
+
+    def run():
+        s = ordered_stream(spark, root, df.schema)
+        win = pipelines.sliding(s, "CELL", "DATETIME", ["x"], 4, "id", str(tmp_path / "win"))
+        faded = pipelines.faded_counters(s, "CELL", ["DATETIME", "id"], into=str(tmp_path / "faded"))
+        return sorted((str(r["CELL"]), r["id"], r["END_TIME"], str(r["win"])) for r in win.collect()), {r["id"]: r for r in faded.collect()}
+
+    run()
+    numbered.where("number = 2").write.mode("append").partitionBy("number").parquet(root)
+    windows, faded = run()
+    want = sliding_windows(df, ["x"], 4, tie=["id"]).collect()
+    assert windows == sorted((str(r["CELL"]), r["id"], r["END_TIME"], str(r["win"])) for r in want)
+    rows = prequential(df, ["DATETIME", "id"], ["CELL"]).collect()
+    assert len(faded) == len(rows) == 90
+    for r in rows:
+        for c in ("recall", "specificity", "gmean"):
+            assert faded[r["id"]][c] == pytest.approx(r[c], abs=1e-10)
+
+
+def test_keyed_stream_without_batches(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    got = pipelines.sliding(ordered_stream(spark, str(tmp_path / "in"), sensor(spark).schema), "CELL", "DATETIME", ["x"], 4, "id")
+    assert got.columns == ["CELL", "END_TIME", "id", "win"] and got.count() == 0
