@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftloom.catalog.inputs import EDGES, EVENTS, FACTS, VECTORS, edges, events, facts, query, r6, scratch, table, vectors
@@ -86,12 +87,17 @@ def libsvm_text_batches(spark, sf):
     return sparse_summary(readers.read_libsvm_text(spark, f"{path}/batch=*", 128, FOLDER))
 
 
-@query("natural_batch_order", "SELECT DISTINCT CAST(p_size AS INTEGER) AS batch FROM part UNION SELECT 1000000000")
+@query("natural_batch_order", """SELECT CAST(p_size AS INTEGER) AS batch, count(*) AS n, row_number() OVER (ORDER BY p_size) AS place FROM part GROUP BY p_size
+  UNION ALL SELECT 1000000000, count(*), (SELECT count(DISTINCT p_size) FROM part) + 1 FROM part""")
 def natural_batch_order(spark, sf):
-    p = table(spark, sf, "part")
-    named = p.select(F.format_string("/data/batch%d.dat", "p_size").alias("path")).distinct()
-    other = p.select(F.format_string("/data/notes%d.txt", "p_size").alias("path")).distinct()
-    return named.unionByName(other).select(readers.batch_number(F.col("path")).alias("batch")).distinct().orderBy("batch")
+    """Lines written to files of a batch's name and to others, and read back in the order of the numbers."""
+    path = scratch(spark, "named")
+    p = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("value"), "p_size")
+    names = F.array(F.format_string("batch%d.dat", "p_size"), F.format_string("notes%d.txt", "p_size"))
+    p.select("value", F.explode(names).alias("file")).write.partitionBy("file").text(path)
+    lines = spark.read.text(path).select(readers.batch_number(F.col("_metadata.file_path"), r"batch(\d+)\.dat/").alias("batch"))
+    counts = lines.groupBy("batch").agg(F.count("*").alias("n"))  # one row per batch
+    return counts.withColumn("place", F.row_number().over(Window.orderBy("batch")).cast("long"))
 
 
 @query("labelled_csv", """SELECT CAST(label > 2 AS INTEGER) AS label, count(*) AS n, round(sum(CAST(embedding[1] AS DOUBLE)), 4) AS f0,

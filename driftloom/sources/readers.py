@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -126,14 +127,29 @@ def frame_from_matrix(spark: SparkSession, x: np.ndarray, y: np.ndarray | None =
     return spark.createDataFrame(pdf)
 
 
-def scores_or_compute(windows: DataFrame, path: str, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Stored score table if it has as many rows as there are windows, else score and store."""
+def content_key(df: DataFrame, *extra: str) -> str:
+    """A digest of a table's columns and rows, whatever their order, and of ``extra`` (the name of a model, say).
+
+    Two sums of 64-bit row hashes and the count, in one pass; repeated rows count as often as they are there.
+    """
+    hashes = [F.xxhash64(F.lit(seed), *[q(c) for c in df.columns]).cast("decimal(38,0)") for seed in (1, 2)]
+    found = df.agg(F.count("*"), *[F.sum(h) for h in hashes]).first()
+    return hashlib.sha256(repr((df.dtypes, *found, *extra)).encode()).hexdigest()[:32]
+
+
+def scores_or_compute(windows: DataFrame, path: str, score: Callable[[DataFrame], DataFrame], model: str = "") -> DataFrame:
+    """The scores stored for these very rows and this model below ``path``, else score and store.
+
+    Other rows or another ``model`` (any name or digest of it) are stored beside them. A table counts as stored when
+    its marker is there, which is written last.
+    """
     spark = windows.sparkSession
+    place = f"{path}/{content_key(windows, model)}"
     try:
-        stored = spark.read.parquet(path)
-        if stored.count() == windows.count():
-            return stored
-    except AnalysisException:
-        pass
-    score(windows).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        spark.read.schema("done boolean").parquet(f"{place}/done").count()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        score(windows).write.mode("overwrite").parquet(f"{place}/scores")
+        spark.range(1).select(F.lit(True).alias("done")).write.mode("overwrite").parquet(f"{place}/done")
+    return spark.read.parquet(f"{place}/scores")

@@ -76,6 +76,24 @@ def test_score_cache(spark, folder):
     for n in (5, 5, 6):
         assert readers.scores_or_compute(spark.range(n), folder, score).count() == n
     assert len(calls) == 2 and df.count() == 5
+    other = spark.range(1, 6)  # as many rows, other ones
+    assert {r["score"] for r in readers.scores_or_compute(other, folder, score).collect()} == {2.0, 4.0, 6.0, 8.0, 10.0}
+    readers.scores_or_compute(other.repartition(3).orderBy(F.desc("id")), folder, score)
+    assert len(calls) == 3
+    readers.scores_or_compute(other, folder, score, model="second")
+    assert len(calls) == 4
+    assert readers.content_key(spark.range(0)) != readers.content_key(spark.range(1)) != readers.content_key(spark.range(1).union(spark.range(1)))
+
+
+def test_unfinished_scores_are_computed_anew(spark, folder):
+    df = spark.range(4)
+
+    def broken(d):
+        return d.withColumn("score", F.raise_error(F.lit("the executor is gone")).cast("double"))
+
+    with pytest.raises(Exception):
+        readers.scores_or_compute(df, folder, broken).collect()
+    assert readers.scores_or_compute(df, folder, lambda d: d.withColumn("score", F.lit(1.0))).count() == 4
 
 
 def test_run_log(spark, folder):
