@@ -9,15 +9,20 @@ from __future__ import annotations
 
 import io
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+# The classes below travel whole, so a session that was built elsewhere, without this package on its workers, can run them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Folders as ``partitionBy("number")`` writes them.
 NUMBERED = r"number=(-?\d+)$"
 #: Rows, or lines, that a task holds at once.
