@@ -75,10 +75,23 @@ def parse_libsvm_text(lines: DataFrame, width: int = 128, text: str = "value") -
             F.split(p, ":").getItem(1).try_cast("double").alias("v"),
         ),
     )
-    by_index = F.map_from_entries(pairs)
-    dense = F.transform(
-        F.sequence(F.lit(1), F.lit(width)), lambda i: F.coalesce(F.element_at(by_index, i), F.lit(0.0))
+    # Sorted by index, the gaps between neighbours are the zeros. The transform of a single element gives the pairs a name,
+    # so that a line is split once and not once a number.
+    zeros = F.lit(0.0)
+    inside = F.filter(F.map_entries(F.map_from_entries(pairs)), lambda p: p["key"].between(1, width))
+    ends = F.concat(
+        F.array(F.struct(F.lit(0).alias("key"), zeros.alias("value"))),
+        inside,
+        F.array(F.struct(F.lit(width + 1).alias("key"), zeros.alias("value"))),
     )
+
+    def filled(p: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda j: gap(F.get(p, j - 1), F.get(p, j))))
+
+    def gap(a: Column, b: Column) -> Column:
+        return F.concat(F.array_repeat(zeros, b["key"] - a["key"] - 1), F.array(F.coalesce(b["value"], zeros)))
+
+    dense = F.transform(F.array(F.sort_array(ends)), lambda p: F.slice(filled(p), 1, width))[0]
     kept = lines.where(F.trim(F.col(text)) != "")
     return kept.withColumns({"label": F.element_at(pieces, 1).try_cast("double").cast("int"), "features": dense}).drop(text)
 

@@ -1,4 +1,5 @@
 import os
+import time
 
 import numpy as np
 import pytest
@@ -323,3 +324,17 @@ def test_keyed_stream_without_batches(spark, tmp_path):
     (tmp_path / "in").mkdir()
     got = pipelines.sliding(ordered_stream(spark, str(tmp_path / "in"), sensor(spark).schema), "CELL", "DATETIME", ["x"], 4, "id")
     assert got.columns == ["CELL", "END_TIME", "id", "win"] and got.count() == 0
+
+
+def test_sparse_lines_are_split_once(spark):
+    """Odd pieces of a line, and time that grows with the line and not with its length times the width."""
+    lines = [("1 1:2.5 3:4",), (" 2  7:1 2:x 200:3 0:5 -1:2 128:9",), ("x",), ("  ",), (None,), ("6 127:1",)]
+    got = readers.parse_libsvm_text(spark.createDataFrame(lines, "value string")).collect()
+    assert [(r.label, len(r.features), {i: v for i, v in enumerate(r.features, 1) if v}) for r in got] == [
+        (1, 128, {1: 2.5, 3: 4.0}), (2, 128, {7: 1.0, 128: 9.0}), (None, 128, {}), (6, 128, {127: 1.0}),
+    ]
+    pairs = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.concat(i.cast("string"), F.lit(":1.5")))
+    many = spark.range(20_000).select(F.concat_ws(" ", F.lit("1"), F.array_join(pairs, " ")).alias("value"))
+    start = time.monotonic()
+    assert readers.parse_libsvm_text(many).agg(F.sum(F.aggregate("features", F.lit(0.0), lambda a, x: a + x))).first()[0] == 20_000 * 64 * 1.5
+    assert time.monotonic() - start < 30  # 100 and more when every number split its line anew
