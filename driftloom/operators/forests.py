@@ -29,6 +29,8 @@ DEEPEST = 30
 LEAF_ROWS, BINS, BLOCK_ROWS, CHUNK = 20_000, 32, 50_000, 32 << 20
 #: The bins' edges are quantiles of a sample: rows with the smallest hashes, at most so many and of so many numbers.
 EDGE_ROWS, EDGE_NUMBERS = 10_000, 2_000_000
+#: Tasks, at most, that the pieces of all models are dealt to.
+TASKS = 2_000
 #: Bytes of counts that a task holds before it hands them on.
 HELD = 128 << 20
 
@@ -90,44 +92,78 @@ def chosen(d: int, mtry: int, seed: int, tree: int, node: int) -> np.ndarray:
 
 
 def best_cut(x: np.ndarray, counts: np.ndarray) -> tuple[float, int, float]:
-    """Gain, column and threshold of the split with the purest sides (Gini); gain -inf if no column has two values."""
-    order = np.argsort(x, axis=0, kind="stable")
-    value = np.take_along_axis(x, order, axis=0)
-    left = np.cumsum(counts[order], axis=0)
-    total = left[-1, 0]
-    left = left[:-1]
-    right = total - left
-    score = (left**2).sum(-1) / left.sum(-1) + (right**2).sum(-1) / right.sum(-1)
-    score = np.where(value[1:] > value[:-1], score, -np.inf)
-    at, column = np.unravel_index(int(score.argmax()), score.shape)
-    low, high = value[at, column], value[at + 1, column]
+    """Gain, column and threshold of the split with the purest sides (Gini); gain -inf if no column has two values.
+
+    A row counts for one class.
+    """
+    return _cut(np.ascontiguousarray(x.T), counts.argmax(axis=1), counts.sum(axis=1), counts.sum(axis=0))
+
+
+def _cut(x: np.ndarray, y: np.ndarray, w: np.ndarray, total: np.ndarray) -> tuple[float, int, float]:
+    """The same from features as rows, with a class and a weight for each row.
+
+    The sums of the classes' squares on both sides of a place follow from the place before, so a node takes a few numbers
+    a row and column, whatever the number of classes. All of them are whole numbers, so nothing is rounded.
+    """
+    n, squares = len(w), total.dot(total)
+    whole = total.sum()
+    if n == 2:  # two rows of two classes: the first column that tells them apart
+        apart = (x[:, 0] != x[:, 1]).tolist()
+        if True not in apart:
+            return -np.inf, 0, 0.0
+        column = apart.index(True)
+        low, high = sorted(x[column].tolist())
+        middle = low + (high - low) / 2
+        return float(whole - squares / whole), column, middle if low <= middle < high else low
+    row = np.arange(0, n * len(x), n)[:, None]
+    order = x.argsort(axis=1)
+    value = x.take(order + row)
+    ys, ws = y.take(order), w.take(order)
+    by_class = ys.argsort(axis=1, kind="stable")
+    by_class += row
+    seen = np.empty(n * len(x))  # weight of the row's own class up to the row
+    seen[by_class] = ws.take(by_class).cumsum(axis=1)
+    left = (ws * (2 * (seen.reshape(ws.shape) - (total.cumsum() - total).take(ys)) - ws)).cumsum(axis=1)[:, :-1]
+    right = left + (squares - (ws * (2 * total).take(ys)).cumsum(axis=1)[:, :-1])
+    size = ws.cumsum(axis=1)[:, :-1]
+    score = left / size + right / (whole - size)
+    score[value[:, 1:] <= value[:, :-1]] = -np.inf
+    at, column = divmod(int(score.T.argmax()), len(x))
+    best = float(score[column, at])
+    if best == -np.inf:
+        return best, 0, 0.0
+    low, high = float(value[column, at]), float(value[column, at + 1])
     middle = low + (high - low) / 2
-    return float(score[at, column] - (total**2).sum() / total.sum()), int(column), float(middle if low <= middle < high else low)
+    return float(best - squares / whole), column, middle if low <= middle < high else low
 
 
 def grow(x: np.ndarray, counts: np.ndarray, depth: int, mtry: int, order: Callable[[int], np.ndarray]) -> tuple[list, list, list, np.ndarray, np.ndarray]:
-    """A tree on rows ``x`` with weighted class ``counts``: feature (-1: leaf), threshold, first child, class shares, gain per feature.
+    """A tree on rows ``x`` with weighted class ``counts`` (one class a row): feature (-1: leaf), threshold, first child, class shares, gain per feature.
 
     Every node looks at ``mtry`` features, and at others only if none of these has two values.
     """
+    classes = counts.shape[1]
+    columns, w = np.ascontiguousarray(x.T), counts.sum(axis=1)
+    flat = columns.ravel()
+    y = counts.argmax(axis=1).astype(np.min_scalar_type(classes))  # a short type sorts fastest
     feature, threshold, child, shares, gain = [-1], [0.0], [0], [None], np.zeros(x.shape[1])
     todo = [(0, np.arange(len(x)), depth)]
     while todo:
         slot, rows, left = todo.pop()
-        own = counts[rows]
-        total = own.sum(axis=0)
+        own, weight = y[rows], w[rows]
+        total = np.bincount(own, weight, classes)
         shares[slot] = total / total.sum()
-        if left == 0 or (total > 0).sum() < 2:
+        if left == 0 or (own == own[0]).all():
             continue
         features = order(slot)
         for s in range(0, len(features), mtry):
             some = features[s : s + mtry]
-            better, column, cut = best_cut(x[np.ix_(rows, some)], own)
+            better, column, cut = _cut(flat.take((some * len(x))[:, None] + rows), own, weight, total)
             if better > -np.inf:
                 f = int(some[column])
                 gain[f] += max(better, 0.0)
                 feature[slot], threshold[slot], child[slot] = f, cut, len(feature)
-                right = x[rows, f] > cut
+                right = columns[f].take(rows) > cut
                 for part in (rows[~right], rows[right]):
                     todo.append((len(feature), part, left - 1))
                     for column_of, empty in ((feature, -1), (threshold, 0.0), (child, 0), (shares, None)):
@@ -137,17 +173,23 @@ def grow(x: np.ndarray, counts: np.ndarray, depth: int, mtry: int, order: Callab
 
 
 def packed(classes: Sequence[int], feature: Sequence[int], threshold: Sequence[float], child: Sequence[int], shares: np.ndarray) -> bytes:
-    parts = ([len(feature), len(classes), *classes], "<i4"), (feature, "<i4"), (child, "<i4"), (threshold, "<f8"), (shares, "<f4")
+    """16 bytes a node and each different share of the leaves once; a leaf has its share's place instead of a child."""
+    leaf = np.asarray(feature) < 0
+    table, place = np.unique(np.asarray(shares, "<f4")[leaf], axis=0, return_inverse=True)
+    child = np.array(child)
+    child[leaf] = place.reshape(-1)
+    parts = ([len(feature), len(classes), len(table), *classes], "<i4"), (feature, "<i4"), (child, "<i4"), (threshold, "<f8"), (table, "<f4")
     return b"".join(np.asarray(v, kind).tobytes() for v, kind in parts)
 
 
 def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n, c = np.frombuffer(raw, "<i4", 2)
-    at, out = 8, []
-    for size, kind in ((c, "<i4"), (n, "<i4"), (n, "<i4"), (n, "<f8"), (n * c, "<f4")):
+    """Classes, feature, child, threshold and, for the leaves, shares of the nodes."""
+    n, c, k = np.frombuffer(raw, "<i4", 3)
+    at, out = 12, []
+    for size, kind in ((c, "<i4"), (n, "<i4"), (n, "<i4"), (n, "<f8"), (k * c, "<f4")):
         out.append(np.frombuffer(raw, kind, size, at))
         at += out[-1].nbytes
-    return out[0], out[1], out[2], out[3], out[4].reshape(n, c)
+    return out[0], out[1], out[2], out[3], out[4].reshape(k, c)[np.where(out[1] < 0, out[2], 0)]
 
 
 def votes(x: np.ndarray, pieces: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -215,6 +257,7 @@ def _level(points: DataFrame, top: dict, open_nodes: dict, edges: np.ndarray, cl
             key_type = b.schema.field(0).type
             h, y = b.column(1).to_numpy().view(np.uint64), np.array([number[c] for c in b.column(2).to_pylist()])
             x = matrix(b.column(3), d)
+            cell = np.stack([np.searchsorted(e, v, "left") for e, v in zip(edges, x.T)], axis=1) * len(classes) + y[:, None]
             for (m, tree), nodes in open_nodes.items():
                 if m != key:
                     continue
@@ -227,8 +270,8 @@ def _level(points: DataFrame, top: dict, open_nodes: dict, edges: np.ndarray, cl
                     if (m, tree, node) not in held:
                         held[m, tree, node] = np.zeros((len(some), BINS, len(classes)))
                         size += held[m, tree, node].nbytes
-                    for i, f in enumerate(some):
-                        np.add.at(held[m, tree, node][i], (np.searchsorted(edges[f], x[rows, f], "left"), y[rows]), w[rows])
+                    at = cell[np.ix_(rows, some)] + np.arange(len(some)) * (BINS * len(classes))
+                    held[m, tree, node] += np.bincount(at.ravel(), np.repeat(w[rows], len(some)), held[m, tree, node].size).reshape(held[m, tree, node].shape)
             if size > HELD:
                 yield out()
                 size = 0
@@ -381,7 +424,9 @@ def fit_forests(
     schema = f"`{key}` {kind}, tree int, node long, feature int, threshold double, nodes binary, gain array<double>"
     order = [q(key), "tree", "node"]
     sent = points.mapInArrow(send, f"`{key}` {kind}, tree int, node long, w int, _h long, _y int, _x array<double>")
-    table = sent.repartition(*order).sortWithinPartitions(*order, "_h").mapInArrow(finish, schema)
+    # A task a piece, about: growing one takes far longer than its few MB say, by which Spark would put many into a task.
+    pieces = sum(trees * math.ceil(2 * n / LEAF_ROWS) for n in counts.values())
+    table = sent.repartition(min(TASKS, pieces), *order).sortWithinPartitions(*order, "_h").mapInArrow(finish, schema)
     if rows:  # one for each large node
         table = table.unionByName(df.sparkSession.createDataFrame(rows, schema))
     return Forest(settle(table), key)
@@ -416,8 +461,8 @@ def predict_forests(df: DataFrame, forest: Forest, arr: str = "features", model:
     or one of another length than the fitted ones, gets no class, as a row whose model there is none of.
     """
     key, digits = forest.model, 4  # sums of shares in another order are the same to so many digits
-    held = forest.table.groupBy(q(key).alias("_m")).agg(F.coalesce(F.sum(F.length("nodes")), F.lit(0)).alias("_bytes"), F.max(F.size("gain")).alias("_d"))
-    most = held.agg(F.max("_bytes"), F.max("_d"), F.max("_m")).first()
+    held = forest.table.groupBy(q(key).alias("_m")).agg(F.coalesce(F.sum(F.length("nodes")), F.lit(0)).alias("_bytes"), F.max(F.size("gain")).alias("_d"), (F.max("tree") + 1).alias("_trees"))
+    most = held.agg(F.max("_bytes"), F.max("_d"), F.max("_m"), F.max(F.col("_bytes") / F.col("_trees"))).first()
     numbered = settle(df.withColumn("_row", F.monotonically_increasing_id()))
     asked = (q(model) if model else F.lit(most[2])).alias("_m")
     rows = numbered.where(F.size(arr) == most[1]).select(asked, "_row", q(arr).cast("array<double>").alias("_x"))
@@ -433,18 +478,38 @@ def predict_forests(df: DataFrame, forest: Forest, arr: str = "features", model:
             return pd.DataFrame({"_row": data["_row"], out: classes[total.round(digits).argmax(axis=1)]})
 
         best = apply_models(rows, forest.table.select(q(key).alias("_m"), *columns), "_m", score, f"_row long, `{out}` int", settled=True)
-    else:  # chunks of pieces; the large splits go with every chunk
+    else:  # chunks of trees, or of pieces of a tree with its large splits, so no row asks more chunks than there are trees
 
         def score(own: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
             classes, total = shares(own, data)
             return pd.DataFrame({"_row": data["_row"], "c": [classes.tolist()] * len(total), "t": total.tolist()})
 
-        chunks = settle(held.select("_m", F.ceil(F.col("_bytes") / CHUNK).cast("int").alias("_chunks")))
-        own = F.array(F.pmod(F.xxhash64("tree", "node"), F.col("_chunks")).cast("int"))
-        every = F.sequence(F.lit(0), F.col("_chunks") - 1)
-        table = forest.table.join(chunks, q(key) == F.col("_m")).withColumn("_c", F.explode(F.when(F.col("feature").isNull(), own).otherwise(every)))
+        trees, number = F.col("_trees"), F.col("_chunks")
+        per = F.ceil(number / trees).cast("int")
+        chunks = settle(held.select("_m", F.greatest(F.lit(1), F.ceil(F.col("_bytes") / CHUNK)).cast("int").alias("_chunks"), "_trees").withColumn("_per", per))
+        own = F.when(number <= trees, F.col("tree") % number).otherwise(F.col("tree") + trees * F.pmod("node", "_per").cast("int"))
+        parts = F.transform(F.sequence(F.lit(0), F.col("_per") - 1), lambda i: F.col("tree") + trees * i)
+        every = F.when(F.col("feature").isNull() | (number <= trees), F.array(own)).otherwise(parts)
+        table = forest.table.join(chunks, q(key) == F.col("_m")).withColumn("_c", F.explode(every))
         pair = F.to_json(F.struct("_m", "_c")).alias("_pair")
-        asking = rows.join(chunks, "_m").withColumn("_c", F.explode(every)).select(pair, "_row", "_x")
+        sized = rows.join(chunks, "_m")
+        asking = sized.where(number <= trees).withColumn("_c", F.explode(F.sequence(F.lit(0), number - 1))).select("_m", "_c", "_row", "_x")
+        if most[3] > CHUNK:  # more chunks than trees: a row asks the one part of each tree that it reaches
+            top: dict = {}
+            large = held.where(F.col("_bytes") > CHUNK * trees).select("_m")
+            for r in forest.table.join(large, q(key) == F.col("_m")).where("feature is not null").select("_m", *columns[:4]).collect():  # one for each large node
+                top.setdefault((r[0], r[1]), {})[r[2]] = (r[3], r[4])
+
+            def reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b, k in _sliced(batches):
+                    x, of, parts_of = matrix(b.column(2), most[1]), b.column(3)[0].as_py(), b.column(4)[0].as_py()
+                    for tree in range(of):
+                        c = tree + of * (route(x, top.get((k, tree), {})) % parts_of)
+                        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c.astype(np.int32)), *b.columns[1:3]], ["_m", "_c", "_row", "_x"])
+
+            beyond = sized.where(number > trees).select("_m", "_row", "_x", "_trees", "_per")
+            asking = asking.unionByName(beyond.mapInArrow(reaching, f"_m {dict(sized.dtypes)['_m']}, _c int, _row long, _x array<double>"))
+        asking = asking.select(pair, "_row", "_x")
         counted = apply_models(asking, table.select(pair, *columns), "_pair", score, "_row long, c array<int>, t array<double>")
         each = counted.select("_row", F.explode(F.arrays_zip("c", "t")).alias("_z")).groupBy("_row", F.col("_z.c").alias("c")).agg(F.sum("_z.t").alias("t"))
         best = each.groupBy("_row").agg(F.max_by("c", F.struct(F.round("t", digits), -F.col("c"))).alias(out))

@@ -108,3 +108,40 @@ def test_odd_rows(spark, folder):
         fit_forests(df.limit(0), ["id"])
     with pytest.raises(ValueError):
         fit_forests(odd.where("id in (2, 4)"), ["id"])
+
+
+def test_a_row_asks_no_more_chunks_than_trees(spark, monkeypatch):
+    """Forests with far more chunks than trees: the same classes, and a pair a row and tree at most."""
+    monkeypatch.setattr(forests, "LEAF_ROWS", 40)
+    df = spark.createDataFrame([(i, c, v, f"m{i % 2}") for i, c, v in corners(600)], SCHEMA + ", key string")
+    forest = fit_forests(df, ["id"], trees=3, model="key")
+    want = {r.id: r.pred for r in predict_forests(df, forest, model="key").collect()}
+    pairs, plain = [], forests.apply_models
+    monkeypatch.setattr(forests, "apply_models", lambda rows, *rest, **more: pairs.append(rows.count()) or plain(rows, *rest, **more))
+    monkeypatch.setattr(forests, "CHUNK", 300)
+    assert {r.id: r.pred for r in predict_forests(df, forest, model="key").collect()} == want
+    assert 600 < pairs[0] <= 600 * 3  # a pair a row and chunk when every row asked every chunk
+
+
+def test_nodes_take_little_room():
+    rng = np.random.default_rng(0)
+    x, y = rng.random((500, 5)), rng.integers(0, 10, 500)
+    *nodes, _ = grow(x, np.eye(10)[y], 30, 2, lambda _: rng.permutation(5))
+    assert len(packed(range(10), *nodes)) < 18 * len(nodes[0]) + 500  # 56 bytes a node when each had its ten shares
+
+
+def test_small_trees_are_dealt_to_many_tasks(spark):
+    forest = fit_forests(spark.createDataFrame(corners(300), SCHEMA), ["id"], trees=40)
+    assert len(forest.table.inputFiles()) > 12  # a handful when Spark put partitions together by their bytes
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_weighted_cut_is_the_same_as_by_counting(seed):
+    rng = np.random.default_rng(seed)
+    for n in (2, 3, 9, 60):
+        x, y, w = rng.integers(0, 4, (n, 3)).astype(float), rng.integers(0, 3, n), rng.integers(1, 4, n)
+        gain, column, threshold = best_cut(x, np.eye(3)[y] * w[:, None])
+        y, z = np.repeat(y, w), np.repeat(x, w, axis=0)
+        drop = [len(y) * gini(y) - sum(m.sum() * gini(y[m]) for m in (z[:, f] <= t, z[:, f] > t)) for f in range(3) for t in np.unique(x[:, f])[:-1]]
+        if len(np.unique(y)) > 1 and drop:
+            assert gain == pytest.approx(max(drop))
