@@ -32,7 +32,7 @@ EDGE_ROWS, EDGE_NUMBERS = 10_000, 2_000_000
 #: Tasks, at most, that the pieces of all models are dealt to.
 TASKS = 2_000
 #: Bytes of counts that a task holds before it hands them on.
-HELD = 128 << 20
+HELD = 32 << 20
 
 _CDF = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)])
 Splits = dict[int, tuple[int, float]]
@@ -245,12 +245,11 @@ def _level(points: DataFrame, top: dict, open_nodes: dict, edges: np.ndarray, cl
         held: dict = {}
         key_type = None
 
-        def out() -> pa.RecordBatch:
-            keys = list(held)
-            columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((key_type, pa.int32(), pa.int64()))]
-            batch = pa.RecordBatch.from_arrays([*columns, pa.array([held[k].tobytes() for k in keys], pa.binary())], [model, "tree", "node", "counts"])
-            held.clear()
-            return batch
+        def out() -> Iterator[pa.RecordBatch]:
+            while held:  # a hundred nodes at a time, so little is there twice
+                keys = list(held)[:100]
+                columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((key_type, pa.int32(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([held.pop(k).tobytes() for k in keys], pa.binary())], [model, "tree", "node", "counts"])
 
         size = 0
         for b, key in _sliced(batches):
@@ -268,15 +267,14 @@ def _level(points: DataFrame, top: dict, open_nodes: dict, edges: np.ndarray, cl
                         continue
                     some = features(tree, node, wide)
                     if (m, tree, node) not in held:
-                        held[m, tree, node] = np.zeros((len(some), BINS, len(classes)))
+                        held[m, tree, node] = np.zeros(len(some) * BINS * len(classes), np.int32)
                         size += held[m, tree, node].nbytes
                     at = cell[np.ix_(rows, some)] + np.arange(len(some)) * (BINS * len(classes))
-                    held[m, tree, node] += np.bincount(at.ravel(), np.repeat(w[rows], len(some)), held[m, tree, node].size).reshape(held[m, tree, node].shape)
+                    held[m, tree, node] += np.bincount(at.ravel(), np.repeat(w[rows], len(some)), len(held[m, tree, node])).astype(np.int32)
             if size > HELD:
-                yield out()
+                yield from out()
                 size = 0
-        if held:
-            yield out()
+        yield from out()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(key: tuple, total: np.ndarray) -> pa.RecordBatch:
@@ -301,7 +299,7 @@ def _level(points: DataFrame, top: dict, open_nodes: dict, edges: np.ndarray, cl
                     if current is not None:
                         yield done(current, total)
                     current, total = key, 0.0
-                total = total + np.frombuffer(raw)
+                total = total + np.frombuffer(raw, np.int32)
         if current is not None:
             yield done(current, total)
 

@@ -145,3 +145,14 @@ def test_weighted_cut_is_the_same_as_by_counting(seed):
         drop = [len(y) * gini(y) - sum(m.sum() * gini(y[m]) for m in (z[:, f] <= t, z[:, f] > t)) for f in range(3) for t in np.unique(x[:, f])[:-1]]
         if len(np.unique(y)) > 1 and drop:
             assert gain == pytest.approx(max(drop))
+
+
+def test_counts_leave_a_task_in_small_pieces(spark, monkeypatch):
+    """Counts that are handed on early give the same splits, and a task holds few of them."""
+    monkeypatch.setattr(forests, "LEAF_ROWS", 60)
+    df = spark.createDataFrame(corners(200), SCHEMA).coalesce(1)
+    rows = lambda f: sorted(str((r.tree, r.node, r.feature, r.threshold)) for r in f.table.collect())
+    assert forests.HELD <= 32 << 20  # 128 before, and twice more while they were handed on
+    want = rows(fit_forests(df, ["id"], trees=2, depth=4))
+    monkeypatch.setattr(forests, "HELD", 1 << 10)
+    assert rows(fit_forests(df, ["id"], trees=2, depth=4)) == want
