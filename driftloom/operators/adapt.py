@@ -18,7 +18,7 @@ from driftloom.operators.moments import ARR, Moments, Pca, fit_pca, packed_momen
 from driftloom.operators.ranks import ranked
 from driftloom.operators.sampling import stratified_folds
 from driftloom.operators.sequence import adwin_resume, keyed_fold
-from driftloom.session import settle
+from driftloom.session import dropped_shuffles, settle
 
 
 def linear_fit(df: DataFrame, cols: Sequence[str] | None = None) -> tuple[object, dict[str, float]]:
@@ -96,6 +96,11 @@ def strategies(
     are grown in one job and kept as rows, every pair of model and later batch is scored in one pass, and the driver
     only chooses which pairs a strategy used.
     """
+    with dropped_shuffles(df.sparkSession):
+        return _strategies(df, order, trees, batch, arr, label, depth)
+
+
+def _strategies(df: DataFrame, order: Sequence[str], trees: int, batch: str, arr: str, label: str, depth: int) -> DataFrame:
     data = settle(df.select(*[q(c) for c in dict.fromkeys([*order, batch, arr, label])]))
     numbers = [r[0] for r in data.select(q(batch)).distinct().orderBy(batch).collect()]
     place = F.element_at(F.create_map(*[F.lit(v) for i, b in enumerate(numbers) for v in (b, i)]), q(batch))
@@ -105,7 +110,7 @@ def strategies(
     forest = fit_forests(placed.withColumn("_model", F.explode(names)).where("_model != 'upto 0'"), order, trees, depth, arr, label, "_model")
     own = F.transform(F.sequence(F.lit(0), F.greatest(F.col("_at") - 1, F.lit(0))), lambda b: F.concat(F.lit("own "), b.cast("string")))
     asked = F.when(F.col("_at") > 1, F.concat(own, F.array(F.concat(F.lit("upto "), (F.col("_at") - 1).cast("string"))))).otherwise(own)
-    scored = settle(predict_forests(placed.withColumn("_model", F.explode(asked)), forest, arr, "_model"))
+    scored = settle(predict_forests(placed.withColumn("_model", F.explode(asked)), forest, arr, "_model").drop(*{arr} - {*order, label, batch}))
     right = {(r["_at"], r["_model"]): float(r["accuracy"]) for r in accuracy(scored, ["_at", "_model"], label).collect()}
     rows, drift_model, window = [], "own 0", []
     for i, b in enumerate(numbers):

@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.functions.names import q
-from driftloom.session import settle
+from driftloom.session import dropped_shuffles, settle, settle_in_turn
 
 #: Spark's largest depth of a tree, and ours.
 DEEPEST = 30
@@ -33,6 +34,8 @@ EDGE_ROWS, EDGE_NUMBERS = 10_000, 2_000_000
 TASKS = 2_000
 #: Bytes of counts that a task holds before it hands them on.
 HELD = 32 << 20
+#: Bytes of rows, about, that travel to their pieces at once, but a tree of each model at least.
+WAVE = 2 << 30
 
 _CDF = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)])
 Splits = dict[int, tuple[int, float]]
@@ -215,8 +218,33 @@ def votes(x: np.ndarray, pieces: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return (np.zeros(0, np.int32), np.zeros((len(x), 0))) if total is None else (classes, total)
 
 
-def matrix(column: pa.Array, d: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+def narrow(column: pa.Array) -> pa.Array:
+    """Vectors as binary: 4 bytes a number in batches that lose nothing by it, 8 in others. A missing number is NaN."""
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    with np.errstate(over="ignore"):
+        short = values.astype("<f4")
+    kept = short if ((short == values) | np.isnan(values)).all() else values.astype("<f8")
+    ends = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]) * kept.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(ends.astype("<i4").tobytes()), pa.py_buffer(kept.tobytes())])
+
+
+def narrowed(df: DataFrame) -> DataFrame:
+    """``df`` with its last column, vectors, as binary ``_x``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], narrow(b.columns[-1])], [*names, "_x"])
+
+    names = df.columns[:-1]
+    return df.mapInArrow(run, ", ".join([*(f"`{c}` {k}" for c, k in df.dtypes[:-1]), "_x binary"]))
+
+
+def matrix(rows: list[bytes], d: int) -> np.ndarray:
+    """The vectors of ``d`` numbers that ``narrow`` packed."""
+    out, wide = np.empty((len(rows), d)), np.fromiter((len(r) > 4 * d for r in rows), bool, len(rows))
+    for kind, at in (("<f4", ~wide), ("<f8", wide)):
+        out[at] = np.frombuffer(b"".join(compress(rows, at)), kind).reshape(-1, d)
+    return out
 
 
 # ---------------------------------------------------------------- fitting
@@ -241,6 +269,11 @@ def _level(points: DataFrame, top: dict, open_nodes: dict, edges: np.ndarray, cl
         order = chosen(d, mtry, seed, tree, node)
         return order if wide else order[:mtry]
 
+    def sparse(total: np.ndarray) -> tuple[bytes | None, bytes]:
+        """Places and values of the counts, or all counts, whatever is shorter."""
+        at = np.flatnonzero(total).astype(np.int32)
+        return (at.tobytes(), total[at].tobytes()) if 2 * len(at) < len(total) else (None, total.tobytes())
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         key_type = None
@@ -249,13 +282,14 @@ def _level(points: DataFrame, top: dict, open_nodes: dict, edges: np.ndarray, cl
             while held:  # a hundred nodes at a time, so little is there twice
                 keys = list(held)[:100]
                 columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((key_type, pa.int32(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([held.pop(k).tobytes() for k in keys], pa.binary())], [model, "tree", "node", "counts"])
+                packs = [pa.array(v, pa.binary()) for v in zip(*[sparse(held.pop(k)) for k in keys])]
+                yield pa.RecordBatch.from_arrays([*columns, *packs], [model, "tree", "node", "cells", "counts"])
 
         size = 0
         for b, key in _sliced(batches):
             key_type = b.schema.field(0).type
             h, y = b.column(1).to_numpy().view(np.uint64), np.array([number[c] for c in b.column(2).to_pylist()])
-            x = matrix(b.column(3), d)
+            x = matrix(b.column(3).to_pylist(), d)
             cell = np.stack([np.searchsorted(e, v, "left") for e, v in zip(edges, x.T)], axis=1) * len(classes) + y[:, None]
             for (m, tree), nodes in open_nodes.items():
                 if m != key:
@@ -277,7 +311,7 @@ def _level(points: DataFrame, top: dict, open_nodes: dict, edges: np.ndarray, cl
         yield from out()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(key: tuple, total: np.ndarray) -> pa.RecordBatch:
+        def done(key: list, total: np.ndarray) -> pa.RecordBatch:
             some = features(key[1], key[2], open_nodes[key[0], key[1]][key[2]])
             left = np.cumsum(total.reshape(len(some), BINS, len(classes)), axis=1)
             whole = left[0, -1]
@@ -294,17 +328,17 @@ def _level(points: DataFrame, top: dict, open_nodes: dict, edges: np.ndarray, cl
         current, total, key_type = None, None, None
         for b in batches:
             key_type = b.schema.field(0).type
-            for key, raw in zip(zip(*[b.column(i).to_pylist() for i in range(3)]), b.column(3).to_pylist()):
+            for *key, cells, raw in zip(*[c.to_pylist() for c in b.columns]):
                 if key != current:
                     if current is not None:
                         yield done(current, total)
-                    current, total = key, 0.0
-                total = total + np.frombuffer(raw, np.int32)
+                    current, total = key, np.zeros(len(features(key[1], key[2], open_nodes[key[0], key[1]][key[2]])) * BINS * len(classes))
+                total[slice(None) if cells is None else np.frombuffer(cells, np.int32)] += np.frombuffer(raw, np.int32)
         if current is not None:
             yield done(current, total)
 
     keys = [q(model), "tree", "node"]
-    sums = points.mapInArrow(count, f"`{model}` {kind}, tree int, node long, counts binary").repartition(*keys).sortWithinPartitions(*keys)
+    sums = points.mapInArrow(count, f"`{model}` {kind}, tree int, node long, cells binary, counts binary").repartition(*keys).sortWithinPartitions(*keys)
     schema = f"`{model}` {kind}, tree int, node long, gain double, feature int, threshold double, left array<double>, right array<double>"
     return sums.mapInArrow(split, schema).collect()
 
@@ -319,7 +353,7 @@ def _large_nodes(
     if not open_nodes:
         return top, rows
     sample = points.orderBy("_h", "_x").limit(max(BINS, min(EDGE_ROWS, EDGE_NUMBERS // d))).select("_x").collect()
-    edges = np.quantile(np.array([r[0] for r in sample]), np.arange(1, BINS) / BINS, axis=0, method="lower").T
+    edges = np.quantile(matrix([bytes(r[0]) for r in sample], d), np.arange(1, BINS) / BINS, axis=0, method="lower").T
 
     def leaf(m: object, tree: int, node: int, count: Sequence[float]) -> None:
         share = np.array([count]) / sum(count)
@@ -358,16 +392,28 @@ def fit_forests(
     Rows need ids for the bootstrap: rows with equal ids are drawn together. Rows without label, or with a missing or null
     number in ``arr``, are left out. Every node looks at ``mtry`` features, the square root of their number by default.
     """
+    with dropped_shuffles(df.sparkSession):
+        return _fit(df, ids, trees, depth, arr, label, model, seed, mtry, bootstrap)
+
+
+def _fit(
+    df: DataFrame, ids: Sequence[str], trees: int, depth: int, arr: str, label: str, model: str | None, seed: int, mtry: int | None, bootstrap: bool
+) -> Forest:
     key = model or "model"
     whole = q(arr).isNotNull() & q(label).isNotNull() & F.forall(q(arr), lambda v: F.coalesce(~F.isnan(v.cast("double")), F.lit(False)))
-    cols = [(q(model) if model else F.lit(0)).alias(key), F.xxhash64(*[q(c) for c in ids]).alias("_h"), q(label).cast("int").alias("_y"), q(arr).cast("array<double>").alias("_x")]
-    points = settle(df.where(whole).select(*cols))
-    counts = {r[0]: r[1] for r in points.groupBy(key).count().collect()}  # one row per model
+    cols = [(q(model) if model else F.lit(0)).alias(key), F.xxhash64(*[q(c) for c in ids]).alias("_h"), q(label).cast("int").alias("_y"), F.size(q(arr)).alias("_n"), q(arr).cast("array<double>").alias("_x")]
+    points = narrowed(df.where(whole).select(*cols))
+    if model:  # a task then has rows of few models, and counts for few nodes
+        points = points.repartitionByRange(q(key), "_h")
+    points = settle(points)
+    held = points.groupBy(key).agg(F.count("*"), F.sum(F.length("_x"))).collect()  # one row per model
+    counts, size = {r[0]: r[1] for r in held}, sum(r[2] + 64 * r[1] for r in held)
     if not counts:
         raise ValueError("no rows to grow a forest from")
-    sizes = [r[0] for r in points.select(F.size("_x")).distinct().limit(2).collect()]
+    sizes = [r[0] for r in points.select("_n").distinct().limit(2).collect()]
     if len(sizes) > 1:
         raise ValueError("vectors of different lengths")
+    points = points.drop("_n")
     d, kind = sizes[0], dict(points.dtypes)[key]
     classes = sorted(r[0] for r in points.select("_y").distinct().collect())
     number = {c: i for i, c in enumerate(classes)}
@@ -382,21 +428,26 @@ def fit_forests(
         if f is None:
             finished.setdefault((m, t), []).append(n)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, k in _sliced(batches, 1024):
-            h, x = b.column(1).to_numpy().view(np.uint64), matrix(b.column(3), d)
-            for tree in range(trees):
-                w = drawn(h, tree)
-                node = route(x, top.get((k, tree), {}))
-                at = np.flatnonzero((w > 0) & ~np.isin(node, finished.get((k, tree), [])))
-                rest = b.take(pa.array(at))
-                columns = [rest.column(0), pa.array(np.full(len(at), tree, np.int32)), pa.array(node[at]), pa.array(w[at].astype(np.int32)), *rest.columns[1:]]
-                yield pa.RecordBatch.from_arrays(columns, [key, "tree", "node", "w", "_h", "_y", "_x"])
+    def sent(first: int, end: int) -> DataFrame:
+        """The rows of some trees, once for each tree, with the node that they reach there."""
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b, k in _sliced(batches, 1024):
+                h, x = b.column(1).to_numpy().view(np.uint64), matrix(b.column(3).to_pylist(), d)
+                for tree in range(first, end):
+                    w = drawn(h, tree)
+                    node = route(x, top.get((k, tree), {}))
+                    at = np.flatnonzero((w > 0) & ~np.isin(node, finished.get((k, tree), [])))
+                    rest = b.take(pa.array(at))
+                    columns = [rest.column(0), pa.array(np.full(len(at), tree, np.int32)), pa.array(node[at]), pa.array(w[at].astype(np.int32)), *rest.columns[1:]]
+                    yield pa.RecordBatch.from_arrays(columns, [key, "tree", "node", "w", "_h", "_y", "_x"])
+
+        return points.mapInArrow(send, f"`{key}` {kind}, tree int, node long, w int, _h long, _y int, _x binary")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tree(part: pa.Table) -> pa.RecordBatch:
             t, node = part.column(1)[0].as_py(), part.column(2)[0].as_py()
-            x = matrix(part.column(6).combine_chunks(), d)
+            x = matrix(part.column(6).to_pylist(), d)
             count = np.zeros((len(x), len(classes)))
             count[np.arange(len(x)), [number[c] for c in part.column(5).to_pylist()]] = part.column(3).to_numpy()
             rng = np.random.default_rng([seed & 0xFFFFFFFF, t, node, 1])
@@ -421,25 +472,29 @@ def fit_forests(
 
     schema = f"`{key}` {kind}, tree int, node long, feature int, threshold double, nodes binary, gain array<double>"
     order = [q(key), "tree", "node"]
-    sent = points.mapInArrow(send, f"`{key}` {kind}, tree int, node long, w int, _h long, _y int, _x array<double>")
     # A task a piece, about: growing one takes far longer than its few MB say, by which Spark would put many into a task.
-    pieces = sum(trees * math.ceil(2 * n / LEAF_ROWS) for n in counts.values())
-    table = sent.repartition(min(TASKS, pieces), *order).sortWithinPartitions(*order, "_h").mapInArrow(finish, schema)
-    if rows:  # one for each large node
-        table = table.unionByName(df.sparkSession.createDataFrame(rows, schema))
-    return Forest(settle(table), key)
+    pieces = sum(math.ceil(2 * n / LEAF_ROWS) for n in counts.values())
+    at_once = max(1, min(trees, WAVE // size))  # rows travel once for each tree: so many trees that their rows fit the disks
+
+    def grown() -> Iterator[DataFrame]:
+        for s in range(0, trees, at_once):
+            e = min(s + at_once, trees)
+            yield sent(s, e).repartition(min(TASKS, (e - s) * pieces), *order).sortWithinPartitions(*order, "_h").mapInArrow(finish, schema)
+        if rows:  # one for each large node
+            yield df.sparkSession.createDataFrame(rows, schema)
+
+    return Forest(settle_in_turn(grown()), key)
 
 
 # ---------------------------------------------------------------- scoring
 
 
-def apply_models(rows: DataFrame, models: DataFrame, model: str, predict: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, settled: bool = False) -> DataFrame:
+def apply_models(rows: DataFrame, models: DataFrame, model: str, predict: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """``predict(model's rows, rows)`` for every block of rows of each model key, in one pass over all pairs.
 
-    Rows whose key has no model are not in the result. A model must fit a task. Rows are read twice: ``settled`` says
-    that they come from files already.
+    Rows whose key has no model are not in the result. A model must fit a task.
     """
-    rows = rows if settled else settle(rows)
+    rows = settle(rows)  # read twice
     blocks = rows.groupBy(q(model).alias("_k")).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_blocks"))
     cut = rows.join(blocks, q(model) == F.col("_k")).withColumn("_block", F.pmod(F.xxhash64(*[q(c) for c in rows.columns]), F.col("_blocks")).cast("int")).drop("_k", "_blocks")
     dealt = models.join(blocks, q(model) == F.col("_k")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_k", "_blocks")
@@ -463,11 +518,11 @@ def predict_forests(df: DataFrame, forest: Forest, arr: str = "features", model:
     most = held.agg(F.max("_bytes"), F.max("_d"), F.max("_m"), F.max(F.col("_bytes") / F.col("_trees"))).first()
     numbered = settle(df.withColumn("_row", F.monotonically_increasing_id()))
     asked = (q(model) if model else F.lit(most[2])).alias("_m")
-    rows = numbered.where(F.size(arr) == most[1]).select(asked, "_row", q(arr).cast("array<double>").alias("_x"))
+    rows = narrowed(numbered.where(F.size(arr) == most[1]).select(asked, "_row", q(arr).cast("array<double>").alias("_x")))
     columns = ["tree", "node", "feature", "threshold", "nodes"]
 
     def shares(own: pd.DataFrame, data: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        return votes(np.array(data["_x"].tolist(), float), own)
+        return votes(matrix(data["_x"].tolist(), most[1]), own)
 
     if most[0] <= CHUNK:  # every model fits a task
 
@@ -475,7 +530,7 @@ def predict_forests(df: DataFrame, forest: Forest, arr: str = "features", model:
             classes, total = shares(own, data)
             return pd.DataFrame({"_row": data["_row"], out: classes[total.round(digits).argmax(axis=1)]})
 
-        best = apply_models(rows, forest.table.select(q(key).alias("_m"), *columns), "_m", score, f"_row long, `{out}` int", settled=True)
+        best = apply_models(rows, forest.table.select(q(key).alias("_m"), *columns), "_m", score, f"_row long, `{out}` int")
     else:  # chunks of trees, or of pieces of a tree with its large splits, so no row asks more chunks than there are trees
 
         def score(own: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
@@ -500,13 +555,13 @@ def predict_forests(df: DataFrame, forest: Forest, arr: str = "features", model:
 
             def reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b, k in _sliced(batches):
-                    x, of, parts_of = matrix(b.column(2), most[1]), b.column(3)[0].as_py(), b.column(4)[0].as_py()
+                    x, of, parts_of = matrix(b.column(2).to_pylist(), most[1]), b.column(3)[0].as_py(), b.column(4)[0].as_py()
                     for tree in range(of):
                         c = tree + of * (route(x, top.get((k, tree), {})) % parts_of)
                         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c.astype(np.int32)), *b.columns[1:3]], ["_m", "_c", "_row", "_x"])
 
             beyond = sized.where(number > trees).select("_m", "_row", "_x", "_trees", "_per")
-            asking = asking.unionByName(beyond.mapInArrow(reaching, f"_m {dict(sized.dtypes)['_m']}, _c int, _row long, _x array<double>"))
+            asking = asking.unionByName(beyond.mapInArrow(reaching, f"_m {dict(sized.dtypes)['_m']}, _c int, _row long, _x binary"))
         asking = asking.select(pair, "_row", "_x")
         counted = apply_models(asking, table.select(pair, *columns), "_pair", score, "_row long, c array<int>, t array<double>")
         each = counted.select("_row", F.explode(F.arrays_zip("c", "t")).alias("_z")).groupBy("_row", F.col("_z.c").alias("c")).agg(F.sum("_z.t").alias("t"))

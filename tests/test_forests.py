@@ -1,11 +1,15 @@
 """Splits against all splits, large nodes, chunks of pieces, partitions, odd rows."""
 
+import glob
+import time
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from driftloom.operators import forests
-from driftloom.operators.forests import Forest, bag, best_cut, fit_forests, grow, importances, packed, predict_forests, route, unpacked
+from driftloom.operators.forests import Forest, bag, best_cut, fit_forests, grow, importances, matrix, narrow, packed, predict_forests, route, unpacked
 
 SCHEMA = "id long, label int, features array<double>"
 
@@ -156,3 +160,34 @@ def test_counts_leave_a_task_in_small_pieces(spark, monkeypatch):
     want = rows(fit_forests(df, ["id"], trees=2, depth=4))
     monkeypatch.setattr(forests, "HELD", 1 << 10)
     assert rows(fit_forests(df, ["id"], trees=2, depth=4)) == want
+
+
+def test_vectors_travel_in_four_bytes_a_number_where_that_loses_nothing():
+    for rows, size in (([[0.5, -2.0], [1e30, float("nan")], [float("inf"), None]], 8), ([[0.5, 0.1]], 16), ([[1e300, 0.0]], 16)):
+        if size == 8:
+            rows[1][0] = float(np.float32(1e30))
+        column = pa.array([[9.0, 9.0], *rows], pa.list_(pa.float64())).slice(1)
+        got = narrow(column).to_pylist()
+        assert [len(v) for v in got] == [size] * len(rows)
+        assert np.array_equal(matrix(got, 2), np.array(rows, float), equal_nan=True)
+    both = [*narrow(pa.array([[0.1, 3.0]])).to_pylist(), *narrow(pa.array([[0.5, 4.0]])).to_pylist()]
+    assert matrix(both, 2).tolist() == [[0.1, 3.0], [0.5, 4.0]] and matrix([], 2).shape == (0, 2)
+
+
+def test_rows_travel_a_few_trees_at_a_time_and_leave_no_shuffle_files(spark, monkeypatch):
+    """Six waves of a tree give the forest of one, and the copies of the rows are gone from the disks afterwards."""
+    monkeypatch.setattr(forests, "LEAF_ROWS", 60)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    df = spark.createDataFrame([(i, c, v, f"m{i % 2}") for i, c, v in corners(400)], SCHEMA + ", key string")
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    rows = lambda f: sorted(str((r.key, r.tree, r.node, r.feature, r.threshold, r.nodes)) for r in f.table.collect())
+    old, conf, jobs, plain = files(), spark.conf.get(key), [], forests.settle_in_turn
+    monkeypatch.setattr(forests, "settle_in_turn", lambda frames: plain(jobs.append(1) or f for f in frames))
+    want = rows(fit_forests(df, ["id"], trees=6, model="key"))
+    monkeypatch.setattr(forests, "WAVE", 1)
+    assert rows(fit_forests(df, ["id"], trees=6, model="key")) == want and len(jobs) == 2 + 7  # the large splits are one more
+    until = time.time() + 20
+    while files() - old and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - old and spark.conf.get(key) == conf
